@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,19 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, for those that don't have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_has_dialogmill", False):
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        if os.path.isdir(package):  # else it is itself run from an archive that was sent
+            parent, name = os.path.split(package)
+            context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="dialogmill-"), name), "zip", parent, name))
+        context._has_dialogmill = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

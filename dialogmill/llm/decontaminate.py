@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from dialogmill.llm.common import table
 
-#: Each mask looks at the words under 1 and ignores those under 0. Chosen so that any two
-#: substitutions in eleven words leave at least one mask untouched.
+#: Each mask looks at the words under 1 and ignores those under 0. Laid at every position, at least
+#: one stays untouched by any substitution in 11 words, any two in 15 and any three in 20.
 MASKS = ("1111111", "11011011011", "11100010111", "10110101101")
 #: Test-side hashes that one broadcast may hold; larger test sets are taken in blocks of that size.
 BLOCK_HASHES = 1_000_000

@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialogmill.llm import decontaminate, line_dedup, mixing
+from dialogmill.llm import decontaminate, language_id, line_dedup, mixing, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_language_id": language_id.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op10_warc": warc.OP10_SQL,
 }

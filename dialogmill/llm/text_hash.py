@@ -46,8 +46,8 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row offsets into them) for runs of rows of about CHUNK_BYTES."""
+def text_chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets into them) for runs of rows of about ``size`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -58,15 +58,13 @@ def text_chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nda
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(off, off[row] + CHUNK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
         yield row, raw[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a chunk in order, and each row's bounds among them."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of every word of a chunk; a row's end ends a word."""
     solid = ~_WS[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True  # a row's first byte, and the end of the chunk
@@ -74,10 +72,22 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] &= ~solid[:-1] | edge[1:-1]
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:-1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    total = np.cumsum(_BYTE[_LOWER[raw]] * _power(_BASE, len(raw)), dtype=np.uint64)
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hash of the bytes begin..end of each span; ``fold``: with A-Z as a-z."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    total = np.cumsum(_BYTE[_LOWER[raw] if fold else raw] * _power(_BASE, len(raw)), dtype=np.uint64)
     before = np.where(begin > 0, total[begin - 1], np.uint64(0))
-    return mix((total[end] - before) * _power(_BASE_INV, len(raw))[begin]), np.searchsorted(begin, off)
+    return mix((total[end] - before) * _power(_BASE_INV, len(raw))[begin])
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a chunk in order, and each row's bounds among them."""
+    begin, end = word_spans(raw, off)
+    return span_hashes(raw, begin, end), np.searchsorted(begin, off)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
