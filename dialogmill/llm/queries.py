@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialogmill.llm import decontaminate, language_id, line_dedup, mixing, token_counts, toxicity, warc
+from dialogmill.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_jaccard": jaccard_join.op2_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": token_counts.op6_token_counts,
