@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialogmill.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, token_counts, toxicity, warc
+from dialogmill.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, passage_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_jaccard": jaccard_join.op2_jaccard,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_language_id": language_id.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_passage_dedup": passage_dedup.op9_passage_dedup,
     "op10_warc": warc.op10_warc,
 }
 
