@@ -35,7 +35,7 @@ def source_targets(sources: DataFrame, cap: float = 3.0, weights: tuple[int, ...
         .withColumn("__ceiling", F.col("__cap") / F.col("weight"))
         .withColumn("__left", F.sum("source_size").over(all_rows) - F.coalesce(F.sum("__cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("__weights", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("__level", F.min(F.when(F.col("__left") <= F.col("__ceiling") * F.col("__weights"), F.col("__left") / F.col("__weights"))).over(all_rows))
+        .withColumn("__level", F.max(F.when(F.col("__left") <= F.col("__ceiling") * F.col("__weights"), F.col("__left") / F.col("__weights"))).over(all_rows))
         .withColumn("target", F.coalesce(F.least(F.col("__cap"), F.col("__level") * F.col("weight")), F.col("__cap")))
         .select("source", "source_size", "weight", "target")
     )
@@ -103,7 +103,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number()
 c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (3.0::DOUBLE * source_size) / weight AS ceiling FROM s),
 o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ceiling, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
              sum(weight) OVER (ORDER BY ceiling, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM c),
-t AS (SELECT *, least(cap, min(CASE WHEN rest <= ceiling * weights THEN rest / weights END) OVER () * weight) AS target FROM o),
+t AS (SELECT *, least(cap, max(CASE WHEN rest <= ceiling * weights THEN rest / weights END) OVER () * weight) AS target FROM o),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              row_number() OVER (PARTITION BY d.source ORDER BY CAST(floor(log2(d.size + 1) * 8) AS INT), d.doc_id NULLS FIRST) AS k,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS share,
