@@ -99,7 +99,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut", **options) -> DataFrame:
     """All rows and columns with the redundant passages cut out of ``text_col``; ``out`` holds their offsets in the text as it was."""
     spans = repeated_passages(docs, id_col, text_col, **options)
-    lists = spans.groupBy(F.col(id_col).alias("__id"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cut"))
+    lists = spans.groupBy(F.col(id_col).alias("__cut_id"), F.col("row").alias("__cut_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cut"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -111,7 +111,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    joined = docs.join(lists, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__row")), "left")
+    joined = docs.join(lists, (F.col(id_col) == F.col("__cut_id")) & (F.xxhash64(F.col(text_col)) == F.col("__cut_row")), "left")
     names = [c for c in docs.columns if c != out]
     return joined.select(*[without(F.col(text_col), "__cut").alias(c) if c == text_col else F.col(c) for c in names], F.col("__cut").alias(out))
 
