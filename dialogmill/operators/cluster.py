@@ -122,35 +122,34 @@ def euclidean_silhouette(points: np.ndarray, labels: np.ndarray, block: int = 10
     return total / len(points)
 
 
-def _small_model(frame: pd.DataFrame, columns: Sequence[str], k: int, seed: int) -> np.ndarray:
-    x = frame[list(columns)].to_numpy(float)
-    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-    x = x @ np.linalg.svd(x, full_matrices=False)[2].T
-    draw = np.random.default_rng(seed)
-    centres = x[draw.choice(len(x), 1)]
-    while len(centres) < k:  # next centres far from the ones so far
-        far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        centres = np.vstack([centres, x[far.argmax()]])
-    for _ in range(100):
-        label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    order = np.lexsort((np.arange(k), -np.bincount(label, minlength=k)))
-    return np.argsort(order)[label]
-
-
 def per_group_clusters(df: DataFrame, group: str, id_col: str, columns: Sequence[str], k: int = 3, max_rows: int = 100_000, seed: int = 42) -> DataFrame:
     """(group, id, cluster, status) with a model of its own for each group of k to ``max_rows`` rows, one task each; larger and smaller groups are skipped, their rows told so."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     sized = df.join(sizes, group)
     schema = T.StructType([df.schema[group], df.schema[id_col], T.StructField("cluster", T.IntegerType()), T.StructField("status", T.StringType())])
 
+    def labels_of(frame: pd.DataFrame) -> np.ndarray:
+        x = frame[list(columns)].to_numpy(float)
+        x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+        x = x @ np.linalg.svd(x, full_matrices=False)[2].T
+        draw = np.random.default_rng(seed)
+        centres = x[draw.choice(len(x), 1)]
+        while len(centres) < k:  # next centres far from the ones so far
+            far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+            centres = np.vstack([centres, x[far.argmax()]])
+        for _ in range(100):
+            label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        order = np.lexsort((np.arange(k), -np.bincount(label, minlength=k)))
+        return np.argsort(order)[label]
+
     def model(frame: pd.DataFrame) -> pd.DataFrame:
         try:
             frame = frame.sort_values(id_col)
-            return pd.DataFrame({group: frame[group], id_col: frame[id_col], "cluster": _small_model(frame, columns, k, seed), "status": "ok"})
+            return pd.DataFrame({group: frame[group], id_col: frame[id_col], "cluster": labels_of(frame), "status": "ok"})
         except (ValueError, np.linalg.LinAlgError) as e:
             return pd.DataFrame({group: frame[group], id_col: frame[id_col], "cluster": None, "status": f"failed: {e}"})
 
