@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,41 +16,51 @@ from dialogmill.llm.common import settled, table
 from dialogmill.llm.components import components
 from dialogmill.llm.text_hash import shingle_sets
 
-#: Chance below which a linked pair may miss all common prefix shingles: that of a hash collision.
+#: Prefix shingles that a linked pair shares.
+SHARED = 12
+#: Chance below which a linked pair may share fewer: that of a hash collision.
 MISS = 1e-15
 #: Shingles in more prefixes than this come last in the order, at most so many of them (the commonest).
 COMMON_FROM, MOST_COMMON = 64, 500_000
+#: Groups of more documents get further hubs before their pairs are looked at, so many times at most.
+LARGE, MORE_HUBS = 32, 5
 #: Documents that one signature tree holds.
 TREE_SIZE = 256
 
 
+@functools.lru_cache(maxsize=1024)
+def enough(differ: float) -> int:
+    """Draws of which fewer than SHARED agree with a chance below MISS, when each differs with a chance of ``differ``."""
+    k = SHARED
+    while sum(math.comb(k, i) * (1 - differ) ** i * differ ** (k - i) for i in range(SHARED)) > MISS:
+        k += 1
+    return k
+
+
 def prefix_of(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """Shingles by which a set (sorted hashes) is looked up: uncommon ones in order of hash, then common ones.
 
-    With one order for all sets, two sets that link share a shingle among the first n - ceil(t * n) + 1 of
-    each. Where the uncommon ones are a share f > 1/3 of the set, each of them is shared with a chance of at least
-    1 - 1 / (3 f) at t = 0.75, so that the first ln(MISS) / ln(1 / (3 f)) miss a link with a chance below MISS.
+    With one order for all sets, two sets that link share SHARED shingles, or all that they must share if fewer, among the first
+    n - ceil(t * n) + SHARED of each. Where the uncommon ones are a share f > 1 - t of the set, each
+    of the first ones of both is in one set only with a chance of (1 - t) / f at most (the union has n
+    shingles or more, of which 1 - t differ); then ``enough`` of them will do.
     """
     n = len(shingles)
     if not n:
         return shingles
-    exact = n - -(-n * percent // 100) + 1
+    exact = n - -(-n * percent // 100) + SHARED
+    n_rare = n
     if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        last = common[at] == shingles
-        if last.any():
-            shingles = np.concatenate([shingles[~last], shingles[last]])
-            n_rare = int(n - last.sum())
-        else:
-            n_rare = n
-    else:
-        n_rare = n
-    differ = (100 - percent) / percent * n  # the most by which a linked set may differ
-    if n_rare > differ * 1.001:
-        exact = min(exact, math.ceil(math.log(MISS) / math.log(differ / n_rare)))
+        last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        shingles, n_rare = np.concatenate([shingles[~last], shingles[last]]), int(n - last.sum())
+    differ = (100 - percent) / 100 * n / n_rare if n_rare else 1.0
+    if differ < 0.6:
+        exact = min(exact, enough(math.ceil(differ * 100) / 100))
     return shingles[:exact]
 
 
+
+
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """(id, n_shingles, digest_a, digest_b, prefix) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -174,6 +185,33 @@ def _decide(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return dealt_out.groupBy("part").applyInArrow(decide, schema)
 
 
+def _needed(n_shingles: Column, percent: int) -> Column:
+    """Prefix shingles that a set of this size shares with any set that it links with."""
+    return F.least(F.lit(SHARED), F.ceil(n_shingles * percent / 100))
+
+
+def _often(hubs: DataFrame, percent: int, part: int) -> DataFrame:
+    """Pairs (hub, id) that meet in one of ``part`` of the shingles that a link needs."""
+    return hubs.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size")).where(part * F.col("n") >= _needed(F.col("size"), percent)).select("hub", "id")
+
+
+def _placed(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    return shared.select("shingle", "id", "n_shingles").join(classes, "id", "left").select("shingle", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
+def _mixed(placed: DataFrame, above: int) -> DataFrame:
+    """Shingles of more than ``above`` documents that aren't all of one component."""
+    return placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("low") < F.col("high")) & (F.col("n") > above)).select("shingle")
+
+
+def _next_hubs(large: DataFrame, percent: int, round_: int) -> DataFrame:
+    """Pairs (hub, id): for each shingle a hub drawn from its largest component, with all documents of others."""
+    drawn = F.xxhash64("id", F.lit(round_), F.pmod("shingle", F.lit(3)))
+    within = large.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", drawn).alias("hub"))
+    hubs = within.groupBy("shingle").agg(F.max(F.struct("m", "component", "hub")).alias("top")).select("shingle", F.col("top.component").alias("hub_component"), F.col("top.hub").alias("hub"))
+    return _often(large.join(settled(hubs, "hubs"), "shingle").where("component <> hub_component"), percent, 6)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id) of every row: classes of documents whose shingle sets link.
 
@@ -183,8 +221,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equals another's. Repeated rows are copies. An empty table gives an empty table.
 
     Copies are merged by a digest first. Documents meet where they share a rare prefix shingle; in each such
-    group the first and the last id are hubs, and all others are compared with them along signature trees.
-    Only groups that still hold several components then give their pairs across these. So a group of copies costs a
+    group the first and the last id are hubs, and others that share half of what a link needs are compared with them
+    along signature trees. Large groups that still hold several components draw further hubs from the largest one.
+    What then still holds several components gives its pairs across these, and all that share what a link needs
+    are compared. So a group of copies costs a
     number of comparisons in proportion to its size, and texts are shuffled once for each hub.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -193,26 +233,34 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = sets.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON_FROM)
     common = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()["shingle"].to_numpy()
     reps = copies.select(F.col("rep").alias("id")).distinct()
-    if len(common):
-        second = _prefixes(texts, "id", "text", width, percent, np.sort(common.view(np.uint64)))
-    else:
-        second = sets
-    postings = settled(second.join(reps, "id", "left_semi").select("id", F.explode("prefix").alias("shingle")), "postings")
-    groups = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = postings.join(groups, "shingle")
-    hubs = shared.where("id > low").select(F.col("low").alias("hub"), "id").union(shared.where("id > low AND id < high").select(F.col("high").alias("hub"), "id"))
-    tried = settled(hubs.distinct(), "pairs")
+    second = _prefixes(texts, "id", "text", width, percent, np.sort(common.view(np.uint64))) if len(common) else sets
+    postings = settled(second.join(reps, "id", "left_semi").select("id", "n_shingles", F.explode("prefix").alias("shingle")), "postings")
+    groups = postings.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = settled(postings.join(groups, "shingle"), "shared")
+    hubs = shared.where("id > low").select(F.col("low").alias("hub"), "id", "n_shingles").union(shared.where("id > low AND id < high").select(F.col("high").alias("hub"), "id", "n_shingles"))
+    tried = settled(_often(hubs, percent, 2), "pairs")
     links = settled(_decide(tried, texts, width, percent), "links")
     first = components(links, "a", "b")
 
-    placed = postings.join(first, "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    open_ = settled(placed.join(mixed, "shingle", "left_semi"), "open")
-    other = open_.select("shingle", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    across = open_.join(other, "shingle").where("hub < id AND component <> hub_component").select("hub", "id").distinct()
+    for round_ in range(MORE_HUBS):
+        placed = settled(_placed(shared, first), "placed")
+        large = _mixed(placed, LARGE)
+        again = settled(_next_hubs(placed.join(large, "shingle", "left_semi"), percent, round_), "pairs")
+        found = settled(_decide(again, texts, width, percent), "links")
+        if found.isEmpty():
+            break
+        tried = tried.union(again)
+        first = components(found.union(first.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
+
+    placed = _placed(shared, first)
+    open_ = settled(placed.join(_mixed(placed, 1), "shingle", "left_semi"), "open")
+    other = open_.select("shingle", F.col("id").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("component").alias("hub_component"))
+    size, hub_size = F.col("n_shingles"), F.col("hub_size")
+    near = (100 * size >= percent * hub_size) & (100 * hub_size >= percent * size)
+    met = open_.join(other, "shingle").where("hub < id AND component <> hub_component").where(near).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(size, hub_size)).alias("largest"))
     known = tried.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
-    late = settled(across.join(known, ["hub", "id"], "left_anti"), "pairs")
-    late_links = _decide(late, texts, width, percent)
+    late = settled(met.where(F.col("n") >= _needed(F.col("largest"), percent)).select("hub", "id").join(known, ["hub", "id"], "left_anti"), "pairs")
+    late_links = settled(_decide(late, texts, width, percent), "links")
     final = components(late_links.union(first.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
 
     classes = sets.drop("prefix").join(copies, ["n_shingles", "digest_a", "digest_b"], "left")
