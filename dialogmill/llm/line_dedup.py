@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogmill.llm.common import ASCII_SPACE, ascii_lower, table
+from dialogmill.llm.common import ASCII_SPACE, ascii_lower, settled, table
 
 _ID, _ROW, _POS, _H1, _H2 = "__id", "__row", "__pos", "__h1", "__h2"
 
@@ -30,8 +30,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept, each cleaned alone, and count once. An empty table gives an empty table.
 
     Keys travel as 128 hash bits. The count is pre-aggregated by (key, id), so a line of every document
-    costs no task more than others; the join back carries positions only, and its hot keys are
-    ones that adaptive execution splits. Texts are shuffled once at most, by row.
+    costs no task more than others. The frequent keys are a written table: where Spark finds it small enough it
+    is broadcast, else both sides are shuffled anew for the join, whose hot keys adaptive execution splits. Texts are shuffled once at most, by row.
     """
     row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     lines = (
@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length("__key") >= min_chars)
         .select(_ID, _ROW, _POS, F.xxhash64("__key").alias(_H1), F.xxhash64(F.lit(1), F.col("__key")).alias(_H2))
     )
-    frequent = lines.select(_H1, _H2, _ID).distinct().groupBy(_H1, _H2).count().where(F.col("count") >= min_docs).select(_H1, _H2)
+    frequent = settled(lines.select(_H1, _H2, _ID).distinct().groupBy(_H1, _H2).count().where(F.col("count") >= min_docs).select(_H1, _H2), "frequent-lines")
     dropped = (
         lines.join(frequent, [_H1, _H2], "left_semi")
         .groupBy(_ID, _ROW)
