@@ -13,17 +13,32 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dialogmill.llm.common import settled, table
-from dialogmill.llm.text_hash import mix, shingle_hashes, span_hashes, text_chunks, word_spans
+from dialogmill.llm.text_hash import mix, powers, shingle_hashes, span_hashes, text_chunks, word_spans
 
 MIN_WORDS, GAP = 40, 11
 
 
+def _sliding(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """``of`` over each ``width`` neighbours, from runs that double in length."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        values, size = of(values[:-step], values[step:]), size + step
+    return values
+
+
 def _minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the least value of some ``width`` neighbours, the last one on ties."""
-    if len(values) <= width:
-        return np.array([len(values) - 1 - int(values[::-1].argmin())]) if len(values) else np.zeros(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(values[::-1], width)
-    return np.unique(len(values) - 1 - (runs.argmin(axis=1) + np.arange(len(runs))))
+    """Places that hold the least value of some ``width`` neighbours (of all, if there are fewer), each of them on ties."""
+    width = min(width, len(values))
+    least = _sliding(values, width, np.minimum)
+    around = np.concatenate([np.zeros(width - 1, values.dtype), least, np.zeros(width - 1, values.dtype)])
+    return np.flatnonzero(_sliding(around, width, np.maximum) == values)
+
+
+def _run_digests(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` word hashes, from differences of a running total."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)), dtype=np.uint64)])
+    return mix((total[width:] - total[:-width]) * powers(len(words), inverse=True)[: len(words) - width + 1])
 
 
 def _units(raw: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, min_words: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +47,7 @@ def _units(raw: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarra
     min_words + gap - 1 words holds one that starts alike wherever it stands."""
     if len(words) < min_words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    digests = shingle_hashes(words, min_words)
+    digests = _run_digests(words, min_words)
     starts = _minima(shingle_hashes(words, 3)[: len(digests)], gap)
     lines = np.searchsorted(begin, np.concatenate([[0], np.flatnonzero(raw == 10), [len(raw)]]))
     at, to = lines[:-1], lines[1:]

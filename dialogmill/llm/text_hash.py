@@ -46,6 +46,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the hash base, or of its inverse, modulo 2**64."""
+    return _power(_BASE_INV if inverse else _BASE, n)
+
+
 def text_chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets into them) for runs of rows of about ``size`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
