@@ -1,4 +1,4 @@
-"""Substring dedup: digests of lines and of content-chosen passages, grouped globally; the earliest occurrence stays."""
+"""Substring dedup: digests of lines, paragraphs and content-chosen passages, grouped globally; the earliest occurrence stays."""
 
 from __future__ import annotations
 
@@ -35,80 +35,154 @@ def _minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_sliding(around, width, np.maximum) == values)
 
 
-def _run_digests(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` word hashes, from differences of a running total."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)), dtype=np.uint64)])
-    return mix((total[width:] - total[:-width]) * powers(len(words), inverse=True)[: len(words) - width + 1])
+def _totals(words: np.ndarray) -> np.ndarray:
+    """Running total of a chunk's word hashes, from whose differences any run's digest follows."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)), dtype=np.uint64)])
 
 
-def _units(raw: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, min_words: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, last word, digest) of a text's units: its lines of at least ``min_words`` words, and runs of
-    ``min_words`` words that start at a least word hash among ``gap`` neighbours, so that each repeated run of
-    min_words + gap - 1 words holds one that starts alike wherever it stands."""
-    if len(words) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    digests = _run_digests(words, min_words)
-    starts = _minima(shingle_hashes(words, 3)[: len(digests)], gap)
-    lines = np.searchsorted(begin, np.concatenate([[0], np.flatnonzero(raw == 10), [len(raw)]]))
-    at, to = lines[:-1], lines[1:]
-    fit = np.flatnonzero(to - at >= min_words)
-    rolled = [mix(shingle_hashes(words[at[k] : to[k]], to[k] - at[k]) ^ np.uint64(10)) for k in fit]
-    return np.concatenate([starts, at[fit]]), np.concatenate([starts + min_words - 1, to[fit] - 1]), np.concatenate([digests[starts], *rolled])
+def _digests(total: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words first..stop-1 and their number, wherever they stand."""
+    return mix((total[stop] - total[first]) * powers(len(total), inverse=True)[first] + mix((stop - first).astype(np.uint64)))
+
+
+def _blocks(raw: np.ndarray, off: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of a chunk's lines and of its paragraphs of several lines, of ``least`` words or more."""
+    cuts = np.union1d(off, np.flatnonzero(raw == 10))
+    words = np.searchsorted(begin, cuts)
+    at, to = words[:-1], words[1:]
+    full = to > at
+    fresh = np.isin(cuts[:-1], off)  # first line of a text
+    opens = full & (fresh | ~np.concatenate([[False], full[:-1]]))
+    closes = full & np.concatenate([fresh[1:] | ~full[1:], [True]])[: len(full)]
+    head, tail = np.flatnonzero(opens), np.flatnonzero(closes)
+    several = tail > head
+    first, stop = np.concatenate([at[full], at[head[several]]]), np.concatenate([to[full], to[tail[several]]])
+    fit = stop - first >= least
+    return first[fit], stop[fit]
+
+
+def _repeated(rows: np.ndarray, first: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Whether an earlier unit of the same text has the same digest."""
+    order = np.lexsort((first, digests, rows))
+    again = np.zeros(len(rows), bool)
+    again[order[1:]] = (rows[order[1:]] == rows[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
+    return again
+
+
+_NAMES = ["id", "row", "digest", "start", "stop", "again", "place"]
+
 
+def _schema(docs: DataFrame, id_col: str) -> T.StructType:
+    fields = [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in _NAMES[1:5]]]
+    return T.StructType([*fields, T.StructField("again", T.BooleanType()), T.StructField("place", T.IntegerType())])
 
-def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, gap: int = GAP) -> DataFrame:
-    """(id, row, digest, start, stop, again) of all units: code point offsets, and whether the text itself holds it before."""
+
+def _unit_rows(batch: pa.RecordBatch, row: int, off: np.ndarray, raw: np.ndarray, words: tuple[np.ndarray, np.ndarray], first: np.ndarray, stop: np.ndarray, digests: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A chunk's units as rows; their words are counted within the chunk, their offsets within the text."""
+    begin, end = words
+    rows = np.searchsorted(off, begin[first], "right") - 1
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before each byte
+    which, base = pa.array(rows + row), points[off[rows]]
+    columns = (digests.view(np.int64), points[begin[first]] - base, points[end[stop - 1] + 1] - base, _repeated(rows, first, digests), place.astype(np.int32))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *map(pa.array, columns)], _NAMES)
+
+
+def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None) -> DataFrame:
+    """(id, row, digest, start, stop, again, place) of all units: code point offsets, whether the text itself holds it before, and
+    a run's first word (-1: a line or paragraph).
+
+    Units are the lines and blank-line-separated paragraphs of at least ``line_words`` words, and runs of
+    ``min_words`` words that start at a least word hash among ``gap`` neighbours, so that each repeated run of
+    min_words + gap - 1 words holds one that starts alike wherever it stands.
+    """
+    least = min_words if line_words is None else max(1, line_words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, digests, starts, stops, again = [], [], [], [], []
             for row, raw, off in text_chunks(batch.column(2)):
                 begin, end = word_spans(raw, off)
+                if not len(begin):
+                    continue
                 words, bound = span_hashes(raw, begin, end), np.searchsorted(begin, off)
-                points = np.cumsum((raw & 0xC0) != 0x80)  # characters up to and with each byte
-                for k in range(len(off) - 1):
-                    own = slice(bound[k], bound[k + 1])
-                    first, last, digest = _units(raw[off[k] : off[k + 1]], words[own], begin[own] - off[k], end[own] - off[k], min_words, gap)
-                    if not len(first):
-                        continue
-                    base = points[off[k] - 1] if off[k] else 0
-                    order = np.lexsort((first, digest))
-                    repeat = np.zeros(len(first), bool)
-                    repeat[order[1:]] = digest[order[1:]] == digest[order[:-1]]
-                    rows.append(np.full(len(first), row + k))
-                    digests.append(digest.view(np.int64))
-                    starts.append(points[begin[own][first]] - 1 - base)
-                    stops.append(points[end[own][last]] - base)
-                    again.append(repeat)
-            if rows:
-                which = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *(pa.array(np.concatenate(x)) for x in (digests, starts, stops, again))], names)
-
-    names = ["id", "row", "digest", "start", "stop", "again"]
-    fields = [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in names[1:5]], T.StructField("again", T.BooleanType())]
-    return docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)).mapInArrow(cut, T.StructType(fields))
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gap: int = GAP) -> DataFrame:
-    """(id, row, start, stop, kept_id): passages that an earlier occurrence makes redundant, merged where they touch.
+                total, order = _totals(words), shingle_hashes(words, 3)
+                long = np.flatnonzero(np.diff(bound) >= min_words)
+                runs = np.concatenate([np.zeros(0, np.int64), *[bound[k] + _minima(order[bound[k] : bound[k + 1] - max(min_words, 3) + 1], gap) for k in long]])
+                first, stop = _blocks(raw, off, begin, least)
+                place = np.concatenate([runs - bound[np.searchsorted(bound, runs, "right") - 1], np.full(len(first), -1)])
+                digests = np.concatenate([_digests(total, runs, runs + min_words), _digests(total, first, stop) ^ np.uint64(10)])
+                first, stop = np.concatenate([runs, first]), np.concatenate([runs + min_words, stop])
+                if len(first):
+                    yield _unit_rows(batch, row, off, raw, (begin, end), first, stop, digests, place)
 
-    Occurrences rank by id, then place; the first of each digest stays. Words are compared with A-Z as a-z and
-    whatever white space. Every repeated run of min_words + gap - 1 (50) words is found, and every repeated line of
-    ``min_words`` (40). Offsets are code points of the text as it is; ``row`` is its hash, ``kept_id`` the least id that
-    keeps a part. Null, empty and shorter texts repeat nothing. Rows with null ids are never cut. Rows with one id
-    and one text count as one. An empty table gives an empty table.
+    return docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)).mapInArrow(cut, _schema(docs, id_col))
 
-    Digests are counted before they are shuffled; only the repeated ones are joined back.
-    """
-    units = settled(passages(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_words, gap), "passages")
+
+def _wider(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min_words: int, gap: int) -> DataFrame:
+    """Units as of ``passages``: the runs at the marked places with 1 to gap - 1 words more before or behind them."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many, marked = batch.column(3).value_lengths().to_numpy(), batch.column(3).flatten()
+            owner = np.repeat(np.arange(len(batch)), many)
+            at, sides = marked.field("place").to_numpy(), [marked.field(c).to_numpy(zero_copy_only=False) for c in ("before", "behind")]
+            for row, raw, off in text_chunks(batch.column(2)):
+                begin, end = word_spans(raw, off)
+                words, bound = span_hashes(raw, begin, end), np.searchsorted(begin, off)
+                own = slice(*np.searchsorted(owner, [row, row + len(off) - 1]))
+                text, (before, behind) = owner[own] - row, (s[own] for s in sides)
+                low, high = bound[text], bound[text + 1]
+                run = low + at[own]
+                found = []
+                for more in range(1, gap):
+                    a, b = before & (run - more >= low), behind & (run + min_words + more <= high)
+                    found += [np.stack([run[a] - more, run[a] + min_words]), np.stack([run[b], run[b] + min_words + more])]
+                first, stop = np.unique(np.concatenate(found, axis=1), axis=1)
+                if len(first):
+                    yield _unit_rows(batch, row, off, raw, (begin, end), first, stop, _digests(_totals(words), first, stop), first - bound[np.searchsorted(bound, first, "right") - 1])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    return texts.join(marks, ["id", "row"]).select("id", "row", "text", "marks").mapInArrow(widen, _schema(docs, id_col))
+
+
+def _with_kept(units: DataFrame, name: str) -> DataFrame:
+    """Units whose digest repeats, with the least id that holds it."""
     seen = units.groupBy("digest").agg(F.min("id").alias("kept_id"), F.max("id").alias("last_id"), F.bool_or("again").alias("twice"))
     seen = settled(seen.where("kept_id < last_id OR twice").select("digest", "kept_id"), "repeats")
-    extra = units.join(seen, "digest").where("id <> kept_id OR again").select("id", "row", "start", "stop", "kept_id").distinct()
+    return settled(units.join(seen, "digest"), name)
+
+
+def _islands(units: DataFrame) -> DataFrame:
+    """Adds ``__span``, the number of the group of overlapping units that each is in."""
     line = Window.partitionBy("id", "row").orderBy("start", "stop", "kept_id")
     reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    apart = extra.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    spans = apart.withColumn("__span", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("id", "row", "__span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id")).select(F.col("id").alias(id_col), "row", "start", "stop", "kept_id")
+    apart = units.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    return apart.withColumn("__span", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None) -> DataFrame:
+    """(id, row, start, stop, kept_id): passages that an earlier occurrence makes redundant, merged where they touch.
+
+    Occurrences rank by id, then place; the first of each digest stays. Words are compared with A-Z as a-z and
+    whatever white space. Every repeated run of min_words + gap - 1 (50) words is found and cut to its true ends, and every
+    repeated line or paragraph of ``line_words`` (``min_words`` if not given; 1 takes all). Offsets are code points of
+    the text as it is; ``row`` is its hash, ``kept_id`` the least id that keeps a part. Null and empty texts repeat
+    nothing. Rows with null ids are never cut. Rows with one id and one text count as one. An empty table gives an empty table.
+
+    Digests are counted before they are shuffled; only the repeated ones are joined back. Ends are found in a second
+    pass over the texts that hold the outermost runs: digests of these with up to gap - 1 words more are counted in the same way.
+    """
+    docs = docs.where(F.col(id_col).isNotNull())
+    units = settled(passages(docs, id_col, text_col, min_words, gap, line_words), "passages")
+    repeated = _with_kept(units, "repeated")
+    redundant = F.expr("id <> kept_id OR again")
+    runs = _islands(repeated.where("place >= 0").where(redundant))
+    island = Window.partitionBy("id", "row", "__span")
+    ends = runs.select("digest", (F.col("place") - F.min("place").over(island) < gap).alias("before"), (F.max("place").over(island) - F.col("place") < gap).alias("behind"))
+    ends = settled(ends.groupBy("digest").agg(F.bool_or("before").alias("before"), F.bool_or("behind").alias("behind")).where("before OR behind"), "ends")
+    marks = repeated.where("place >= 0").join(ends, "digest").groupBy("id", "row").agg(F.collect_set(F.struct("place", "before", "behind")).alias("marks"))
+    wider = _with_kept(settled(_wider(docs, marks, id_col, text_col, min_words, gap), "wider"), "widened")
+    extra = repeated.union(wider.select(repeated.columns)).where(redundant).select("id", "row", "start", "stop", "kept_id").distinct()
+    return _islands(extra).groupBy("id", "row", "__span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id")).select(F.col("id").alias(id_col), "row", "start", "stop", "kept_id")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut", **options) -> DataFrame:
@@ -132,5 +206,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_passages(table(spark, sf_dir, "documents"))
+    found = repeated_passages(table(spark, sf_dir, "documents"), line_words=1)
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("stop").alias("stop_char"), F.col("kept_id").alias("kept_doc_id"))

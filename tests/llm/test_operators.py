@@ -365,6 +365,25 @@ def test_every_repeat_of_50_words_is_found(spark):
     assert {r.doc_id for r in passage_dedup.repeated_passages(docs_of(spark, texts)).collect()} == set(range(1, 80, 2))
 
 
+def test_short_lines_and_paragraphs(spark):
+    texts = ["one two\nthree", f"{prose(1, 60)}\nTHREE\n\nsix seven\neight nine ten\n", "x\n\nsix seven eight\nnine ten\n\ny", "three\nthree", "own"]
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.stop], r.kept_id) for r in passage_dedup.repeated_passages(docs_of(spark, texts), line_words=1).collect()}
+    assert found == {(1, "THREE", 0), (2, "six seven eight\nnine ten", 1), (3, "three", 0)}
+    cut = {r.doc_id: r.text for r in passage_dedup.cut_repeats(docs_of(spark, texts), line_words=1).collect()}
+    assert cut[3] == "\n" and cut[0] == texts[0] and cut[4] == "own"
+
+
+def test_passages_are_cut_to_their_ends(spark):
+    texts, want = [], {}
+    for k in range(40):
+        more, p = prose(f"m{k}", 1 + k % 10, 10**9), prose(f"p{k}", 50, 10**9)
+        # the second shares the passage with the first, the third also what stands before it in the second
+        texts += [f"{prose(k, 20 + k)} {p} {prose(-k, 31)}", f"{prose(100 + k, 11 + k)} {more} {p} {prose(200 + k, 5)}", f"{prose(300 + k, 9)} {more} {p}"]
+        want |= {3 * k + 1: p, 3 * k + 2: f"{more} {p}"}
+    got = {r.doc_id: texts[r.doc_id][r.start : r.stop] for r in passage_dedup.repeated_passages(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
 # archives
 
 
