@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from dialogmill.operators.scaling import principal_components, standardize
+
 
 def fit_kmeans(df: DataFrame, k: int, vector: str = "pcs", inits: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> KMeansModel:
     """The best of ``inits`` runs by the sum of squared distances."""
@@ -86,13 +90,13 @@ def nearest_centroid(df: DataFrame, centres: Sequence[Sequence[float]], vector:
     return df.withColumn("__far", F.array(*far)).withColumn(out, (F.array_position("__far", F.array_min("__far")) - 1).cast("int")).drop("__far")
 
 
-def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), vector: str = "pcs", inits: int = 3) -> DataFrame:
+def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), vector: str = "pcs", inits: int = 3, seed: int = 42) -> DataFrame:
     """Adds cluster and cluster_k2, cluster_k3, ...: labels in order of size, then of the centre's coordinates; a K above the number of rows is left out."""
     n = df.count()
     out = df
     for number in dict.fromkeys([k, *extra_k]):
         if number <= n:
-            model = fit_kmeans(df, number, vector, inits)
+            model = fit_kmeans(df, number, vector, inits, seed)
             centres, sizes = model.clusterCenters(), model.summary.clusterSizes
             order = sorted(range(len(centres)), key=lambda c, s=sizes, m=centres: (-s[c], [round(float(x), 9) for x in m[c]]))
             ranked = [centres[c] for c in order]
@@ -122,8 +126,23 @@ def euclidean_silhouette(points: np.ndarray, labels: np.ndarray, block: int = 10
     return total / len(points)
 
 
+def _large_group(rows: DataFrame, columns: Sequence[str], k: int, seed: int) -> DataFrame:
+    """Adds cluster and status to the rows of one group that no single task holds: scaled, turned and fitted by Spark."""
+    odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    if not rows.where(reduce(operator.or_, map(odd, columns))).isEmpty():
+        return rows.withColumns({"cluster": F.lit(None).cast("int"), "status": F.lit("failed: null or non-finite numbers")})
+    scores = principal_components(standardize(rows, columns), columns)[0].cache()
+    try:
+        return label_clusters(scores, k, (), seed=seed).withColumn("status", F.lit("ok"))
+    finally:
+        scores.unpersist()
+
+
 def per_group_clusters(df: DataFrame, group: str, id_col: str, columns: Sequence[str], k: int = 3, max_rows: int = 100_000, seed: int = 42) -> DataFrame:
-    """(group, id, cluster, status) with a model of its own for each group of k to ``max_rows`` rows, one task each; larger and smaller groups are skipped, their rows told so."""
+    """(group, id, cluster, status) with a model of its own for each group of k rows or more; smaller groups are skipped, their rows told so.
+
+    Groups of up to ``max_rows`` rows take one task each; larger ones are fitted by Spark over all executors, one group after the other.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     sized = df.join(sizes, group)
     schema = T.StructType([df.schema[group], df.schema[id_col], T.StructField("cluster", T.IntegerType()), T.StructField("status", T.StringType())])
@@ -153,9 +172,12 @@ def per_group_clusters(df: DataFrame, group: str, id_col: str, columns: Sequence
         except (ValueError, np.linalg.LinAlgError) as e:
             return pd.DataFrame({group: frame[group], id_col: frame[id_col], "cluster": None, "status": f"failed: {e}"})
 
-    fits = F.col("__n").between(k, max_rows)
-    small = sized.where(fits).select(group, id_col, *columns).groupBy(group).applyInPandas(model, schema)
-    return small.union(sized.where(~fits).select(group, id_col, F.lit(None).cast("int"), F.lit("skipped")))
+    small = sized.where(F.col("__n").between(k, max_rows)).select(group, id_col, *columns).groupBy(group).applyInPandas(model, schema)
+    out = small.union(sized.where(F.col("__n") < k).select(group, id_col, F.lit(None).cast("int"), F.lit("skipped")))
+    for name in sorted(r[0] for r in sizes.where((F.col("__n") > max_rows) & (F.col("__n") >= k) & F.col(group).isNotNull()).select(group).collect()):
+        large = _large_group(df.where(F.col(group) == F.lit(name)).select(group, id_col, *columns), columns, k, seed)
+        out = out.union(large.select(group, id_col, "cluster", "status"))
+    return out
 
 
 def pending_groups(groups: DataFrame, finished: DataFrame, group: str, excluded: str = "feature|cluster|result|statistic|analysis|pca") -> DataFrame:

@@ -85,6 +85,16 @@ def test_group_models_and_skips(spark):
     assert len({r.cluster for r in rows if r.id < 30}) == 1 and {r.status for r in rows if r.group == "g"} == {"ok"}
 
 
+def test_groups_above_the_bound_are_fitted_too(spark):
+    df, _ = points(spark)
+    flat = df.select("id", F.col("pcs")[0].alias("x"), F.col("pcs")[1].alias("y"), F.lit("big").alias("group")).union(spark.createDataFrame([(100 + k, float(k % 3), 1.0, "small") for k in range(9)]))
+    rows = cluster.per_group_clusters(flat, "group", "id", ["x", "y"], max_rows=20).collect()
+    assert {r.status for r in rows} == {"ok"} and len(rows) == 69
+    assert [sorted(r.id for r in rows if r.group == "big" and r.cluster == c) for c in range(3)] == [list(range(30)), list(range(30, 50)), list(range(50, 60))]
+    broken = flat.withColumn("x", F.when(F.col("id") != 7, F.col("x")))
+    assert {r.status[:7] for r in cluster.per_group_clusters(broken, "group", "id", ["x", "y"], max_rows=20).collect() if r.group == "big"} == {"failed:"}
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(0, 1.0, 0.0), (0, 1.0, 0.0), (1, 9.0, 0.0)], "cluster int, qa_turns double, x double")
     assert {(r.cluster, r.feature): r.value for r in profile.radar(df, ["qa_turns", "x"]).collect()} == {(0, "qa_turns"): 0.0, (1, "qa_turns"): 1.0, (0, "x"): 0.0, (1, "x"): 0.0}
