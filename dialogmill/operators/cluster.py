@@ -37,12 +37,13 @@ def inertia_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits:
         cached.unpersist()
 
 
-def silhouette_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims: int = 5, inits: int = 1) -> list[tuple[int, float]]:
+def silhouette_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims: int = 5, inits: int = 1, threads: int = 3) -> list[tuple[int, float]]:
     """(k, silhouette) over the first ``dims`` coordinates, with squared distances (the evaluator offers no plain ones)."""
     cut = df.select(F.slice(vector, 1, dims).alias(vector)).cache()
     judge = ClusteringEvaluator(featuresCol="__v", predictionCol="__c")
     try:
-        return [(k, judge.evaluate(fit_kmeans(cut, k, vector, inits).transform(cut.select(array_to_vector(vector).alias("__v"))))) for k in ks]
+        with ThreadPoolExecutor(threads) as pool:
+            return list(zip(ks, pool.map(lambda k: judge.evaluate(fit_kmeans(cut, k, vector, inits).transform(cut.select(array_to_vector(vector).alias("__v")))), ks), strict=True))
     finally:
         cut.unpersist()
 
@@ -92,18 +93,24 @@ def nearest_centroid(df: DataFrame, centres: Sequence[Sequence[float]], vector:
 
 def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), vector: str = "pcs", inits: int = 3, seed: int = 42) -> DataFrame:
     """Adds cluster and cluster_k2, cluster_k3, ...: labels in order of size, then of the centre's coordinates; a K above the number of rows is left out."""
-    n = df.count()
+    cached = df.select(vector).cache()
+    ranked = {}
+    try:
+        n = cached.count()
+        for number in dict.fromkeys([k, *extra_k]):
+            if number <= n:
+                model = fit_kmeans(cached, number, vector, inits, seed)
+                centres, sizes = model.clusterCenters(), model.summary.clusterSizes
+                order = sorted(range(len(centres)), key=lambda c, s=sizes, m=centres: (-s[c], [round(float(x), 9) for x in m[c]]))
+                ranked[number] = [centres[c] for c in order]
+    finally:
+        cached.unpersist()
     out = df
-    for number in dict.fromkeys([k, *extra_k]):
-        if number <= n:
-            model = fit_kmeans(df, number, vector, inits, seed)
-            centres, sizes = model.clusterCenters(), model.summary.clusterSizes
-            order = sorted(range(len(centres)), key=lambda c, s=sizes, m=centres: (-s[c], [round(float(x), 9) for x in m[c]]))
-            ranked = [centres[c] for c in order]
-            if number == k:
-                out = nearest_centroid(out, ranked, vector, "cluster")
-            if number in extra_k:
-                out = nearest_centroid(out, ranked, vector, f"cluster_k{number}")
+    for number, centres in ranked.items():
+        if number == k:
+            out = nearest_centroid(out, centres, vector, "cluster")
+        if number in extra_k:
+            out = nearest_centroid(out, centres, vector, f"cluster_k{number}")
     return out
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dialogmill.jobs import feature_queries
 from dialogmill.operators import clean, cluster, enrich, profile, sampling, scaling
 
 INF = float("inf")
@@ -71,6 +72,19 @@ def test_labels_go_by_size(spark):
     assert all(r.cluster == r.cluster_k3 for r in out) and "cluster_k100" not in out[0].asDict()
 
 
+def test_registered_sweep_is_the_whole_one(spark, sf_dir, monkeypatch):
+    asked = []
+    curve = lambda df, ks, **options: asked.append((list(ks), options["inits"], df.select(F.size("pcs")).first()[0])) or [(2, 0.0)]
+    monkeypatch.setattr(cluster, "inertia_curve", curve)
+    monkeypatch.setattr(cluster, "silhouette_curve", curve)
+    feature_queries.inertia_curve(spark, sf_dir)
+    feature_queries.silhouette_curve(spark, sf_dir)
+    scores, loadings, shares = feature_queries._scores(spark, sf_dir)
+    least = next(n for n in range(1, 26) if sum(shares[:n]) >= 0.8)
+    assert asked == [(list(range(2, 11)), 10, least), (list(range(2, 11)), 10, 25)] and loadings.shape == (25, 25)
+    assert {len(r.pcs) for r in scores.collect()} == {25} and all(np.isfinite(r.pcs).all() for r in scores.collect())
+
+
 def test_silhouettes(spark):
     df, x = points(spark)
     assert max(cluster.silhouette_curve(df, [2, 3, 4]), key=lambda p: p[1])[0] == 3
