@@ -17,6 +17,8 @@ from dialogmill.llm.components import components
 TABLES = 4
 #: Rows of postings that one task looks at.
 PART_ROWS = 250_000
+#: Rows of one key above which it is cut into blocks of about so many.
+KEY_ROWS = 2_048
 #: Pairs that are looked at together.
 BLOCK = 2_000_000
 
@@ -88,22 +90,42 @@ def _run_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = stop
 
 
+def spread(posted: DataFrame, parts: int) -> DataFrame:
+    """Postings with (part, i, j), the task that each goes to, and its block there.
+
+    Keys of up to ``KEY_ROWS`` rows share ``parts`` tasks. Larger ones are cut into blocks by hash, and each two blocks i <= j
+    of a key are a task, so a key with a large share of all rows is worked on by all executors.
+    """
+    key_part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    alone = lambda df: df.select("*", key_part.alias("part"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("block"))
+    hot = settled(posted.groupBy("key").count().where(F.col("count") > KEY_ROWS).select("key", F.ceil(F.col("count") / KEY_ROWS).alias("blocks")), "hot")
+    if hot.isEmpty():
+        return alone(posted)
+    cut = posted.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id", "code", "flip"), "blocks"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = cut.select(*posted.columns, F.col("key").alias("part"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    return alone(posted.join(hot, "key", "left_anti")).union(pairs)
+
+
 def candidates(posted: DataFrame, bits: int, most_apart: int, parts: int) -> DataFrame:
     """(a, b) once each: codes with a substring at distance 2 or less that differ in at most ``most_apart`` bits.
 
     Both meet in every key that is near both; the pair is taken in the first such key only, which follows from the codes.
+    Tasks give their pairs in batches and hold no more than one.
     """
 
-    def meet(group: pa.Table) -> pa.Table:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        across, block = group["i"][0] != group["j"][0], group["block"].to_numpy()
         key, flip = group["key"].to_numpy(), group["flip"].to_numpy()
         order = np.lexsort((flip, key))
-        key, flip = key[order], flip[order]
+        key, flip, block = key[order], flip[order], block[order]
         code = group["code"].to_numpy()[order].view(np.uint64)
         ids = group["id"].combine_chunks().take(pa.array(order))
-        found: list[np.ndarray] = [np.zeros(0, np.int64)]
-        other: list[np.ndarray] = [np.zeros(0, np.int64)]
         for a, b in _run_pairs(key):
             keep = (flip[a] != flip[b]) | (flip[a] < 0)  # equal substrings meet under themselves
+            if across:  # pairs inside a block have a task of their own
+                keep &= block[a] != block[b]
             a, b = a[keep], b[keep]
             keep = np.bitwise_count(code[a] ^ code[b]) <= most_apart
             a, b = a[keep], b[keep]
@@ -117,12 +139,10 @@ def candidates(posted: DataFrame, bits: int, most_apart: int, parts: int) -> Dat
                 low = (x ^ y) & (~(x ^ y) + np.uint64(1))  # lowest bit in which they differ
                 first = np.where(apart == 2, np.minimum(x ^ low, y ^ low), np.minimum(x, y))
                 own &= ~here | ((key[a].view(np.uint64) & np.uint64((1 << 40) - 1)) == first)
-            found.append(a[own])
-            other.append(b[own])
-        return pa.table({"a": ids.take(pa.array(np.concatenate(found))), "b": ids.take(pa.array(np.concatenate(other)))})
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[own])), ids.take(pa.array(b[own]))], ["a", "b"])
 
     fields = [T.StructField(c, posted.schema["id"].dataType) for c in ("a", "b")]
-    return posted.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).applyInArrow(meet, T.StructType(fields))
+    return spread(posted, parts).groupBy("part", "i", "j").applyInArrow(meet, T.StructType(fields))
 
 
 def _cosines(pairs: DataFrame, least: float) -> DataFrame:

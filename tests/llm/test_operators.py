@@ -343,6 +343,19 @@ def test_languages(spark):
     assert got[100].score == 0 and 0.5 <= got[102].score <= 1
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=64)
+    x = np.concatenate([base + draw.normal(size=(300, 64)) * 0.15, draw.normal(size=(200, 64))])
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, vector array<double>")
+    posted = embedding_dedup.postings(table, embedding_dedup.Quantiser.learn(x), 16)
+    whole = sorted(tuple(sorted(r)) for r in embedding_dedup.candidates(posted, 16, 24, 3).collect())
+    monkeypatch.setattr(embedding_dedup, "KEY_ROWS", 20)
+    tasks = embedding_dedup.spread(posted, 3).where("i >= 0").groupBy("part", "i", "j").count().agg(F.max("count"), F.count("*")).first()
+    assert tasks[0] < 100 and tasks[1] > 100
+    assert sorted(tuple(sorted(r)) for r in embedding_dedup.candidates(posted, 16, 24, 3).collect()) == whole and len(set(whole)) == len(whole) > 40_000
+
+
 # passages
 
 
