@@ -7,9 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six ASCII white-space characters, ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -37,8 +39,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that the cluster shares; one of our own only where the session names none and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or _own_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,7 +54,29 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table: lineage ends there, and any executor can read them again."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.settled_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def group_arrow(df: DataFrame, by: list[str], function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``applyInArrow`` whose workers can import this package."""
+    ship_package(df.sparkSession)
+    return df.groupBy(*by).applyInArrow(function, schema)
 
 
 def ascii_lower(text: Column) -> Column:

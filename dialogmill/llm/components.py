@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogmill.llm.common import settled
+from dialogmill.llm.common import discard, settled
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        state = now
-        stars = settled(_small_star(_large_star(stars)), "links")
+        state, before = now, stars
+        stars = settled(_small_star(_large_star(before)), "links")
+        discard(before)
     raise RuntimeError(f"no end after {max_rounds} rounds")

@@ -1,9 +1,7 @@
-"""N-gram Jaccard self-join: candidates by shared rare shingles, decided along signature trees."""
+"""N-gram Jaccard self-join over signature trees whose upper part is dealt out by token."""
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,95 +9,126 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from dialogmill.llm.common import settled, table
+from dialogmill.llm.common import discard, group_arrow, map_arrow, settled, table
 from dialogmill.llm.components import components
-from dialogmill.llm.text_hash import shingle_sets
-
-#: Prefix shingles that a linked pair shares.
-SHARED = 12
-#: Chance below which a linked pair may share fewer: that of a hash collision.
-MISS = 1e-15
-#: Shingles in more prefixes than this come last in the order, at most so many of them (the commonest).
-COMMON_FROM, MOST_COMMON = 64, 500_000
-#: Groups of more documents get further hubs before their pairs are looked at, so many times at most.
-LARGE, MORE_HUBS = 32, 5
-#: Documents that one signature tree holds.
-TREE_SIZE = 256
-
-
-@functools.lru_cache(maxsize=1024)
-def enough(differ: float) -> int:
-    """Draws of which fewer than SHARED agree with a chance below MISS, when each differs with a chance of ``differ``."""
-    k = SHARED
-    while sum(math.comb(k, i) * (1 - differ) ** i * differ ** (k - i) for i in range(SHARED)) > MISS:
-        k += 1
-    return k
-
-
-def prefix_of(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles by which a set (sorted hashes) is looked up: uncommon ones in order of hash, then common ones.
-
-    With one order for all sets, two sets that link share SHARED shingles, or all that they must share if fewer, among the first
-    n - ceil(t * n) + SHARED of each. Where the uncommon ones are a share f > 1 - t of the set, each
-    of the first ones of both is in one set only with a chance of (1 - t) / f at most (the union has n
-    shingles or more, of which 1 - t differ); then ``enough`` of them will do.
-    """
-    n = len(shingles)
-    if not n:
-        return shingles
-    exact = n - -(-n * percent // 100) + SHARED
-    n_rare = n
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
-        shingles, n_rare = np.concatenate([shingles[~last], shingles[last]]), int(n - last.sum())
-    differ = (100 - percent) / 100 * n / n_rare if n_rare else 1.0
-    if differ < 0.6:
-        exact = min(exact, enough(math.ceil(differ * 100) / 100))
-    return shingles[:exact]
+from dialogmill.llm.text_hash import mix, shingle_sets
 
+#: Shingles of one slice of the root, of the sets that a task puts together before it sends them, and of a block of a tree.
+SLICE, HELD, BLOCK = 2_000_000, 1_000_000, 400_000
+#: Bytes of a shingle's hash that the root compares, besides the slice's number.
+ROOT_BYTES = 5
 
 
+def set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that follow from the set alone."""
+    return int(mix(shingles).sum(dtype=np.uint64)), int(mix(shingles ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(id, n_shingles, digest_a, digest_b, prefix) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dialogmill.llm.text_hash import mix
+def _sizes_and_digests(docs: DataFrame, width: int) -> DataFrame:
+    """(id, row, n_shingles, digest_a, digest_b) of every row of (id, row, text)."""
 
-        own = shared.value
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, first, second, prefixes = [], [], [], []
-            for _, found in shingle_sets(batch.column(1), width):
-                size.append(len(found))
-                first.append(mix(found).sum(dtype=np.uint64))
-                second.append(mix(found ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
-                prefixes.append(prefix_of(found, own, percent).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.int64), *prefixes])
-            digests = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (first, second)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(size, np.int64)), *digests, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "n_shingles", "digest_a", "digest_b", "prefix"])
+            found = [(len(s), *set_digest(s)) for _, s in shingle_sets(batch.column(2), width)]
+            numbers = np.array(found, np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(numbers[:, k]) for k in range(3))], ["id", "row", "n_shingles", "digest_a", "digest_b"])
+
+    longs = [T.StructField(c, T.LongType()) for c in ("row", "n_shingles", "digest_a", "digest_b")]
+    return map_arrow(docs, look, T.StructType([docs.schema["id"], *longs]))
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
-    fields = [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("n_shingles", "digest_a", "digest_b")], T.StructField("prefix", T.ArrayType(T.LongType()))]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(look, T.StructType(fields))
+
+def slice_rows(sets: list[np.ndarray], owners: np.ndarray, slices: int) -> pa.RecordBatch:
+    """What these different sets say to each slice: shingles of one set with their owner, those of several once, owned by 0.
+
+    ``sizes`` counts an owner's shingles in the slice that are sent, ``found`` those that other sets here hold too.
+    """
+    shingles, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(shingles, kind="stable")
+    shingles, which = shingles[order], which[order]
+    fresh = np.concatenate([[True], shingles[1:] != shingles[:-1]])
+    several = ~fresh | ~np.concatenate([fresh[1:], [True]])
+    owner = np.concatenate([owners[which], np.zeros(int((fresh & several).sum()), np.uint64)])
+    shingles = np.concatenate([shingles, shingles[fresh & several]])
+    several = np.concatenate([several, np.zeros(len(shingles) - len(several), bool)])
+    part = (shingles >> np.uint64(8 * ROOT_BYTES)) % np.uint64(slices)
+    order = np.lexsort((owner, part))
+    part, owner, shingles, several = part[order], owner[order], shingles[order], several[order]
+    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+    found = np.add.reduceat(several.astype(np.int64), first).astype(np.int32)
+    sizes = (np.diff(np.append(first, len(part))) - found).astype(np.int32)
+    sent = shingles[~several].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ROOT_BYTES]
+    slice_first = np.flatnonzero(np.concatenate([[True], part[first][1:] != part[first][:-1]]))
+    bound = np.append(slice_first, len(first))
+    tokens = np.concatenate([[0], np.cumsum(sizes)])[bound] * ROOT_BYTES
+    packed = pa.Array.from_buffers(pa.binary(), len(slice_first), [None, pa.py_buffer(tokens.astype(np.int32).tobytes()), pa.py_buffer(sent.tobytes())])
+    lists = [_lists(x, bound) for x in (owner[first].view(np.int64), sizes, found)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first][slice_first].astype(np.int32)), packed, *lists], ["slice", "tokens", "owners", "sizes", "found"])
+
+
+def _root_slices(docs: DataFrame, width: int, slices: int) -> DataFrame:
+    """(slice, tokens, owners, sizes, found): the shingles of all sets of (text), dealt by hash; a set's owner is its first digest."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            for _, found in shingle_sets(batch.column(0), width):
+                owner = set_digest(found)[0] if len(found) else None
+                if owner is not None and owner not in sets:
+                    sets[owner] = found
+                    held += len(found)
+                if held >= HELD:
+                    yield slice_rows(list(sets.values()), np.array(list(sets), np.uint64), slices)
+                    sets, held = {}, 0
+        if sets:
+            yield slice_rows(list(sets.values()), np.array(list(sets), np.uint64), slices)
+
+    return map_arrow(docs, send, "slice int, tokens binary, owners array<long>, sizes array<int>, found array<int>")
+
+
+def shared_in_slice(group: pa.Table) -> pa.Table:
+    """(owner, shared): how many of each set's shingles in this slice another set holds too, at most."""
+    packed = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint8).reshape(-1, ROOT_BYTES)
+    tokens = np.zeros((len(packed), 8), np.uint8)
+    tokens[:, :ROOT_BYTES] = packed
+    tokens = tokens.view("<u8").ravel()
+    owners, sizes, found = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in group[name].chunks)]).astype(np.int64) for name in ("owners", "sizes", "found"))
+    entry = np.repeat(np.arange(len(owners)), sizes)
+    owner = owners.view(np.uint64)[entry]
+    order = np.lexsort((owner, tokens))
+    tokens, owner, entry = tokens[order], owner[order], entry[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(tokens)) - 1
+    several = np.repeat((owner[first] == 0) | (owner[first] != owner[last]), last - first + 1)
+    shared = found + np.bincount(entry[several], minlength=len(owners))
+    keep = (shared > 0) & (owners != 0)
+    return pa.table({"owner": pa.array(owners[keep]), "shared": pa.array(shared[keep])})
 
 
 class SignatureTree:
     """Sets in order of size under nodes that hold the OR of their bitmaps, their sizes' range and the most shingles that share a bit."""
 
     FANOUT = 4
+    #: 64-bit words of bitmaps that are compared together.
+    WORDS = 1 << 20
 
     def __init__(self, sets: list[np.ndarray]):
         sizes = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << max(8, min(17, int(8 * sizes.max()).bit_length()))
+        bits = 1 << max(8, min(17, int(8 * sizes.mean()).bit_length()))
         self.order = np.argsort(sizes, kind="stable")
-        marks = np.zeros((len(sets), bits), bool)
-        for k, i in enumerate(self.order):
-            marks[k, (sets[i] & np.uint64(bits - 1)).astype(np.int64)] = True
-        ordered = sizes[self.order]
         self.sets = [sets[i] for i in self.order]
-        self.levels = [(np.packbits(marks, axis=1).view(np.uint64), ordered, ordered, ordered - marks.sum(axis=1))]
+        ordered = sizes[self.order]
+        bitmap = np.zeros((len(sets), bits // 64), np.uint64)
+        for row, shingles in zip(bitmap, self.sets, strict=True):
+            at = shingles & np.uint64(bits - 1)
+            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        self.levels = [(bitmap, ordered, ordered, ordered - np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             cut = np.arange(0, len(self.levels[-1][0]), self.FANOUT)
             bitmap, low, high, lost = self.levels[-1]
@@ -108,108 +137,158 @@ class SignatureTree:
     def may_link(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Whether the largest overlap that nodes a and b of a level allow can make a link."""
         bitmap, low, high, lost = self.levels[level]
-        most = np.bitwise_count(bitmap[a] & bitmap[b]).sum(axis=1, dtype=np.int64) + np.minimum(lost[a], lost[b])
-        most = np.minimum(most, np.minimum(high[a], high[b]))
         near = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-        return near & ((100 + percent) * most >= percent * (low[a] + low[b]))
-
-    def links(self, percent: int) -> Iterator[tuple[int, int]]:
-        """Links that connect what all links connect: a pair already connected isn't looked at again."""
-        root = list(range(len(self.sets)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        pairs = (np.zeros(1, np.int64), np.zeros(1, np.int64))
-        for level in range(len(self.levels) - 1, -1, -1):
-            a, b = pairs
-            keep = (a == b) | self.may_link(level, a, b, percent)
-            if level == 0:
-                keep &= a != b
+        at = np.flatnonzero(near)
+        step = max(1, self.WORDS // bitmap.shape[1])
+        for start in range(0, len(at), step):
+            own = at[start : start + step]
+            x, y = a[own], b[own]
+            most = np.bitwise_count(bitmap[x] & bitmap[y]).sum(axis=1, dtype=np.int64) + np.minimum(lost[x], lost[y])
+            most = np.minimum(most, np.minimum(high[x], high[y]))
+            near[own] = (100 + percent) * most >= percent * (low[x] + low[y])
+        return near
+
+    def _pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the leaf pairs that may link, by dual traversal from (root, root); depth first, so that few node pairs wait."""
+        kid = np.arange(self.FANOUT)
+        wait = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while wait:
+            level, a, b = wait.pop()
+            if len(a) > self.WORDS // 64:
+                wait += [(level, a[k : k + self.WORDS // 64], b[k : k + self.WORDS // 64]) for k in range(0, len(a), self.WORDS // 64)]
+                continue
+            keep = (a == b) if level else a != b
+            other = np.flatnonzero(a != b)
+            keep[other] = self.may_link(level, a[other], b[other], percent)
             a, b = a[keep], b[keep]
-            if level:
+            if level == 0:
+                yield a, b
+            elif len(a):
                 n = len(self.levels[level - 1][0])
-                kid = np.arange(self.FANOUT)
                 x = np.repeat(a[:, None] * self.FANOUT + kid, self.FANOUT, axis=1).ravel()
                 y = np.tile(b[:, None] * self.FANOUT + kid, (1, self.FANOUT)).ravel()
                 fine = (x < n) & (y < n) & (x <= y)
-                pairs = (x[fine], y[fine])
-            else:
-                pairs = (a, b)
-        for x, y in zip(*(p.tolist() for p in pairs), strict=True):
-            if find(x) != find(y):
-                s, t = self.sets[x], self.sets[y]
-                place = np.searchsorted(t, s)
-                both = int((t[np.minimum(place, len(t) - 1)] == s).sum())
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    root[find(x)] = find(y)
-                    yield int(self.order[x]), int(self.order[y])
-
-
-def _decide(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs (hub, id) and the pairs with a common hub; texts: (id, text) of all ids.
+                wait.append((level - 1, x[fine], y[fine]))
 
-    The documents of a hub are dealt into trees of at most TREE_SIZE, the hub into each; trees are dealt evenly.
-    """
-    per_hub = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(per_hub, "hub").select("hub", "id", F.ceil(F.col("n") / (TREE_SIZE - 1)).alias("trees"))
-    members = dealt.select("hub", F.pmod(F.xxhash64("id"), "trees").alias("tree"), "id")
-    hubs = per_hub.select("hub", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / (TREE_SIZE - 1)) - 1)).alias("tree"), F.col("hub").alias("id"))
-    members = settled(members.unionByName(hubs), "members")
-    groups = max(1, -(-members.count() // 2000))
-    schema = T.StructType([T.StructField(c, pairs.schema["id"].dataType) for c in ("a", "b")])
-
-    def decide(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("hub", "ascending"), ("tree", "ascending")]).combine_chunks()
-        ids, texts = group["id"].to_pylist(), group["text"]
-        keys = list(zip(group["hub"].to_pylist(), group["tree"].to_pylist(), strict=True))
-        found: tuple[list, list] = ([], [])
-        start = 0
-        while start < len(keys):
-            end = start + 1
-            while end < len(keys) and keys[end] == keys[start]:
-                end += 1
-            sets = [s for _, s in shingle_sets(texts[start:end], width)]
-            full = [k for k, s in enumerate(sets) if len(s)]
-            if len(full) > 1:
-                for x, y in SignatureTree([sets[k] for k in full]).links(percent):
-                    found[0].append(ids[start + full[x]])
-                    found[1].append(ids[start + full[y]])
-            start = end
-        return pa.table({"a": pa.array(found[0], group.schema.field("id").type), "b": pa.array(found[1], group.schema.field("id").type)})
+    def _link(self, x: int, y: int, percent: int) -> bool:
+        s, t = self.sets[x], self.sets[y]
+        place = np.searchsorted(t, s)
+        both = int((t[np.minimum(place, len(t) - 1)] == s).sum())
+        return 100 * both >= percent * (len(s) + len(t) - both)
 
-    dealt_out = members.join(texts, "id").select("hub", "tree", "id", "text", F.pmod(F.xxhash64("hub", "tree"), F.lit(groups)).alias("part"))
-    return dealt_out.groupBy("part").applyInArrow(decide, schema)
+    def links(self, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """Links that connect what all links connect: a pair already connected isn't looked at again.
 
+        ``side``: only sets of different sides are joined, besides the first set with all others, which goes first.
+        """
+        root = np.arange(len(self.sets))
+        across = np.zeros(len(self.sets), np.int64) if side is None else side[self.order]
 
-def _needed(n_shingles: Column, percent: int) -> Column:
-    """Prefix shingles that a set of this size shares with any set that it links with."""
-    return F.least(F.lit(SHARED), F.ceil(n_shingles * percent / 100))
-
-
-def _often(hubs: DataFrame, percent: int, part: int) -> DataFrame:
-    """Pairs (hub, id) that meet in one of ``part`` of the shingles that a link needs."""
-    return hubs.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size")).where(part * F.col("n") >= _needed(F.col("size"), percent)).select("hub", "id")
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
+        def judge(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                u, v = find(x), find(y)
+                if u != v and self._link(x, y, percent):
+                    root[u] = v
+                    yield int(self.order[x]), int(self.order[y])
 
-def _placed(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    return shared.select("shingle", "id", "n_shingles").join(classes, "id", "left").select("shingle", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        hub = int(np.flatnonzero(self.order == 0)[0])
+        rest = np.delete(np.arange(len(self.sets)), hub)
+        near = self.may_link(0, np.full(len(rest), hub), rest, percent)
+        yield from judge(np.full(int(near.sum()), hub), rest[near])
+        for a, b in self._pairs(percent):
+            while (deeper := root[root]).tobytes() != root.tobytes():
+                root[:] = deeper
+            keep = (root[a] != root[b]) & (across[a] != across[b] if side is not None else True)
+            yield from judge(a[keep], b[keep])
 
 
-def _mixed(placed: DataFrame, above: int) -> DataFrame:
-    """Shingles of more than ``above`` documents that aren't all of one component."""
-    return placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("low") < F.col("high")) & (F.col("n") > above)).select("shingle")
+def _tree_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within each hub's sets; members: (hub, key, n, shingles).
 
+    Hubs of up to BLOCK shingles are one tree each, and many of them one task. Larger ones are cut into blocks by key, and each two
+    blocks are a tree and a task, so no task holds more than a few blocks.
+    """
+    per_hub = settled(members.groupBy("hub").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("hub", F.ceil(F.col("total") / BLOCK).alias("blocks"), "total"), "hubs")
+    parts = max(1, -(-(per_hub.where("blocks = 1").agg(F.sum("total")).first()[0] or 0) // (2 * BLOCK)))
+    blocks = F.col("blocks")
+    dealt = members.join(per_hub, "hub").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    part = F.when(blocks == 1, F.pmod(F.xxhash64("hub"), F.lit(parts))).otherwise(-1 - F.pmod(F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other")), F.lit(1 << 62)))
+    dealt = dealt.select(part.alias("part"), "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "shingles")
 
-def _next_hubs(large: DataFrame, percent: int, round_: int) -> DataFrame:
-    """Pairs (hub, id): for each shingle a hub drawn from its largest component, with all documents of others."""
-    drawn = F.xxhash64("id", F.lit(round_), F.pmod("shingle", F.lit(3)))
-    within = large.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", drawn).alias("hub"))
-    hubs = within.groupBy("shingle").agg(F.max(F.struct("m", "component", "hub")).alias("top")).select("shingle", F.col("top.component").alias("hub_component"), F.col("top.hub").alias("hub"))
-    return _often(large.join(settled(hubs, "hubs"), "shingle").where("component <> hub_component"), percent, 6)
+    def decide(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("hub", "i", "j", "key")]).combine_chunks()
+        keys, block = group["key"].to_numpy(), group["block"].to_numpy()
+        tree = np.stack([group[c].to_numpy() for c in ("hub", "i", "j")], axis=1)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]).any(axis=1)])), len(keys))
+        lists = group["shingles"].combine_chunks()
+        bound, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        found: list[tuple[int, int]] = []
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end - start > 1:
+                sets = [values[bound[k] : bound[k + 1]] for k in range(start, end)]
+                side = None if tree[start, 1] == tree[start, 2] else block[start:end]
+                found += [(keys[start + x], keys[start + y]) for x, y in SignatureTree(sets).links(percent, side)]
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+    return group_arrow(dealt, ["part"], decide, "a long, b long")
+
+
+def _needed(n: Column, percent: int) -> Column:
+    """Least overlap of a set of this size with any set that it links with."""
+    return F.ceil(n * percent / 100)
+
+
+def _members(sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, key, n): the sets that share a prefix shingle with the hub, which is the first set that has it; of (key, shingles)."""
+    each = sets.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    by_key = Window.partitionBy("key")
+    ranked = each.join(often, "shingle").withColumns({"place": F.row_number().over(by_key.orderBy("often", "shingle")), "not_own": F.count(F.lit(1)).over(by_key)})
+    own = F.col("n") - F.col("not_own")  # these come first in the order and meet nothing
+    prefix = settled(ranked.where(own + F.col("place") <= F.col("n") - _needed(F.col("n"), percent) + 1).select("key", "n", "shingle"), "prefixes")
+    hubs = prefix.groupBy("shingle").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("shingle", "hub")
+    return prefix.join(hubs, "shingle").select("hub", "key", "n").distinct()
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, row, n_shingles, component_id, lead) of every row; lead: the smallest (id, hash of the text) of its class."""
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    sets = settled(_sizes_and_digests(texts, width), "digests")
+    digest = ["n_shingles", "digest_a", "digest_b"]
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    copies = settled(sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("lead"), F.min("row").alias("row")), "copies")
+    root = group_arrow(_root_slices(texts.select("text"), width, max(1, -(-total // SLICE))), ["slice"], shared_in_slice, "owner long, shared long")
+    shared = root.groupBy(F.col("owner").alias("digest_a")).agg(F.sum("shared").alias("shared"))
+    near = copies.join(shared, "digest_a").where(F.col("shared") >= _needed(F.col("n_shingles"), percent))
+    near = settled(near.select(*digest, "lead", "row", F.monotonically_increasing_id().alias("key")), "near")
+
+    one = texts.select("row", "text").join(near.select("row", "key"), "row").groupBy("key").agg(F.first("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for _, s in shingle_sets(batch.column(1), width)]
+            bound = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), bound)], ["key", "shingles"])
+
+    shingles = settled(map_arrow(one, cut, "key long, shingles array<long>"), "shingles")
+    members = settled(_members(shingles, percent), "members")
+    links = settled(_tree_links(members.join(shingles, "key"), percent), "links")
+    discard(members, shingles)
+    group = F.coalesce("component", "key")
+    grouped = near.join(components(links, "a", "b").withColumnRenamed("id", "key"), "key", "left").withColumn("group", group)
+    leads = grouped.groupBy("group").agg(F.min("lead").alias("class_lead"))
+    named = settled(grouped.join(leads, "group").select(*digest, "class_lead"), "classes")
+    whole = copies.join(named, digest, "left").select(*digest, F.coalesce("class_lead", "lead").alias("lead"))
+    found = sets.join(whole, digest, "left")
+    return found.select("id", "row", "n_shingles", F.coalesce("lead.id", "id").alias("component_id"), "lead")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -217,62 +296,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A set holds the distinct runs of ``width`` words (A-Z as a-z); with fewer words, the whole run. Two
     documents link when 100 * |A and B| >= percent * |A or B|; component_id is the smallest id reachable. Null and empty
-    texts, and those without words, have 0 shingles and link with nothing. Rows with a null id have a null component unless their text
-    equals another's. Repeated rows are copies. An empty table gives an empty table.
-
-    Copies are merged by a digest first. Documents meet where they share a rare prefix shingle; in each such
-    group the first and the last id are hubs, and others that share half of what a link needs are compared with them
-    along signature trees. Large groups that still hold several components draw further hubs from the largest one.
-    What then still holds several components gives its pairs across these, and all that share what a link needs
-    are compared. So a group of copies costs a
-    number of comparisons in proportion to its size, and texts are shuffled once for each hub.
+    texts, and those without words, have 0 shingles and link with nothing. Rows with a null id link as all do but name no class, so
+    theirs is null where all ids of it are. Repeated rows are copies. Different texts under one id are documents of their own. An empty
+    table gives an empty table.
+
+    Copies are one set. The root of the tree is dealt out in slices of the shingles' hashes: each says how many of a set's shingles
+    occur in any other set, and a set goes no further unless these make a link's least overlap. Below the root, a tree stands
+    at each hub, the first of the sets that share a shingle of their prefixes (rarest first; of n shingles the
+    first n - ceil(t * n) + 1, one of which any link shares), and holds all sets that do; in each tree, node pairs are
+    pruned by OR-combined bitmaps and size ranges, and leaves are counted exactly. Pairs already connected aren't counted again.
+    """
+    return _classes(docs, id_col, text_col, width, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """One document of each class, that with the smallest id (of several texts under it, the one with the smallest hash), all columns as they are.
+
+    Documents without words are classes of their own. Of rows with the same id and text one stays. Rows with a null id stay.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = settled(_prefixes(texts, "id", "text", width, percent, np.zeros(0, np.uint64)), "shingles")
-    copies = settled(sets.where("n_shingles > 0").groupBy("n_shingles", "digest_a", "digest_b").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"), "copies")
-    counts = sets.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON_FROM)
-    common = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()["shingle"].to_numpy()
-    reps = copies.select(F.col("rep").alias("id")).distinct()
-    second = _prefixes(texts, "id", "text", width, percent, np.sort(common.view(np.uint64))) if len(common) else sets
-    postings = settled(second.join(reps, "id", "left_semi").select("id", "n_shingles", F.explode("prefix").alias("shingle")), "postings")
-    groups = postings.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = settled(postings.join(groups, "shingle"), "shared")
-    hubs = shared.where("id > low").select(F.col("low").alias("hub"), "id", "n_shingles").union(shared.where("id > low AND id < high").select(F.col("high").alias("hub"), "id", "n_shingles"))
-    tried = settled(_often(hubs, percent, 2), "pairs")
-    links = settled(_decide(tried, texts, width, percent), "links")
-    first = components(links, "a", "b")
-
-    for round_ in range(MORE_HUBS):
-        placed = settled(_placed(shared, first), "placed")
-        large = _mixed(placed, LARGE)
-        again = settled(_next_hubs(placed.join(large, "shingle", "left_semi"), percent, round_), "pairs")
-        found = settled(_decide(again, texts, width, percent), "links")
-        if found.isEmpty():
-            break
-        tried = tried.union(again)
-        first = components(found.union(first.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
-
-    placed = _placed(shared, first)
-    open_ = settled(placed.join(_mixed(placed, 1), "shingle", "left_semi"), "open")
-    other = open_.select("shingle", F.col("id").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("component").alias("hub_component"))
-    size, hub_size = F.col("n_shingles"), F.col("hub_size")
-    near = (100 * size >= percent * hub_size) & (100 * hub_size >= percent * size)
-    met = open_.join(other, "shingle").where("hub < id AND component <> hub_component").where(near).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(size, hub_size)).alias("largest"))
-    known = tried.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
-    late = settled(met.where(F.col("n") >= _needed(F.col("largest"), percent)).select("hub", "id").join(known, ["hub", "id"], "left_anti"), "pairs")
-    late_links = settled(_decide(late, texts, width, percent), "links")
-    final = components(late_links.union(first.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
-
-    classes = sets.drop("prefix").join(copies, ["n_shingles", "digest_a", "digest_b"], "left")
-    classes = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return classes.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, that with the smallest id, all columns as they are; of repeated rows with that id one stays. Rows with a null id stay."""
-    lead = jaccard_classes(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__lead")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(lead, F.col(id_col) == F.col("__lead"), "left_semi").dropDuplicates([id_col])
-    return known.union(docs.where(F.col(id_col).isNull()))
+    found = _classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, percent)
+    lead = found.where(F.col("lead").isNull() | ((F.col("lead.id") == F.col("id")) & (F.col("lead.row") == F.col("row")))).select(F.col("id").alias("__lead"), F.col("row").alias("__lead_row"))
+    rows = docs.where(F.col(id_col).isNotNull()).withColumn("__row", F.xxhash64(text_col))
+    kept = rows.join(lead, (F.col(id_col) == F.col("__lead")) & (F.col("__row") == F.col("__lead_row")), "left_semi").dropDuplicates([id_col, "__row"])
+    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,9 +187,10 @@ def test_jaccard(spark):
     assert got == classes(texts)
 
 
-def test_jaccard_with_common_shingles_last(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "COMMON_FROM", 5)
-    monkeypatch.setattr(jaccard_join, "TREE_SIZE", 8)
+def test_jaccard_in_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE", 3_000)
+    monkeypatch.setattr(jaccard_join, "HELD", 2_000)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2_000)
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs_of(spark, texts)).collect()}
     assert got == classes(texts)
