@@ -48,7 +48,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col(_ID).alias("__id2"), F.col(_ROW).alias("__row2"), "__dropped")
     )
     found = docs.withColumn(_ROW, row).join(dropped, F.col(id_col).eqNullSafe(F.col("__id2")) & (F.col(_ROW) == F.col("__row2")), "left")
-    all_lines = _lines(F.col(text_col))
+    found = found.withColumn("__lines", _lines(F.col(text_col)))  # split once a text, not once a line
+    all_lines = F.col("__lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__dropped")), lambda i: F.get(all_lines, i))
     text = F.when(F.col("__dropped").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
     counts = F.struct(F.size(all_lines).cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"))

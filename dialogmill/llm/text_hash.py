@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts handled together; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # texts handled together; a longer text is a chunk of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -40,8 +40,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         run = np.full(max(n, CHUNK_BYTES), base, np.uint64)
         run[0] = 1
-        have = np.multiply.accumulate(run)
-        if n <= 4 * CHUNK_BYTES:
+        np.multiply.accumulate(run, out=run)
+        have = run
+        if n <= CHUNK_BYTES:  # those of a longer text aren't kept
             _powers[base] = have
     return have[:n]
 
@@ -84,7 +85,9 @@ def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool
     """Hash of the bytes begin..end of each span; ``fold``: with A-Z as a-z."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    total = np.cumsum(_BYTE[_LOWER[raw] if fold else raw] * _power(_BASE, len(raw)), dtype=np.uint64)
+    total = _BYTE[_LOWER[raw] if fold else raw]
+    total *= _power(_BASE, len(raw))
+    np.cumsum(total, out=total)
     before = np.where(begin > 0, total[begin - 1], np.uint64(0))
     return mix((total[end] - before) * _power(_BASE_INV, len(raw))[begin])
 
