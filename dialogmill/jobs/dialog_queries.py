@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dialogmill.functions.text import COPY_KEYWORDS, IMAGE_MARKER, copy_keyword_count, has_image, normalize_text, preview
 from dialogmill.functions.time import teaching_week, total_weeks
@@ -151,9 +152,10 @@ def _looked(spark, sf_dir):
     return with_distances(calendar_lookups(fx.dialogs(spark, sf_dir), fx.schedule(spark, sf_dir), fx.homework(spark, sf_dir)))
 
 
-_US = "epoch_us({})"
-_ROWS = f"""{fx.D_SQL}, {fx.SCHEDULE_SQL}, {fx.HOMEWORK_SQL},
-q AS (SELECT class_id, row_no, ask_time, epoch_us(ask_time) AS t FROM i),
+def _lookups_sql(source: str = "i", more: str = "") -> str:
+    """SQL of the calendar lookups of the rows in ``source``; ``more``: tables before them."""
+    return f"""{fx.D_SQL}, {fx.SCHEDULE_SQL}, {fx.HOMEWORK_SQL}, {more}
+q AS (SELECT class_id, row_no, ask_time, epoch_us(ask_time) AS t FROM {source}),
 st AS (SELECT DISTINCT class_id, session_start AS x FROM sc), en AS (SELECT DISTINCT class_id, session_end AS x FROM sc),
 re AS (SELECT DISTINCT class_id, release_time AS x FROM hw), de AS (SELECT DISTINCT class_id, deadline_time AS x FROM hw),
 l1 AS (SELECT q.*, st.x AS ns FROM q ASOF LEFT JOIN st ON q.class_id = st.class_id AND q.ask_time < st.x),
@@ -166,6 +168,9 @@ h AS (SELECT row_no, class_id, coalesce((epoch_us(ns) - t) / 3600000000.0, 168.0
   CAST(coalesce(ls + INTERVAL 90 MINUTE >= ask_time, false) AS INT) AS in_class_time FROM l5)"""
 
 
+_ROWS = _lookups_sql()
+
+
 def _hours(name: str):
     @query(name, f"{_ROWS} SELECT row_no, round({name}, 6) AS {name} FROM h")
     def job(spark, sf_dir, name=name):
@@ -266,7 +271,9 @@ def range_audit(spark, sf_dir):
 _QUESTION_HITS = f"{_COUNT} + len(regexp_extract_all(q, '[0-9]+分'))"
 
 
-@query("dialog_features", f"""{_ROWS}, {fx.WINDOWS_SQL}, x AS (SELECT d.*, h.* EXCLUDE (row_no, class_id), {_NORMAL.format('question')} AS q, {_WEEK} AS week, {_WEEKS} AS weeks, course_start, course_end FROM d JOIN h USING (row_no) JOIN cw ON d.class_id = cw.class_id),
+def _features_sql(rows: str = "i", source: str = "d", more: str = "") -> str:
+    """SQL of all features of the dialogs in ``source``, whose rows are also those of ``rows``; ``more``: tables before them."""
+    return f"""{_lookups_sql(rows, more)}, {fx.WINDOWS_SQL}, x AS (SELECT d.*, h.* EXCLUDE (row_no, class_id), {_NORMAL.format('question')} AS q, {_WEEK} AS week, {_WEEKS} AS weeks, course_start, course_end FROM {source} d JOIN h USING (row_no) JOIN cw ON d.class_id = cw.class_id),
 y AS (SELECT *, {_QUESTION_HITS} AS k FROM x),
 g AS (SELECT {KEY}, arg_min(class_id, row_no) AS class_id, count(*) AS n, (epoch_us(max(ask_time)) - epoch_us(min(ask_time))) / 60000000.0 AS span, min(ask_time) AS t, CAST(sum(length(question)) AS BIGINT) AS total_question_chars, avg(length(question)) AS avg_question_length,
   CAST(bool_or(entrance <> '班级') AS INT) AS if_non_class, {', '.join(f"CAST(bool_or(entrance = '{v}') AS INT) AS {k}" for k, v in _FLAG.items())}, CAST(bool_or(entrance IN ('课堂不懂', '课件不懂', '习题不懂')) AS INT) AS is_confusion_entry,
@@ -276,7 +283,40 @@ SELECT {KEY}, class_id, CAST(n AS INT) AS qa_turns, n > 1 AS is_multi_turn, roun
   total_question_chars, round(avg_question_length, 6) AS avg_question_length, if_non_class, {', '.join(_FLAG)}, is_confusion_entry, copy_keywords_count, CAST(copy_keywords_count > 0 AS INT) AS is_copy_paste,
   round(avg_hours_to_assignment, 6) AS avg_hours_to_assignment, round(avg_hours_since_release, 6) AS avg_hours_since_release, round(hours_to_next_class, 6) AS hours_to_next_class, round(hours_from_last_class, 6) AS hours_from_last_class, is_in_class_time,
   round(course_progress_ratio, 6) AS course_progress_ratio, CAST(floor(date_diff('day', DATE '2025-02-17', CAST(t AS DATE)) / 7.0) + 1 AS INT) AS calendar_week_since_2025_0217, round(hour(t) + minute(t) / 60.0, 6) AS day_period, CAST(isodow(t) >= 6 AS INT) AS is_weekend,
-  is_exam_week, CAST(0 AS INT) AS question_type_why FROM g""")
+  is_exam_week, CAST(0 AS INT) AS question_type_why FROM g"""
+
+
+@query("dialog_features", _features_sql())
 def dialog_features(spark, sf_dir):
     found = features.extract_features(fx.dialogs(spark, sf_dir), fx.class_windows(spark, sf_dir), fx.schedule(spark, sf_dir), fx.homework(spark, sf_dir))
     return rounded(found.drop("source"))
+
+
+def _broken(rows):
+    """Some dialogs with a row of another class or without a time."""
+    row, last = F.col("row_no"), F.col("row_no") == F.max("row_no").over(Window.partitionBy("source", "student_id", "dialog_no"))
+    return rows.withColumns({
+        "class_id": F.when(last & (row % 3 == 0), "7").otherwise(F.col("class_id")),
+        "ask_time": F.when(row % 41 != 0, F.col("ask_time")),
+    })
+
+
+_BROKEN = """bx AS (SELECT * REPLACE (CASE WHEN row_no = max(row_no) OVER k AND row_no % 3 = 0 THEN '7' ELSE class_id END AS class_id, CASE WHEN row_no % 41 <> 0 THEN ask_time END AS ask_time)
+  FROM d WINDOW k AS (PARTITION BY student_id, dialog_no)),
+bs AS (SELECT student_id, dialog_no, arg_min(class_id, row_no) AS class_id, bool_or(ask_time IS NULL) AS bad FROM bx GROUP BY ALL),
+"""
+
+
+@query("dialog_features_mixed", _features_sql("bd", "bd", _BROKEN + "bd AS (SELECT bx.* REPLACE (bs.class_id AS class_id) FROM bx JOIN bs USING (student_id, dialog_no) WHERE NOT bad),"))
+def dialog_features_mixed(spark, sf_dir):
+    """The first row's class holds for its dialog, and a missing time refuses it."""
+    found = features.extract_features(_broken(fx.dialogs(spark, sf_dir)), fx.class_windows(spark, sf_dir), fx.schedule(spark, sf_dir), fx.homework(spark, sf_dir))
+    return rounded(found.drop("source"))
+
+
+@query("dialog_outcomes_mixed", f"""{fx.D_SQL}, {fx.WINDOWS_SQL}, {_BROKEN}bl AS (SELECT student_id, dialog_no, min(ask_time) AS lo, max(ask_time) AS hi FROM bx GROUP BY ALL)
+SELECT student_id, dialog_no, bs.class_id, CASE WHEN bad THEN 'invalid_times' WHEN cw.class_id IS NULL THEN 'no_class_info' WHEN course_start IS NULL OR course_end IS NULL THEN 'invalid_window' WHEN lo < course_start OR hi > course_end THEN 'out_of_range' ELSE 'processed' END AS outcome
+FROM bs JOIN bl USING (student_id, dialog_no) LEFT JOIN cw ON bs.class_id = cw.class_id""")
+def dialog_outcomes_mixed(spark, sf_dir):
+    found = audit.dialog_outcomes(_broken(fx.dialogs(spark, sf_dir)), fx.class_windows(spark, sf_dir))
+    return found.select("student_id", "dialog_no", "class_id", "outcome")

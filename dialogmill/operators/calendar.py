@@ -39,7 +39,7 @@ def calendar_lookups(questions: DataFrame, schedule: DataFrame, homework: DataFr
     """Adds last_end, last_release, covered_until, next_start and next_deadline (microseconds, null if none).
 
     last_end is before the question, last_release at it or before, next_start and next_deadline after it;
-    covered_until is the latest end of a session that has started.
+    covered_until is the latest end of a session that has started. Questions without a time stay, with nulls.
     """
     names = [*PAST, *FUTURE]
     nulls = [F.lit(None).cast("long").alias(n) for n in names]
@@ -55,7 +55,7 @@ def calendar_lookups(questions: DataFrame, schedule: DataFrame, homework: DataFr
     found = {n: F.max(n).over(up.rangeBetween(Window.unboundedPreceding, to)) for n, to in PAST.items()}
     found |= {n: F.min(n).over(down.rangeBetween(Window.unboundedPreceding, -1)) for n in FUTURE}
     looked = both.select("class_id", "__bucket", "__row", *[c.alias(n) for n, c in found.items()]).where(F.col("__row").isNotNull())
-    merged = looked.join(carried.select(F.col("class_id").alias("__class"), F.col("__bucket").alias("__b"), *[f"__{n}" for n in names]), F.col("class_id").eqNullSafe(F.col("__class")) & (F.col("__bucket") == F.col("__b")))
+    merged = looked.join(carried.select(F.col("class_id").alias("__class"), F.col("__bucket").alias("__b"), *[f"__{n}" for n in names]), F.col("class_id").eqNullSafe(F.col("__class")) & F.col("__bucket").eqNullSafe(F.col("__b")))
     values = [F.greatest(n, f"__{n}").alias(n) for n in PAST] + [F.least(n, f"__{n}").alias(n) for n in FUTURE]
     return merged.select("__row.*", *values)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dialogmill.functions.text import WHY_KEYWORDS, contains_any, copy_keyword_count, has_image, normalize_text
 from dialogmill.functions.time import calendar_week, day_period, is_weekend, micros, teaching_week, total_weeks
@@ -85,28 +88,52 @@ def clock(first: Column) -> dict[str, Column]:
 
 def first_windows(class_windows: DataFrame, order: str = "row_no") -> DataFrame:
     """One window per class, the first by ``order``."""
-    from pyspark.sql.window import Window
-
     first = Window.partitionBy("class_id").orderBy(order)
     return class_windows.withColumn("__k", F.row_number().over(first)).where("__k = 1").select("class_id", "course_start", "course_end")
 
 
+def with_dialog_class(dialogs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Adds what decides on a whole dialog: __class (that of its first row), __bad (a time is missing), __low and __high."""
+    whole = Window.partitionBy(*key)
+    in_order = whole.orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return dialogs.withColumns({
+        "__class": F.first("class_id").over(in_order),
+        "__bad": F.max(F.col("ask_time").isNull()).over(whole),
+        "__low": F.min("ask_time").over(whole),
+        "__high": F.max("ask_time").over(whole),
+    })
+
+
 def extract_features(dialogs: DataFrame, class_windows: DataFrame, schedule: DataFrame, homework: DataFrame, key: tuple[str, ...] = ("source", "student_id", "dialog_no")) -> DataFrame:
     """All 25 features of every dialog that lies wholly in its class's window.
 
-    dialogs: rows with ``key``, class_id, entrance, question, ask_time and row_no. Answers are never needed, so they aren't read. Two
-    shuffles carry rows: by class and time for the calendar, and by dialog.
+    dialogs: rows with ``key``, class_id, entrance, question, ask_time and row_no. The class of a dialog's first row is
+    that of all its rows. Dialogs with a missing time, and those of a class without a whole window, are left out, as
+    ``audit.dialog_outcomes`` tells. Answers are never needed, so they aren't read.
+
+    Windows over a dialog need no shuffle behind ``segment_dialogs``, which has dealt rows out by student; dialogs that don't
+    count go before any row travels. Two shuffles then carry rows: by class and time for the calendar, and by dialog.
     """
     narrow = dialogs.select(*key, "class_id", "entrance", "question", "ask_time", "row_no")
-    marked = with_text_marks(narrow).withColumn("__why", contains_any(F.coalesce("question", F.lit("")), WHY_KEYWORDS)).withColumn("__size", F.char_length(F.coalesce("question", F.lit("")))).drop("question")
+    decided = with_dialog_class(narrow, key).where("NOT __bad").drop("__bad").withColumn("class_id", F.col("__class")).drop("__class")
+    inside = decided.join(first_windows(class_windows), "class_id").where("__low >= course_start AND __high <= course_end").drop("__low", "__high")
+    question = F.coalesce("question", F.lit(""))
+    marked = with_text_marks(inside).withColumns({"__why": contains_any(question, WHY_KEYWORDS), "__size": F.char_length(question)}).drop("question")
     looked = with_distances(calendar_lookups(marked, schedule, homework))
-    windows = first_windows(class_windows)
-    rows = looked.join(windows, "class_id").withColumn("__week", teaching_week(F.col("ask_time"), F.col("course_start"), F.col("course_end")))
+    rows = looked.withColumn("__week", teaching_week(F.col("ask_time"), F.col("course_start"), F.col("course_end")))
     weeks = total_weeks(F.col("course_start"), F.col("course_end"))
     first = F.min("ask_time")
     values = {
-        "class_id": F.min_by("class_id", "row_no"), **basic(), "total_question_chars": F.sum("__size").cast("long"), "avg_question_length": F.avg("__size"), **entries(), **copy_signs(), **distances(),
-        "course_progress_ratio": F.avg(F.col("__week") / weeks), **clock(first), "is_exam_week": (F.min_by("__week", "ask_time") >= F.first(weeks) - 1).cast("int"), "question_type_why": _any(F.col("__why")),
-    }
-    inside = (F.min("ask_time") >= F.min("course_start")) & (F.max("ask_time") <= F.max("course_end"))
-    return rows.groupBy(*key).agg(*[c.alias(k) for k, c in values.items()], inside.alias("__inside")).where("__inside").drop("__inside")
+        "class_id": F.min_by("class_id", "row_no"),
+        **basic(),
+        "total_question_chars": F.sum("__size").cast("long"),
+        "avg_question_length": F.avg("__size"),
+        **entries(),
+        **copy_signs(),
+        **distances(),
+        "course_progress_ratio": F.avg(F.col("__week") / weeks),
+        **clock(first),
+        "is_exam_week": (F.min_by("__week", "ask_time") >= F.first(weeks) - 1).cast("int"),
+        "question_type_why": _any(F.col("__why")),
+    }
+    return rows.groupBy(*key).agg(*[c.alias(k) for k, c in values.items()])

@@ -1,14 +1,18 @@
-"""Interaction logs and calendars from CSV, with declared schemas."""
+"""Interaction logs and calendars from CSV, each file by the names in its own header line."""
 
 from __future__ import annotations
 
+import csv
+import io
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from dialogmill.operators.clean import clean_interactions
 
@@ -30,45 +34,76 @@ class MissingColumns(ValueError):
     """A source lacks columns that the job needs."""
 
 
-def require_columns(df: DataFrame, names: Sequence[str], what: str = "source") -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise MissingColumns(f"{what} lacks {', '.join(missing)}")
-    return df
-
-
-def _csv(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+def _header(line: str | None) -> tuple[str, ...]:
+    """Names of a header line, stripped of blanks and byte order marks."""
+    cells = next(csv.reader([line]), []) if line else []
+    return tuple(c.strip().strip("\ufeff").strip() for c in cells)
+
+
+def headers(spark: SparkSession, path: str | list[str], recursive: bool = False) -> list[tuple[str, tuple[str, ...]]]:
+    """(path, names in its header line) of every CSV file, in order of path. Of each file one line is read, as when Spark infers names."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").load(path)
+    paths = sorted(r["path"] for r in listing.select("path").collect())  # the contents aren't read
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def first_line(name: str) -> str | None:
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(file.getFileSystem(conf).open(file), "UTF-8"))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return [(name, _header(line)) for name, line in zip(paths, pool.map(first_line, paths), strict=True)]
+
+
+def read_csv(spark: SparkSession, path: str | list[str], names: dict[str, str], required: Sequence[str], what: str, recursive: bool = False, skip_incomplete: bool = False) -> DataFrame:
+    """Rows of all CSV files as texts, columns renamed by ``names`` (unknown ones keep theirs), with ``source`` (file name without ending) and ``row_no``.
+
+    Files with one header line are read together, and those of different headers are put together by name, so neither the
+    order of columns nor an absent one matters; what a file lacks is null. Files that lack a required column fail the
+    job, or are left out with ``skip_incomplete``; if none is left, the job fails.
+    """
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for file, head in headers(spark, path, recursive):
+        groups[tuple(names.get(c, c) for c in head)].append(file)
+    lacking = {head: [n for n in required if n not in head] for head in groups}
+    usable = {head: files for head, files in groups.items() if not lacking[head]}
+    if not usable or (len(usable) < len(groups) and not skip_incomplete):
+        bad = next((head for head in groups if lacking[head]), None)
+        raise MissingColumns(f"{what} {groups[bad][0]} lacks {', '.join(lacking[bad])}" if bad is not None else f"no {what} under {path}")
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-    return reader.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").csv(path)
 
+    def rows(head: tuple[str, ...], files: list[str]) -> DataFrame:
+        wanted = list(dict.fromkeys(c for c in head if c))
+        places = [head.index(c) for c in wanted]
+        found = reader.schema(T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(head))])).csv(files)
+        source = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
+        return found.select(*[F.col(f"_{k}").alias(c) for k, c in zip(places, wanted, strict=True)], source.alias("source"))
 
-def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Headers stripped of blanks and byte order marks, then renamed; unknown ones stay."""
-    return df.select(*[F.col(f"`{c}`").alias(names.get(c.strip().strip("﻿"), c.strip().strip("﻿"))) for c in df.columns])
+    read = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows(head, files) for head, files in usable.items()])
+    return read.withColumn("row_no", F.monotonically_increasing_id())
 
 
-def read_interactions(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """Rows of all logs, with ``source`` (file name without ending) and ``row_no`` (order in the file); texts on one line, rows without student or time dropped."""
-    raw = _csv(spark, path, recursive).withColumns({"source": F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", ""), "row_no": F.monotonically_increasing_id()})
-    rows = require_columns(renamed(raw, INTERACTION_COLUMNS), ["student_id", "ask_time"], "log")
-    texts = [c for c in ("question", "answer") if c in rows.columns]
-    return clean_interactions(rows, texts)
+def read_interactions(spark: SparkSession, path: str | list[str], recursive: bool = False, skip_incomplete: bool = False) -> DataFrame:
+    """Rows of all logs, with ``source`` and ``row_no`` (order in the file); texts on one line, rows without student or time dropped."""
+    rows = read_csv(spark, path, INTERACTION_COLUMNS, ["student_id", "ask_time"], "log", recursive, skip_incomplete)
+    return clean_interactions(rows, [c for c in ("question", "answer") if c in rows.columns])
 
 
 def discover_logs(spark: SparkSession, folder: str, required: Sequence[str] = ("提问时间", "提问内容", "AI回复")) -> DataFrame:
-    """(path, accepted, reason): every CSV below the folder, by its name and its header line."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", False).text(folder)
-    first = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").where("block = 0")
-    header = first.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.monotonically_increasing_id()))).where("k = 1")
+    """(path, accepted, reason): every CSV below the folder, by its name and its header line alone."""
+    files = spark.createDataFrame([(name, list(head)) for name, head in headers(spark, folder, recursive=True)], "path string, head array<string>")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    lacking = F.array_compact(F.array(*[F.when(~F.contains("value", F.lit(c)), F.lit(c)) for c in required]))
+    lacking = F.array_except(F.array(*[F.lit(c) for c in required]), "head")
     reason = F.when(name.rlike("|".join(EXCLUDED_NAMES)), "excluded name").when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.concat_ws(", ", lacking)))
-    return header.select("path", reason.isNull().alias("accepted"), reason.alias("reason"))
+    return files.select("path", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def read_calendar(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
+def read_calendar(spark: SparkSession, path: str | list[str], required: Sequence[str]) -> DataFrame:
     """A calendar with its times parsed (null where they can't be) and ``row_no``; fails at once if a column is missing."""
-    rows = require_columns(renamed(_csv(spark, path).withColumn("row_no", F.monotonically_increasing_id()), CALENDAR_COLUMNS), ["class_id", *required], "calendar")
+    rows = read_csv(spark, path, CALENDAR_COLUMNS, ["class_id", *required], "calendar").drop("source")
     return rows.withColumns({c: F.try_to_timestamp(c).cast("timestamp_ntz") for c in _TIMES if c in rows.columns})
 
 
@@ -78,16 +113,13 @@ def load_reference(spark: SparkSession, class_windows: str, homework: str, sched
         "class_windows": read_calendar(spark, class_windows, ["course_start", "course_end"]),
         "homework": read_calendar(spark, homework, ["release_time", "deadline_time"]),
         "schedule": read_calendar(spark, schedule, ["session_start", "session_end"]),
-        "schools": renamed(_csv(spark, schools), CALENDAR_COLUMNS) if schools else None,
-        "allowed": require_columns(renamed(_csv(spark, allowed), CALENDAR_COLUMNS), ["class_id"], "list of classes") if allowed else None,
+        "schools": read_csv(spark, schools, CALENDAR_COLUMNS, ["platform_id"], "list of schools").drop("source", "row_no") if schools else None,
+        "allowed": read_csv(spark, allowed, CALENDAR_COLUMNS, ["class_id"], "list of classes").drop("source", "row_no") if allowed else None,
     }
 
 
 def read_any_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ("utf-8-sig", "utf-8", "gb18030")) -> DataFrame:
     """(path, row, cells) of small CSV files whose encoding isn't known: each file is decoded in one task by the first encoding that fits."""
-    import csv
-    import io
-
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):

@@ -21,6 +21,33 @@ def test_log_without_students_fails(spark, tmp_path):
         logs.read_interactions(spark, str(tmp_path))
 
 
+def test_logs_with_other_columns_and_orders(spark, tmp_path):
+    row = {"学生ID": "s1", "提问时间": "2025-03-01 10:00:00", "提问内容": "q", "AI回复": "a", "教学班ID": "7", "提问入口": "班级", " note ": "n"}
+    layouts = {"a": ["学生ID", "提问时间", "提问内容", "AI回复", "教学班ID", "提问入口"], "b": ["提问入口", "AI回复", " note ", "提问时间", "学生ID", "教学班ID", "提问内容"], "c": ["教学班ID", "提问内容", "提问时间", "AI回复", "学生ID"]}
+    for name, head in layouts.items():
+        (tmp_path / f"{name}.csv").write_text(f"{','.join(head)}\n{','.join(row[c] for c in head)}\n", encoding="utf-8-sig")
+    rows = {r.source: r for r in logs.read_interactions(spark, str(tmp_path)).collect()}
+    assert {k: (r.student_id, str(r.ask_time), r.question, r.answer, r.class_id, r.entrance, r.note) for k, r in rows.items()} == {
+        k: ("s1", "2025-03-01 10:00:00", "q", "a", "7", "班级" if k != "c" else None, "n" if k == "b" else None) for k in "abc"
+    }
+    (tmp_path / "d.csv").write_text("提问时间,提问内容\n2025-03-01 10:00:00,q\n", encoding="utf-8")
+    with pytest.raises(logs.MissingColumns, match="d.csv lacks student_id"):
+        logs.read_interactions(spark, str(tmp_path))
+    assert logs.read_interactions(spark, str(tmp_path), skip_incomplete=True).count() == 3
+
+
+def test_reference_tables(spark, tmp_path):
+    files = {"w": "教学班ID,开始时间,结束时间\n1,2025-02-17,2025-06-22\n", "h": "教学班ID,发布时间,提交截止时间\n1,2025-03-01,2025-03-08\n", "s": "结课时间,教学班ID,开课时间\n2025-03-01 11:00:00,1,2025-03-01 10:00:00\n", "k": "教学班ID\n1\n", "p": "平台ID,开始时间\n9,2025年2月17日\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8-sig")
+    paths = {k: str(tmp_path / f"{k}.csv") for k in files}
+    found = logs.load_reference(spark, paths["w"], paths["h"], paths["s"], paths["p"], paths["k"])
+    assert str(found["schedule"].first().session_start) == "2025-03-01 10:00:00" and found["allowed"].first().class_id == "1" and found["schools"].first().course_start == "2025年2月17日"
+    assert logs.load_reference(spark, paths["w"], paths["h"], paths["s"])["allowed"] is None
+    with pytest.raises(logs.MissingColumns):
+        logs.load_reference(spark, paths["h"], paths["h"], paths["s"])
+
+
 def test_discovery(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "s_1.csv").write_text(HEAD + "\n", encoding="utf-8")
