@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dialogmill.llm.common import settled, table
+from dialogmill.llm.common import discard, map_arrow, settled, table
 from dialogmill.llm.text_hash import mix, powers, shingle_hashes, span_hashes, text_chunks, word_spans
 
 MIN_WORDS, GAP = 40, 11
@@ -35,18 +35,22 @@ def _minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_sliding(around, width, np.maximum) == values)
 
 
-def _totals(words: np.ndarray) -> np.ndarray:
-    """Running total of a chunk's word hashes, from whose differences any run's digest follows."""
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)), dtype=np.uint64)])
+def _totals(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two running totals of a chunk's word hashes, from whose differences any run's digest follows."""
+    zero, scale = np.zeros(1, np.uint64), powers(len(words))
+    return tuple(np.concatenate([zero, np.cumsum(w * scale, dtype=np.uint64)]) for w in (words, mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
 
 
-def _digests(total: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of the words first..stop-1 and their number, wherever they stand."""
-    return mix((total[stop] - total[first]) * powers(len(total), inverse=True)[first] + mix((stop - first).astype(np.uint64)))
+def _digests(totals: tuple[np.ndarray, np.ndarray], first: np.ndarray, stop: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits (64 and 32) that follow from the words first..stop-1, their number and the kind of unit, wherever they stand."""
+    back = powers(len(totals[0]), inverse=True)[first]
+    salt = mix((stop - first).astype(np.uint64) * np.uint64(2) + np.uint64(kind))
+    digest, check = (mix((t[stop] - t[first]) * back + salt) for t in totals)
+    return digest.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _blocks(raw: np.ndarray, off: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, word after the last) of a chunk's lines and of its paragraphs of several lines, of ``least`` words or more."""
+def _blocks(raw: np.ndarray, off: np.ndarray, begin: np.ndarray, least: int, least_text: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of a chunk's lines and paragraphs of ``least`` words or more, and of its whole texts of ``least_text``."""
     cuts = np.union1d(off, np.flatnonzero(raw == 10))
     words = np.searchsorted(begin, cuts)
     at, to = words[:-1], words[1:]
@@ -55,10 +59,13 @@ def _blocks(raw: np.ndarray, off: np.ndarray, begin: np.ndarray, least: int) ->
     opens = full & (fresh | ~np.concatenate([[False], full[:-1]]))
     closes = full & np.concatenate([fresh[1:] | ~full[1:], [True]])[: len(full)]
     head, tail = np.flatnonzero(opens), np.flatnonzero(closes)
-    several = tail > head
-    first, stop = np.concatenate([at[full], at[head[several]]]), np.concatenate([to[full], to[tail[several]]])
+    first, stop = np.concatenate([at[full], at[head]]), np.concatenate([to[full], to[tail]])
     fit = stop - first >= least
-    return first[fit], stop[fit]
+    text = np.searchsorted(begin, off)
+    some = text[1:] - text[:-1] >= least_text
+    both = np.stack([np.concatenate([first[fit], text[:-1][some]]), np.concatenate([stop[fit], text[1:][some]])])
+    first, stop = np.unique(both, axis=1)  # a line may be its paragraph and its text
+    return first, stop
 
 
 def _repeated(rows: np.ndarray, first: np.ndarray, digests: np.ndarray) -> np.ndarray:
@@ -69,33 +76,25 @@ def _repeated(rows: np.ndarray, first: np.ndarray, digests: np.ndarray) -> np.nd
     return again
 
 
-_NAMES = ["id", "row", "digest", "start", "stop", "again", "place"]
+def _characters(raw: np.ndarray) -> np.ndarray:
+    """Code points before each byte of a chunk, and in all."""
+    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
-def _schema(docs: DataFrame, id_col: str) -> T.StructType:
-    fields = [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in _NAMES[1:5]]]
-    return T.StructType([*fields, T.StructField("again", T.BooleanType()), T.StructField("place", T.IntegerType())])
+def _schema(docs: DataFrame, id_col: str, fields: str) -> T.StructType:
+    return T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(fields)])
 
 
-def _unit_rows(batch: pa.RecordBatch, row: int, off: np.ndarray, raw: np.ndarray, words: tuple[np.ndarray, np.ndarray], first: np.ndarray, stop: np.ndarray, digests: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """A chunk's units as rows; their words are counted within the chunk, their offsets within the text."""
-    begin, end = words
-    rows = np.searchsorted(off, begin[first], "right") - 1
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before each byte
-    which, base = pa.array(rows + row), points[off[rows]]
-    columns = (digests.view(np.int64), points[begin[first]] - base, points[end[stop - 1] + 1] - base, _repeated(rows, first, digests), place.astype(np.int32))
-    return pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *map(pa.array, columns)], _NAMES)
+def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None, text_words: int | None = None) -> DataFrame:
+    """(id, row, digest, check, start, stop, again, place) of all units: code point offsets, whether the text itself holds it before, and
+    a run's first word (-1: a line, paragraph or whole text).
 
-
-def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None) -> DataFrame:
-    """(id, row, digest, start, stop, again, place) of all units: code point offsets, whether the text itself holds it before, and
-    a run's first word (-1: a line or paragraph).
-
-    Units are the lines and blank-line-separated paragraphs of at least ``line_words`` words, and runs of
+    Units are whole texts of at least ``text_words`` words, lines and blank-line-separated paragraphs of at least ``line_words``, and runs of
     ``min_words`` words that start at a least word hash among ``gap`` neighbours, so that each repeated run of
     min_words + gap - 1 words holds one that starts alike wherever it stands.
     """
-    least = min_words if line_words is None else max(1, line_words)
+    least, least_text = (min_words if n is None else max(1, n) for n in (line_words, text_words))
+    names = ["id", "row", "digest", "check", "start", "stop", "again", "place"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,51 +103,91 @@ def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_W
                 if not len(begin):
                     continue
                 words, bound = span_hashes(raw, begin, end), np.searchsorted(begin, off)
-                total, order = _totals(words), shingle_hashes(words, 3)
+                totals, order = _totals(words), shingle_hashes(words, 3)
                 long = np.flatnonzero(np.diff(bound) >= min_words)
                 runs = np.concatenate([np.zeros(0, np.int64), *[bound[k] + _minima(order[bound[k] : bound[k + 1] - max(min_words, 3) + 1], gap) for k in long]])
-                first, stop = _blocks(raw, off, begin, least)
+                first, stop = _blocks(raw, off, begin, least, least_text)
                 place = np.concatenate([runs - bound[np.searchsorted(bound, runs, "right") - 1], np.full(len(first), -1)])
-                digests = np.concatenate([_digests(total, runs, runs + min_words), _digests(total, first, stop) ^ np.uint64(10)])
+                digests = [np.concatenate(d) for d in zip(_digests(totals, runs, runs + min_words, 0), _digests(totals, first, stop, 1), strict=True)]
                 first, stop = np.concatenate([runs, first]), np.concatenate([runs + min_words, stop])
-                if len(first):
-                    yield _unit_rows(batch, row, off, raw, (begin, end), first, stop, digests, place)
+                rows, points = np.searchsorted(off, begin[first], "right") - 1, _characters(raw)
+                base, which = points[off[rows]], pa.array(rows + row)
+                spans = [(x - base).astype(np.int32) for x in (points[begin[first]], points[end[stop - 1] + 1])]
+                columns = (*digests, *spans, _repeated(rows, first, digests[0]), place.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *map(pa.array, columns)], names)
+
+    schema = _schema(docs, id_col, "row long, digest long, check int, start int, stop int, again boolean, place int")
+    return map_arrow(docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)), cut, schema)
 
-    return docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)).mapInArrow(cut, _schema(docs, id_col))
 
+def _contexts(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min_words: int, gap: int) -> DataFrame:
+    """(id, row, digest, check, side, place, edge, context, ends): up to gap - 1 words before (side 0) or behind (1) each marked run.
 
-def _wider(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min_words: int, gap: int) -> DataFrame:
-    """Units as of ``passages``: the runs at the marked places with 1 to gap - 1 words more before or behind them."""
+    ``context`` holds four hash bytes of each word, the nearest first; ``ends`` the offset up to which a cut goes that takes so many of
+    them in; ``edge`` that of the run itself.
+    """
+    names = ["id", "row", "digest", "check", "side", "place", "edge", "context", "ends"]
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.arange(gap - 1)
         for batch in batches:
             many, marked = batch.column(3).value_lengths().to_numpy(), batch.column(3).flatten()
             owner = np.repeat(np.arange(len(batch)), many)
-            at, sides = marked.field("place").to_numpy(), [marked.field(c).to_numpy(zero_copy_only=False) for c in ("before", "behind")]
+            at, (before, behind) = marked.field("place").to_numpy(), (marked.field(c).to_numpy(zero_copy_only=False) for c in ("before", "behind"))
             for row, raw, off in text_chunks(batch.column(2)):
                 begin, end = word_spans(raw, off)
-                words, bound = span_hashes(raw, begin, end), np.searchsorted(begin, off)
-                own = slice(*np.searchsorted(owner, [row, row + len(off) - 1]))
-                text, (before, behind) = owner[own] - row, (s[own] for s in sides)
-                low, high = bound[text], bound[text + 1]
-                run = low + at[own]
-                found = []
-                for more in range(1, gap):
-                    a, b = before & (run - more >= low), behind & (run + min_words + more <= high)
-                    found += [np.stack([run[a] - more, run[a] + min_words]), np.stack([run[b], run[b] + min_words + more])]
-                first, stop = np.unique(np.concatenate(found, axis=1), axis=1)
-                if len(first):
-                    yield _unit_rows(batch, row, off, raw, (begin, end), first, stop, _digests(_totals(words), first, stop), first - bound[np.searchsorted(bound, first, "right") - 1])
+                words, bound, points = span_hashes(raw, begin, end), np.searchsorted(begin, off), _characters(raw)
+                own = np.arange(*np.searchsorted(owner, [row, row + len(off) - 1]))
+                for side, wanted in ((0, before), (1, behind)):
+                    mine = own[wanted[own]]
+                    text = owner[mine] - row
+                    run, base = bound[text] + at[mine], points[off[text]]
+                    if side:
+                        place = run[:, None] + min_words + near
+                        inside, edge = place < bound[text + 1][:, None], points[end[run + min_words - 1] + 1]
+                    else:
+                        place = run[:, None] - 1 - near
+                        inside, edge = place >= bound[text][:, None], points[begin[run]]
+                    bounds = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+                    seen = place[inside]
+                    ends = (points[end[seen] + 1] if side else points[begin[seen]]) - np.repeat(base, np.diff(bounds))
+                    context = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer((bounds * 4).tobytes()), pa.py_buffer(words[seen].astype("<u4").tobytes())])
+                    which = pa.array(owner[mine])
+                    digest, check, word = (marked.field(c).take(pa.array(mine)) for c in ("digest", "check", "place"))
+                    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends.astype(np.int32)))
+                    columns = [digest, check, pa.array(np.full(len(mine), side, np.int8)), word, pa.array((edge - base).astype(np.int32)), context, lists]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names)
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    return texts.join(marks, ["id", "row"]).select("id", "row", "text", "marks").mapInArrow(widen, _schema(docs, id_col))
+    schema = _schema(docs, id_col, "row long, digest long, check int, side byte, place int, edge int, context binary, ends array<int>")
+    return map_arrow(texts.join(marks, ["id", "row"]).select("id", "row", "text", "marks"), look, schema).where(F.octet_length("context") > 0)
+
+
+def _true_ends(contexts: DataFrame) -> DataFrame:
+    """(id, row, start, stop, kept_id): how far each run goes on as an earlier occurrence of it does.
+
+    Contexts of one run are counted once each; their beginnings are then grouped globally, and each learns who has it first.
+    """
+    key = ["digest", "check", "side"]
+    rank = F.struct("id", "row", "place")
+    distinct = contexts.groupBy(*key, "context").agg(F.min(rank).alias("rank"))
+    more = F.explode(F.sequence(F.lit(1), (F.octet_length("context") / 4).cast("int")))
+    begun = distinct.select(*key, "context", "rank", more.alias("n")).withColumn("part", F.expr("substring(context, 1, 4 * n)"))
+    first = begun.groupBy(*key, "part").agg(F.min("rank").alias("first"))
+    known = begun.join(first, [*key, "part"]).groupBy(*key, "context").agg(F.collect_list(F.struct("n", "first")).alias("firsts"))
+    earlier = F.filter("firsts", lambda f: (f["first"]["id"] < F.col("id")) | ((f["first"]["id"] == F.col("id")) & (f["first"]["row"] == F.col("row")) & (f["first"]["place"] < F.col("place"))))
+    found = contexts.join(known, [*key, "context"]).withColumn("most", F.array_max(F.transform(earlier, lambda f: F.struct(f["n"].alias("n"), f["first"]["id"].alias("kept")))))
+    to = F.get("ends", F.col("most.n") - 1)
+    return found.where("most IS NOT NULL").select("id", "row", F.least(to, "edge").alias("start"), F.greatest(to, "edge").alias("stop"), F.col("most.kept").alias("kept_id"))
 
 
 def _with_kept(units: DataFrame, name: str) -> DataFrame:
     """Units whose digest repeats, with the least id that holds it."""
-    seen = units.groupBy("digest").agg(F.min("id").alias("kept_id"), F.max("id").alias("last_id"), F.bool_or("again").alias("twice"))
-    seen = settled(seen.where("kept_id < last_id OR twice").select("digest", "kept_id"), "repeats")
-    return settled(units.join(seen, "digest"), name)
+    seen = units.groupBy("digest", "check").agg(F.min("id").alias("kept_id"), F.max("id").alias("last_id"), F.bool_or("again").alias("twice"))
+    seen = settled(seen.where("kept_id < last_id OR twice").select("digest", "check", "kept_id"), "repeats")
+    found = settled(units.join(seen, ["digest", "check"]), name)
+    discard(units, seen)
+    return found
 
 
 def _islands(units: DataFrame) -> DataFrame:
@@ -159,34 +198,41 @@ def _islands(units: DataFrame) -> DataFrame:
     return apart.withColumn("__span", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None, text_words: int | None = None) -> DataFrame:
     """(id, row, start, stop, kept_id): passages that an earlier occurrence makes redundant, merged where they touch.
 
     Occurrences rank by id, then place; the first of each digest stays. Words are compared with A-Z as a-z and
-    whatever white space. Every repeated run of min_words + gap - 1 (50) words is found and cut to its true ends, and every
-    repeated line or paragraph of ``line_words`` (``min_words`` if not given; 1 takes all). Offsets are code points of
-    the text as it is; ``row`` is its hash, ``kept_id`` the least id that keeps a part. Null and empty texts repeat
-    nothing. Rows with null ids are never cut. Rows with one id and one text count as one. An empty table gives an empty table.
+    whatever white space. Found are: whole texts of ``text_words`` words or more, lines and paragraphs of ``line_words`` or more
+    (both ``min_words`` if not given; 1 takes all), and every repeated run of min_words + gap - 1 (50) words, cut to its true ends. Offsets are
+    code points of the text as it is; ``row`` is its hash, ``kept_id`` the least id that keeps a part. Null and empty texts
+    repeat nothing. Rows with null ids are never cut. Rows with one id and one text count as one, and different texts under one id
+    don't make each other redundant. An empty table gives an empty table.
 
     Digests are counted before they are shuffled; only the repeated ones are joined back. Ends are found in a second
-    pass over the texts that hold the outermost runs: digests of these with up to gap - 1 words more are counted in the same way.
+    pass over the texts that hold the outermost runs: the words around these are compared in the same way.
     """
     docs = docs.where(F.col(id_col).isNotNull())
-    units = settled(passages(docs, id_col, text_col, min_words, gap, line_words), "passages")
-    repeated = _with_kept(units, "repeated")
+    repeated = _with_kept(settled(passages(docs, id_col, text_col, min_words, gap, line_words, text_words), "passages"), "repeated")
     redundant = F.expr("id <> kept_id OR again")
     runs = _islands(repeated.where("place >= 0").where(redundant))
     island = Window.partitionBy("id", "row", "__span")
-    ends = runs.select("digest", (F.col("place") - F.min("place").over(island) < gap).alias("before"), (F.max("place").over(island) - F.col("place") < gap).alias("behind"))
-    ends = settled(ends.groupBy("digest").agg(F.bool_or("before").alias("before"), F.bool_or("behind").alias("behind")).where("before OR behind"), "ends")
-    marks = repeated.where("place >= 0").join(ends, "digest").groupBy("id", "row").agg(F.collect_set(F.struct("place", "before", "behind")).alias("marks"))
-    wider = _with_kept(settled(_wider(docs, marks, id_col, text_col, min_words, gap), "wider"), "widened")
-    extra = repeated.union(wider.select(repeated.columns)).where(redundant).select("id", "row", "start", "stop", "kept_id").distinct()
-    return _islands(extra).groupBy("id", "row", "__span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id")).select(F.col("id").alias(id_col), "row", "start", "stop", "kept_id")
+    near = {"before": F.col("place") - F.min("place").over(island) < gap, "behind": F.max("place").over(island) - F.col("place") < gap}
+    ends = runs.select("digest", "check", *[c.alias(k) for k, c in near.items()]).groupBy("digest", "check").agg(*[F.bool_or(k).alias(k) for k in near])
+    ends = settled(ends.where("before OR behind"), "ends")
+    mark = F.struct("digest", "check", "place", "before", "behind")
+    marks = repeated.where("place >= 0").join(ends, ["digest", "check"]).groupBy("id", "row").agg(F.collect_set(mark).alias("marks"))
+    wider = _true_ends(settled(_contexts(docs, marks, id_col, text_col, min_words, gap), "contexts"))
+    extra = repeated.where(redundant).select("id", "row", "start", "stop", "kept_id").union(wider).distinct()
+    spans = _islands(extra).groupBy("id", "row", "__span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id"))
+    return spans.select(F.col("id").alias(id_col), "row", "start", "stop", "kept_id")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut", **options) -> DataFrame:
-    """All rows and columns with the redundant passages cut out of ``text_col``; ``out`` holds their offsets in the text as it was."""
+    """All rows and columns with the redundant passages cut out of ``text_col``; ``out`` holds their offsets in the text as it was.
+
+    Options and cases are those of ``repeated_passages``: null ids and null or empty texts stay as they are, repeated rows are each cut
+    alike, ``out`` (null where nothing is cut) replaces a column of that name, and an empty table gives an empty table.
+    """
     spans = repeated_passages(docs, id_col, text_col, **options)
     lists = spans.groupBy(F.col(id_col).alias("__cut_id"), F.col("row").alias("__cut_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cut"))
 
@@ -206,5 +252,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_passages(table(spark, sf_dir, "documents"), line_words=1)
+    """Repeated whole texts of any length, and lines, paragraphs and passages from 40 words on."""
+    found = repeated_passages(table(spark, sf_dir, "documents"), text_words=1)
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("stop").alias("stop_char"), F.col("kept_id").alias("kept_doc_id"))

@@ -398,6 +398,66 @@ def test_passages_are_cut_to_their_ends(spark):
     assert got == want
 
 
+def covered(texts, width, line_words, text_words):
+    """Places of words, by document, that an earlier line, paragraph, text or run of ``width`` words makes redundant."""
+    first, out, units = {}, [], []
+    for k, text in enumerate(texts):
+        words = [(m.group().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m.start()) for m in WORD.finditer(text or "")]
+        spans, line = [], 0
+        lines = (text or "").split("\n")
+        at = 0
+        for one in lines:
+            n = len(WORD.findall(one))
+            spans.append((at, at + n))
+            at += n
+        blocks, start = [], None
+        for a, b in [*spans, (at, at)]:
+            if b > a and start is None:
+                start = a
+            if b == a and start is not None:
+                blocks.append((start, a))
+                start = None
+        fit = {x for x in [*spans, *blocks] if x[1] - x[0] >= max(1, line_words)} | ({(0, at)} if at >= max(1, text_words) else set())
+        units.append([("run", a, a + width) for a in range(len(words) - width + 1)] + [("block", a, b) for a, b in sorted(fit)])
+        out.append(set())
+        for kind, a, b in sorted(units[-1], key=lambda u: u[1]):
+            key = (kind, tuple(w for w, _ in words[a:b]))
+            if first.setdefault(key, (k, a)) != (k, a):
+                out[-1] |= set(range(a, b))
+    return out
+
+
+@pytest.mark.parametrize("line_words", [1, 12, None])
+def test_passages_against_brute_force(spark, line_words):
+    """All of each repeated run of 50 words is found, and nothing that isn't in one of 40 (or in a repeated block)."""
+    draw = random.Random(9)
+    pool = [prose(f"pool{k}", n) for k, n in enumerate([3, 8, 20, 45, 50, 55, 60, 90])]
+    texts = []
+    for k in range(70):
+        parts = [draw.choice(pool) if draw.random() < 0.4 else prose(f"{k}/{n}", draw.randrange(1, 60)) for n in range(draw.randrange(1, 6))]
+        texts.append("".join(x + draw.choice([" ", " ", "\n", "\n\n", " \t "]) for x in parts))
+    texts += [None, "", " \n", texts[3].upper(), texts[4] + " tail", "one", "One\n", prose("long", 9000) + " " + pool[-1] + " " + pool[-1]]
+    got = [set() for _ in texts]
+    df = docs_of(spark, texts)
+    for r in passage_dedup.repeated_passages(df.union(df.limit(7)), line_words=line_words, text_words=1).collect():
+        assert r.kept_id <= r.doc_id
+        starts = [m.start() for m in WORD.finditer(texts[r.doc_id])]
+        got[r.doc_id] |= {n for n, at in enumerate(starts) if r.start <= at < r.stop}
+    least = 40 if line_words is None else line_words
+    surely, possibly = covered(texts, 50, least, 1), covered(texts, 40, least, 1)
+    for k in range(len(texts)):
+        assert surely[k] <= got[k] <= possibly[k], texts[k]
+    assert sum(map(len, got)) > 1000
+
+
+def test_passages_of_ties_and_null_ids(spark):
+    text = f"{prose('t', 60)} end"
+    rows = [(None, text), (None, text), (1, text), (1, text), (1, f"other {text}"), (2, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.start, r.stop, r.kept_id) for r in passage_dedup.repeated_passages(df).collect()}
+    assert found == {(2, 0, len(text), 1)}
+
+
 # archives
 
 
@@ -405,7 +465,7 @@ def test_archives(spark, tmp_path):
     big = "<p>é" + "x" * 1000 + "\r\n\r\nWARC/1.1\r\n"
     rows = [(1, "http://a/1\n2", big), (5, "http://a/5", big), (3, None, big), (7, "u", "small"), (8, "u", "small"), (9, "u", None), (10, "u", ""), (None, "u", big), (11, "u", "y" * 999), (12, "u", "y" * 999), (13, "u", "z" * 2_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"n": F.lit(1), "original": F.lit("x"), "payload": F.lit("y")})
-    warc.write_archives(warc.resolve_revisits(pages), str(tmp_path / "w"), records_per_file=3)
+    warc.write_archives(warc.resolve_revisits(pages).repartition(4), str(tmp_path / "w"))
     got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
     assert len(got) == len(rows)
     for page_id, _, html in rows:
