@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialogmill.llm.common import settled, table
+from dialogmill.llm.common import discard, group_arrow, map_arrow, settled, table
 from dialogmill.llm.components import components
 
 TABLES = 4
@@ -23,6 +23,19 @@ KEY_ROWS = 2_048
 BLOCK = 2_000_000
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are first scaled by a power of two, so that no square runs over or under."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    scaled = np.ldexp(vectors, -exponent[:, None])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each two rows in double precision; the scaling is by powers of two and so changes no digit."""
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None]) for v in (x, y))
+    return np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Centre and rotation of unit vectors; the signs of the result are the code."""
@@ -33,7 +46,7 @@ class Quantiser:
     @classmethod
     def learn(cls, sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 5) -> Quantiser:
         """Main directions of the sample, then alternately the nearest signs and the rotation that fits them best."""
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = unit_vectors(sample)
         mean = unit.mean(axis=0)
         bits = min(bits, unit.shape[1])
         _, axes = np.linalg.eigh(np.cov((unit - mean).T).reshape(unit.shape[1], -1)) if len(unit) > 1 else (None, np.eye(unit.shape[1]))
@@ -46,7 +59,7 @@ class Quantiser:
         return cls(mean, main @ turn)
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
-        signs = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.mean) @ self.turn >= 0
+        signs = (unit_vectors(vectors) - self.mean) @ self.turn >= 0
         wide = np.zeros((len(vectors), 64), bool)
         wide[:, : signs.shape[1]] = signs
         return np.packbits(wide, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -56,23 +69,32 @@ def _part(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (codes >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
 
 
-def postings(vectors: DataFrame, quantiser: Quantiser, bits: int) -> DataFrame:
-    """(key, id, code, flip): each code under each of its substrings and under each neighbour of it at distance 1."""
-    shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
+def _by_length(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix) for each length of vector in a batch."""
+    sizes = column.value_lengths().to_numpy()
+    values, bound = column.flatten().to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        yield rows, values[bound[rows][:, None] + np.arange(size)]
+
+
+def postings(vectors: DataFrame, quantisers: dict[int, Quantiser], bits: int) -> DataFrame:
+    """(key, id, code, flip): each code under each of its substrings and under each neighbour of it at distance 1; vectors of different lengths share no key."""
+    shared = vectors.sparkSession.sparkContext.broadcast(quantisers)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.concatenate([[0], 1 << np.arange(bits)]).astype(np.uint64)
         for batch in batches:
-            if not len(batch):
-                continue
-            codes = shared.value.codes(batch.column(1).flatten().to_numpy().reshape(len(batch), -1).astype(np.float64))
-            for k in range(TABLES):
-                keys = (_part(codes, k, bits)[:, None] ^ flips) | np.uint64(k << 40)
-                which = pa.array(np.repeat(np.arange(len(batch)), len(flips)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(which), pa.array(codes.view(np.int64)).take(which), pa.array(np.tile(np.arange(-1, bits, dtype=np.int8), len(batch)))], ["key", "id", "code", "flip"])
+            for rows, matrix in _by_length(batch.column(1)):
+                codes, own = shared.value[matrix.shape[1]].codes(matrix), pa.array(np.repeat(rows, len(flips)))
+                each = pa.array(np.repeat(codes.view(np.int64), len(flips)))
+                for k in range(TABLES):
+                    keys = (_part(codes, k, bits)[:, None] ^ flips) | np.uint64(k << 40 | matrix.shape[1] << 42)
+                    flip = pa.array(np.tile(np.arange(-1, bits, dtype=np.int8), len(rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(own), each, flip], ["key", "id", "code", "flip"])
 
     fields = [T.StructField("key", T.LongType()), vectors.schema["id"], T.StructField("code", T.LongType()), T.StructField("flip", T.ByteType())]
-    return vectors.select("id", "vector").mapInArrow(post, T.StructType(fields))
+    return map_arrow(vectors.select("id", "vector"), post, T.StructType(fields))
 
 
 def _run_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,7 +151,7 @@ def candidates(posted: DataFrame, bits: int, most_apart: int, parts: int) -> Dat
             a, b = a[keep], b[keep]
             keep = np.bitwise_count(code[a] ^ code[b]) <= most_apart
             a, b = a[keep], b[keep]
-            at = key[a] >> 40
+            at = (key[a] >> 40) & 3
             own = np.ones(len(a), bool)
             for k in range(TABLES):
                 x, y = _part(code[a], k, bits), _part(code[b], k, bits)
@@ -142,7 +164,7 @@ def candidates(posted: DataFrame, bits: int, most_apart: int, parts: int) -> Dat
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[own])), ids.take(pa.array(b[own]))], ["a", "b"])
 
     fields = [T.StructField(c, posted.schema["id"].dataType) for c in ("a", "b")]
-    return spread(posted, parts).groupBy("part", "i", "j").applyInArrow(meet, T.StructType(fields))
+    return group_arrow(spread(posted, parts), ["part", "i", "j"], meet, T.StructType(fields))
 
 
 def _cosines(pairs: DataFrame, least: float) -> DataFrame:
@@ -150,54 +172,65 @@ def _cosines(pairs: DataFrame, least: float) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (batch.column(k).flatten().to_numpy().reshape(len(batch), -1).astype(np.float64) for k in (2, 3))
-                cosine = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["a", "b", "cosine"]).filter(pa.array(cosine >= least))
+            others = batch.column(3)
+            for rows, x in _by_length(batch.column(2)):
+                y = others.take(pa.array(rows)).flatten().to_numpy().astype(np.float64).reshape(x.shape)
+                cosine = cosines(x, y)
+                yield batch.select([0, 1]).take(pa.array(rows)).append_column("cosine", pa.array(cosine)).filter(pa.array(cosine >= least))
+
+    return map_arrow(pairs, judge, T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("cosine", T.DoubleType())]))
+
 
-    return pairs.mapInArrow(judge, T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("cosine", T.DoubleType())]))
+def _quantisers(distinct: DataFrame, sample_rows: int) -> dict[int, Quantiser]:
+    """A quantiser for each length of vector, learnt on at most ``sample_rows`` of that length, first by hash."""
+    found = {}
+    for size in sorted(r[0] for r in distinct.select(F.size("vector")).distinct().collect()):
+        sample = distinct.where(F.size("vector") == size).orderBy("h1", "h2").limit(sample_rows).select("vector").toArrow()["vector"].combine_chunks()
+        found[size] = Quantiser.learn(sample.flatten().to_numpy().astype(np.float64).reshape(len(sample), size))
+    return found
 
 
 def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, sample_rows: int = 20_000, most_apart: int = 24) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links at a cosine of ``least`` or more.
 
-    Vectors that are null, zero or hold null or non-finite numbers link with nothing, nor do those of another length
-    than the commonest. Equal vectors are merged first and count each other as links. A null id
-    takes part but names no component. Repeated rows count as vectors of their own. An empty table gives an empty table.
+    Vectors that are null, zero or hold null or non-finite numbers link with nothing; others are compared with those of their
+    own length. Equal vectors are merged first and count each other as links. A null id takes part but names no component,
+    and one whose component has no other id has null for it. Repeated rows count as vectors of their own. Different vectors under one
+    id are vectors of their own. An empty table gives an empty table.
 
-    The rotation is learnt on at most ``sample_rows`` vectors, first by hash. All vectors are indexed: 64 bits in 4
-    tables; codes meet when one of their substrings differs in 2 bits or less, which all do that differ in 11 or less;
-    a cosine of 0.95 means about 6.5 of 64, so 99 in 100 such pairs meet at the very edge and more above it.
+    For each length of vector a rotation is learnt on at most ``sample_rows`` vectors, first by hash. All vectors are indexed:
+    64 bits in 4 tables; codes meet when one of their substrings differs in 2 bits or less, which all do that differ in 11
+    or less; a cosine of 0.95 means about 6.5 of 64, so 99 in 100 such pairs meet at the very edge and more above it.
     Candidates are then compared by their vectors, so no link is below ``least``.
     """
     x = F.col("vector")
-    fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
-    rows = embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    good = rows.where(fine)
-    size = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    none = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if size is None:
-        return none
-    keyed = rows.withColumn("key", F.when(fine & (F.size("vector") == size["d"]), F.struct(F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))))
-    distinct = keyed.where("key IS NOT NULL").groupBy("key.h1", "key.h2", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("id IS NOT NULL")
-    distinct = settled(distinct.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.sum("n").alias("n"), F.first("vector").alias("vector")), "vectors")
-    sample = distinct.orderBy("h1", "h2").limit(sample_rows).select("vector").toArrow()["vector"].combine_chunks()
-    if not len(sample):
-        return none
-    quantiser = Quantiser.learn(sample.flatten().to_numpy().reshape(len(sample), -1).astype(np.float64))
-    bits = max(1, -(-quantiser.turn.shape[1] // TABLES))
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.coalesce(whole & F.exists(x, lambda v: v != 0), F.lit(False))
+    rows = embeddings.select(F.col(id_col).alias("own_id"), F.col(vector_col).alias("vector"))
+    keyed = rows.withColumn("hashes", F.when(fine, F.struct(F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))))
+    equal = keyed.where("hashes IS NOT NULL").groupBy("hashes.h1", "hashes.h2", "vector").agg(F.min("own_id").alias("own_id"), F.count(F.lit(1)).alias("n"))
+    merged = equal.groupBy("h1", "h2").agg(F.min("own_id").alias("own_id"), F.sum("n").alias("n"), F.first("vector").alias("vector"))  # 0.0 and -0.0
+    distinct = settled(merged.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    quantisers = _quantisers(distinct, sample_rows)
+    bits = max([1, *(-(-q.turn.shape[1] // TABLES) for q in quantisers.values())])
     parts = max(1, -(-distinct.count() * TABLES * (bits + 1) // PART_ROWS))
-    pairs = candidates(postings(distinct, quantiser, bits), bits, most_apart, parts)
+    pairs = candidates(postings(distinct, quantisers, bits), bits, most_apart, parts)
     left, right = distinct.select(F.col("id").alias("a"), F.col("vector").alias("x")), distinct.select(F.col("id").alias("b"), F.col("vector").alias("y"))
     links = settled(_cosines(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), least), "links")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = distinct.select(F.col("id").alias("b"), F.col("n").alias("w"))
-    degrees = both.join(weights, "b").groupBy("a").agg(F.sum("w").alias("others"))
-    named = distinct.drop("vector").join(degrees.withColumnRenamed("a", "id"), "id", "left").join(components(links, "a", "b"), "id", "left")
-    groups = settled(named.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")), "groups")
-    out = keyed.drop("vector").withColumns({"h1": F.col("key.h1"), "h2": F.col("key.h2")}).join(groups, ["h1", "h2"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    degrees = both.join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("others"))
+    grouped = distinct.drop("vector").join(degrees, "id", "left").join(components(links, "a", "b"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    leads = grouped.groupBy("group").agg(F.min("own_id").alias("component"))
+    named = grouped.drop("component").join(leads, "group").select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component")
+    groups = settled(named, "groups")
+    discard(links, distinct)
+    out = keyed.select("own_id", F.col("hashes.h1").alias("h1"), F.col("hashes.h2").alias("h2")).join(groups, ["h1", "h2"], "left")
+    component = F.coalesce("component", "own_id")
+    return out.select(
+        F.col("own_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("own_id") == component, F.lit(False)).alias("kept"),
+    )
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,20 @@ def test_vectors(spark):
     assert got == sorted(want, key=str)
 
 
+def test_vectors_of_all_lengths_ids_and_sizes(spark):
+    draw = np.random.default_rng(6)
+    long, short, huge = draw.normal(size=32), draw.normal(size=16), draw.normal(size=32)
+    rows = [(k, list(map(float, long + 0.01 * draw.normal(size=32)))) for k in range(5)]
+    rows += [(10, list(map(float, short))), (11, list(map(float, short))), (12, list(map(float, short * 3 + 0.01)))]
+    rows += [(None, list(map(float, long * 2 + 0.001))), (None, [1.0, *[0.0] * 7]), (None, [2.0, *[0.0] * 7])]
+    rows += [(20, list(map(float, huge * 1e200))), (21, list(map(float, huge * 1.5e-300))), (30, [5.0]), (31, [1e-320]), (32, [-1.0]), (7, list(map(float, -long))), (7, list(map(float, draw.normal(size=32))))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect()), key=str)
+    want = [(0, 5, 0, True), *[(k, 5, 0, False) for k in range(1, 5)], (None, 5, 0, False), (10, 2, 10, True), (11, 2, 10, False), (12, 2, 10, False)]
+    want += [(None, 1, None, False)] * 2 + [(20, 1, 20, True), (21, 1, 20, False), (30, 1, 30, True), (31, 1, 30, False), (32, 0, 32, True), (7, 0, 7, True), (7, 0, 7, True)]
+    assert found == sorted(want, key=str)
+
+
 # toxicity
 
 
@@ -349,7 +363,7 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     base = draw.normal(size=64)
     x = np.concatenate([base + draw.normal(size=(300, 64)) * 0.15, draw.normal(size=(200, 64))])
     table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, vector array<double>")
-    posted = embedding_dedup.postings(table, embedding_dedup.Quantiser.learn(x), 16)
+    posted = embedding_dedup.postings(table, {64: embedding_dedup.Quantiser.learn(x)}, 16)
     whole = sorted(tuple(sorted(r)) for r in embedding_dedup.candidates(posted, 16, 24, 3).collect())
     monkeypatch.setattr(embedding_dedup, "KEY_ROWS", 20)
     tasks = embedding_dedup.spread(posted, 3).where("i >= 0").groupBy("part", "i", "j").count().agg(F.max("count"), F.count("*")).first()
