@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,9 @@ from dialogmill.llm.common import table
 #: Each mask looks at the words under 1 and ignores those under 0. Laid at every position, at least
 #: one stays untouched by any substitution in 11 words, any two in 15 and any three in 20.
 MASKS = ("1111111", "11011011011", "11100010111", "10110101101")
-#: Test-side hashes that one broadcast may hold; larger test sets are taken in blocks of that size.
+#: Items of so many words, in which one may be substituted though no mask is sure to stay untouched, are also looked up by halves.
+HALVED = 10
+#: Test-side hashes that a broadcast may hold; for more, both sides are shuffled by hash.
 BLOCK_HASHES = 1_000_000
 
 
@@ -21,15 +23,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def _seeds(masks: tuple[str, ...], hashes: Column, at: Column) -> Column:
+def _seeds(masks: Sequence[str], hashes: Column, at: Column) -> Column:
     """Array with the hash of each mask laid at position ``at``; null where it overhangs."""
     return F.array(*[
-        F.when(at + len(m) <= F.size(hashes), F.xxhash64(F.lit(k), *[F.get(hashes, at + o) for o, bit in enumerate(m) if bit == "1"]))
-        for k, m in enumerate(masks)
+        F.when(at + len(m) <= F.size(hashes), F.xxhash64(F.lit(m), *[F.get(hashes, at + o) for o, bit in enumerate(m) if bit == "1"]))
+        for m in masks
     ])
 
 
-def _placed(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def _placed(rows: DataFrame, masks: Sequence[str]) -> DataFrame:
     """One row for each position and mask: the columns of ``rows`` with __at and __seed; __words is an array."""
     shortest = min(map(len, masks))
     return (
@@ -42,6 +44,23 @@ def _placed(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _test_seeds(items: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(__seed, __key, __item_at, __item_words) of all items, and the masks to lay on documents.
+
+    Items shorter than every mask are looked up whole, those of ``HALVED`` words by their halves too; masks for these are laid only if there are such items.
+    """
+    n, half = F.size("__words"), HALVED // 2
+    shortest = min(map(len, masks))
+    sizes = {r[0] for r in items.where((n < shortest) | (n == HALVED)).select(n).distinct().collect()}  # a few small numbers
+    seeds = _placed(items.where(n >= shortest), masks)
+    for size in sorted(x for x in sizes if x < shortest):
+        seeds = seeds.union(_placed(items.where(n == size), ["1" * size]))
+    if HALVED in sizes:
+        seeds = seeds.union(_placed(items.where(n == HALVED), ["1" * half]).where(F.col("__at").isin(0, half)))
+    extra = {"1" * x for x in sizes if x < shortest} | ({"1" * half} if HALVED in sizes else set())
+    return seeds.select("__seed", "__key", F.col("__at").alias("__item_at"), n.alias("__item_words")), sorted({*masks, *extra})
+
+
 def _best_overlap(flags: Column) -> Column:
     """The segment of aligned words with the highest score (match 1, substitution -2): its matches and length."""
     zero = F.struct(*[F.lit(0).alias(n) for n in ("score", "matched", "length", "best", "best_matched", "best_length")])
@@ -67,39 +86,34 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
     give hashes; equal hashes are hits. Each hit fixes an alignment of the item with the
     document, whose words are compared one by one: the best-scoring segment (a match counts 1, a substitution
     -2) is the overlap, and it is a leak from ``min_words`` matched words on, or from all but one word in ten of a
-    shorter item. One row per document row and item, its best overlap, the first on ties.
+    shorter item. One row per document row and item id, its best overlap, the first on ties.
 
-    Null or empty texts, and items with fewer words than the shortest mask, leak nothing.
-    Rows with null ids are found with a null id. Repeated documents give repeated findings only if their texts
-    differ; repeated items count by id. Empty tables give an empty table.
+    Null or empty texts, and items without words, leak nothing; items of a few words are found where all of them stand in a row. Rows
+    with null ids, of either side, are found with a null id. Repeated documents give repeated findings only if their texts
+    differ; of several texts under one item id each is looked for. Empty tables give an empty table.
 
-    The test side alone is held in memory: its seeds are counted and broadcast in blocks of at most
-    ``block_hashes``, one pass over the documents for each, so neither its size nor a frequent passage sets a limit.
-    No document text is shuffled, only the aligned words of hits, once per alignment.
+    Seeds of the test side are counted: up to ``block_hashes`` of them are broadcast, and no document text is shuffled, only
+    the aligned words of hits. Above that, seeds of both sides meet in a shuffle, and texts are joined to the alignments found, so
+    neither the size of the test side nor a frequent passage sets a limit. Both ways find the same.
     """
-    items = (
-        tests.select(F.col(item_col).alias("__item"), words(F.col(item_text_col)).alias("__words"))
-        .where(F.col("__item").isNotNull() & (F.size("__words") >= min(map(len, masks))))
-        .groupBy("__item")
-        .agg(F.max("__words").alias("__words"))
-    )
-    longest = items.agg(F.sum(F.size("__words")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-longest * len(masks) // block_hashes))
-    seeds = _placed(items, masks).select("__seed", "__item", F.col("__at").alias("__item_at"), F.size("__words").alias("__item_words"))
+    item_words = tests.select(F.col(item_col).alias("__item"), words(F.col(item_text_col)).alias("__words")).where(F.size("__words") > 0)
+    items = item_words.distinct().withColumn("__key", F.xxhash64("__item", "__words"))
+    seeds, laid = _test_seeds(items, masks)
     texts = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col)).alias("__words"), F.xxhash64(F.col(text_col)).alias("__row"))
-
-    def hits(block: int) -> DataFrame:
-        own = F.broadcast(seeds.where(F.pmod(F.xxhash64("__item"), F.lit(blocks)) == block))
-        shift = F.col("__at") - F.col("__item_at")
-        start, item_start = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
-        length = F.least(F.col("__item_words") - item_start, F.size("__words") - start)
-        return (
-            _placed(texts, masks).join(own, "__seed")
-            .select("__id", "__row", "__item", start.alias("__start"), item_start.alias("__item_start"), F.slice("__words", start + 1, length).alias("__seen"))
-            .distinct()
-        )
-
-    aligned = reduce(DataFrame.union, [hits(b) for b in range(blocks)]).join(items.select("__item", F.col("__words").alias("__own")), "__item")
+    n_seeds = items.agg(F.sum(F.size("__words"))).first()[0] or 0
+    shift = F.col("__at") - F.col("__item_at")
+    places = [F.greatest(shift, F.lit(0)).alias("__start"), F.greatest(-shift, F.lit(0)).alias("__item_start")]
+    length = F.least(F.col("__item_words") - F.col("__item_start"), F.size("__words") - F.col("__start"))
+    seen = F.slice("__words", F.col("__start") + 1, length).alias("__seen")
+    hit = ["__id", "__row", "__key", "__start", "__item_start"]
+    if n_seeds * len(laid) <= block_hashes:
+        hits = _placed(texts, laid).join(F.broadcast(seeds), "__seed").select("*", *places).select(*hit, seen).distinct()
+    else:
+        hits = _placed(texts, laid).drop("__words").join(seeds, "__seed").select("*", *places).select(*hit, "__item_words").distinct()
+        # each document row once, whatever its id
+        one = texts.select("__row", "__words").dropDuplicates(["__row"])
+        hits = hits.join(one, "__row").select(*hit, seen)
+    aligned = hits.join(items.select("__key", "__item", F.col("__words").alias("__own")), "__key")
     flags = F.transform("__seen", lambda w, k: w == F.get(F.col("__own"), k + F.col("__item_start")))
     found = (
         aligned.withColumn("__best", _best_overlap(flags)).withColumn("__n", F.size("__own"))
@@ -112,7 +126,10 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without a leak, all columns as they are; rows with a null id are judged by their text alone."""
+    """The documents without a leak, all columns as they are; rows with a null id are judged by their text alone.
+
+    Null and empty texts stay; repeated rows are judged alike. An empty table gives an empty table.
+    """
     leaks = find_leaks(docs.withColumn("__key", F.xxhash64(F.col(text_col))), tests, id_col="__key", text_col=text_col, **options)
     return docs.withColumn("__key", F.xxhash64(F.col(text_col))).join(leaks.select("__key").distinct(), "__key", "left_anti").select(*docs.columns)
 

@@ -17,8 +17,12 @@ import pyarrow as pa
 from dialogmill.llm.text_hash import span_hashes, text_chunks, word_spans
 
 WORD_START = "▁".encode()
-#: Longer words are computed one by one instead of in the trie.
+#: Words are put into tries by length: up to so many bytes, and up to twice, four times, ... as many.
 TRIE_BYTES = 48
+#: Bytes of words in one trie; fewer words than FEW of such a length are computed one by one, which gives the same.
+TRIE_CELLS, FEW = 5_000_000, 32
+#: Below this, sums of chances are taken relative to a new base.
+SMALL = 1e-100
 CHUNK = 4 << 20
 
 
@@ -145,22 +149,31 @@ def pieces_used(sizes: np.ndarray, steps: list[tuple[np.ndarray, ...]]) -> Itera
 
 
 def forward(words: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, chance: np.ndarray, byte_chance: float) -> np.ndarray:
-    """ln of the summed chance of all segmentations of each word under each model. chance: [piece, model]."""
+    """ln of the summed chance of all segmentations of each word under each model. chance: [piece, model].
+
+    Sums are kept relative to a base for each node and model, which is moved before they run under; so no word's sum is cut off.
+    """
     models = chance.shape[1]
-    scale = 20.0  # per byte, against underflow
     by_piece = np.vstack([chance, np.zeros((1, models))])
     out = np.zeros((len(words), models))
-    old = value = None
+    old = value = base = None
     for depth, level in enumerate(trie_levels(words, sizes, vocabulary)):
         width = level.piece.shape[1]
         old = _history(old, value, level.parent, width, np.ones(models))
-        value = old[:, 0] * (byte_chance * scale)
+        base = np.zeros((len(level.parent), models)) if base is None else base[level.parent]
+        value = old[:, 0] * byte_chance
         for k in range(min(width, old.shape[1])):
             hit = np.flatnonzero(level.piece[:, k] >= 0)
-            value[hit] += old[hit, k] * by_piece[level.piece[hit, k]] * scale ** (k + 1)
-        value = np.maximum(value, 1e-290)
+            value[hit] += old[hit, k] * by_piece[level.piece[hit, k]]
+        small = np.flatnonzero((value < SMALL).any(axis=1))
+        if len(small):
+            factor = value[small]
+            base[small] += np.log(factor)
+            old[small] /= factor[:, None]
+            value[small] = 1.0
         ended = sizes[level.rows] == depth + 1
-        out[level.rows[ended]] = np.log(value[level.node[ended]]) - (depth + 1) * np.log(scale)
+        at = level.node[ended]
+        out[level.rows[ended]] = np.log(value[at]) + base[at]
     return out
 
 
@@ -223,22 +236,25 @@ def words_of(texts: pa.Array) -> Iterator[Words]:
 
 
 def computed(words: Words, chosen: np.ndarray, in_trie: Callable, alone: Callable, out: np.ndarray) -> np.ndarray:
-    """Fills out[k] for the distinct words ``chosen`` (indices): short ones along tries, long ones alone."""
+    """Fills out[k] for the distinct words ``chosen`` (indices), along tries of words of like length."""
     mark = np.frombuffer(WORD_START, np.uint8)
-    short = chosen[words.size[chosen] <= TRIE_BYTES]
-    for part in np.array_split(short, max(1, len(short) // 100_000)):
-        if not len(part):
+    sizes = words.size[chosen]
+    kind = np.ceil(np.log2(np.maximum(sizes, TRIE_BYTES) / TRIE_BYTES)).astype(int)
+    for k in np.unique(kind):
+        same, most = chosen[kind == k], TRIE_BYTES << int(k)
+        if k and len(same) < FEW:
+            for w in same:
+                out[w] = alone(WORD_START + words.raw[words.begin[w] : words.begin[w] + words.size[w]].tobytes(), w)
             continue
-        size = words.size[part]
-        place = np.arange(size.max())
-        inside = place < size[:, None]
-        table = np.full((len(part), len(mark) + len(place)), 256, np.int16)
-        table[:, : len(mark)] = mark
-        table[:, len(mark) :][inside] = words.raw[(words.begin[part][:, None] + place)[inside]]
-        order = np.argsort(np.where(inside, table[:, len(mark) :], 0).astype(np.uint8).view(f"S{len(place)}").ravel(), kind="stable")
-        out[part[order]] = in_trie(table[order], size[order] + len(mark), part[order])
-    for k in chosen[words.size[chosen] > TRIE_BYTES]:
-        out[k] = alone(WORD_START + words.raw[words.begin[k] : words.begin[k] + words.size[k]].tobytes(), k)
+        for part in np.array_split(same, -(-len(same) * most // TRIE_CELLS)):
+            size = words.size[part]
+            place = np.arange(size.max())
+            inside = place < size[:, None]
+            table = np.full((len(part), len(mark) + len(place)), 256, np.int16)
+            table[:, : len(mark)] = mark
+            table[:, len(mark) :][inside] = words.raw[(words.begin[part][:, None] + place)[inside]]
+            order = np.argsort(np.where(inside, table[:, len(mark) :], 0).astype(np.uint8).view(f"S{len(place)}").ravel(), kind="stable")
+            out[part[order]] = in_trie(table[order], size[order] + len(mark), part[order])
     return out
 
 

@@ -136,6 +136,52 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs_of(spark, texts), tests).collect()) == [2, 3, 5, 6]
 
 
+def leaks_of(texts, items):
+    """By trying every alignment: {(document, item): most matched words of a best segment that is a leak}."""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    found = {}
+    for d, text in enumerate(texts):
+        w = cut(text)
+        for k, (item, body) in enumerate(items):
+            own = cut(body)
+            for shift in range(-len(own) + 1, len(w)):
+                pairs = [w[shift + i] == x for i, x in enumerate(own) if 0 <= shift + i < len(w)]
+                best = (0, 0)
+                for a in range(len(pairs)):
+                    score = matched = 0
+                    for hit in pairs[a:]:
+                        score, matched = score + (1 if hit else -2), matched + hit
+                        if score > best[0]:
+                            best = (score, matched)
+                if own and best[1] >= min(13, math.ceil(len(own) * 0.9)):
+                    found[d, item] = max(found.get((d, item), 0), best[1])
+    return found
+
+
+@pytest.mark.parametrize("block_hashes", [1_000_000, 10])
+def test_leaks_against_brute_force(spark, block_hashes):
+    draw = random.Random(11)
+    bodies = [prose(f"item{n}", n) for n in (1, 2, 6, 7, 9, 10, 11, 12, 14, 15, 20, 33)]
+    items = [(k, b) for k, b in enumerate(bodies)] + [(3, prose("second text", 14)), (None, prose("no id", 16)), (40, None), (41, " .,")]
+    texts = []
+    for k in range(60):
+        parts = [prose(f"d{k}", draw.randrange(0, 40), 10**6)]
+        for _ in range(draw.randrange(0, 3)):
+            w = draw.choice(items[:-2])[1].split()
+            for at in draw.sample(range(len(w)), draw.randrange(0, 2) if len(w) < 20 else draw.randrange(0, 4)):
+                w[at] = f"x{draw.random()}".replace(".", "")
+            parts += [" ".join(w), prose(f"e{k}", draw.randrange(0, 9), 10**6)]
+        texts.append(draw.choice([" ", ", "]).join(parts).upper() if k % 2 else " ".join(parts))
+    texts += [None, "", bodies[5] + " " + bodies[5]]
+    df = docs_of(spark, texts)
+    tests = spark.createDataFrame(items, "item_id long, text string").withColumns({"__seed": F.lit(1), "__words": F.lit("x")})
+    rows = decontaminate.find_leaks(df.union(df), tests, block_hashes=block_hashes).collect()
+    got = {(r.doc_id, r.item_id): r.matched for r in rows}
+    assert len(got) == len(rows) > 30 and got == leaks_of(texts, items)
+    bare = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert decontaminate.drop_leaks(bare, tests).count() == len(texts) - len({d for d, _ in got})
+
+
 def test_masks_find_substitutions():
     from itertools import combinations
 
@@ -347,6 +393,20 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(pieces.long_forward(pieces.WORD_START + w, VOCABULARY, chance, 1e-4), got[k])
 
 
+def test_long_words_follow_the_same_rule():
+    draw = random.Random(5)
+    chance = np.random.default_rng(5).dirichlet(np.ones(len(VOCABULARY.pieces)), 3).T
+    text = " ".join("".join(draw.choice("abcx") for _ in range(draw.choice([5, 47, 49, 90, 100, 300]))) for _ in range(300)) + " " + "x" * 700 + " " + "ab" * 2000
+    (words,) = pieces.words_of(pieces.pa.array([text]))
+    everything, zero = np.arange(len(words.keys)), np.zeros((len(words.keys), 3))
+    got = pieces.computed(words, everything, lambda w, n, _: pieces.forward(w, n, VOCABULARY, chance, 1e-9), lambda w, _: pieces.long_forward(w, VOCABULARY, chance, 1e-9), zero.copy())
+    counts = pieces.computed(words, everything, lambda w, n, _: pieces.best_segmentation(w, n, VOCABULARY)[0], lambda w, _: len(pieces.long_best(w, VOCABULARY)), np.zeros(len(words.keys), int))
+    for k in everything:
+        word = pieces.WORD_START + words.raw[words.begin[k] : words.begin[k] + words.size[k]].tobytes()
+        assert np.allclose(got[k], pieces.long_forward(word, VOCABULARY, chance, 1e-9), rtol=1e-9)
+        assert counts[k] == best_count(word, VOCABULARY)
+
+
 def test_languages(spark):
     vocabulary = pieces.Vocabulary.load(token_counts.VOCABULARY_FILE)
     rows = [(k, "the thing of that nation is in the house" if k % 2 else "der Hund ist nicht in dem Haus und schläft", "en" if k % 2 else "de") for k in range(40)]
