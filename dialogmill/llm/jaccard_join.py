@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,8 @@ from dialogmill.llm.text_hash import mix, shingle_sets
 SLICE, HELD, BLOCK = 2_000_000, 1_000_000, 400_000
 #: Bytes of a shingle's hash that the root compares, besides the slice's number.
 ROOT_BYTES = 5
+#: Sets for which a filter of rows is broadcast (16 bits each, so 16 MB at most), and texts that a task remembers to have sent.
+FILTER_ROWS, SENT = 1 << 23, 1 << 20
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -43,72 +47,172 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def slice_rows(sets: list[np.ndarray], owners: np.ndarray, slices: int) -> pa.RecordBatch:
-    """What these different sets say to each slice: shingles of one set with their owner, those of several once, owned by 0.
+def pack_indices(index: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending indices of each run bound[k]..bound[k + 1] as bytes: the difference to the index before, 255 for each 255 of it; and the runs' byte bounds."""
+    step = np.diff(index, prepend=0)
+    first = bound[:-1][bound[1:] > bound[:-1]]
+    step[first] = index[first]
+    last = np.cumsum(step // 255 + 1)
+    out = np.full(int(last[-1]) if len(last) else 0, 255, np.uint8)
+    out[last - 1] = step % 255
+    return out, np.concatenate([[0], last])[bound]
 
-    ``sizes`` counts an owner's shingles in the slice that are sent, ``found`` those that other sets here hold too.
-    """
+
+def unpack_indices(packed: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices of runs of ``pack_indices`` one behind the other, and the runs' bounds among them."""
+    total = np.concatenate([[0], np.cumsum(packed, dtype=np.int64)])
+    ends = np.flatnonzero(packed != 255)
+    run = np.searchsorted(bound, ends, "right") - 1
+    return total[ends + 1] - total[bound[run]], np.searchsorted(ends, bound)
+
+
+def _binaries(values: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """Bytes bound[k]..bound[k + 1] of ``values`` as binary k."""
+    return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer(bound.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _tokens(shingles: np.ndarray) -> np.ndarray:
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ROOT_BYTES]
+
+
+#: What a task tells of each of its sets: digest, size, and how many of its shingles other sets of the task hold.
+_NAMED = np.dtype([("digest", "<i8"), ("n", "<i4"), ("found", "<i4")])
+
+
+def cells(sets: list[np.ndarray], digests: np.ndarray, chunk: int, slices: int) -> pa.RecordBatch:
+    """What these different sets say to each slice: shingles of one set with its place among the sets, and those of several, once each."""
     shingles, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(shingles, kind="stable")
     shingles, which = shingles[order], which[order]
     fresh = np.concatenate([[True], shingles[1:] != shingles[:-1]])
-    several = ~fresh | ~np.concatenate([fresh[1:], [True]])
-    owner = np.concatenate([owners[which], np.zeros(int((fresh & several).sum()), np.uint64)])
-    shingles = np.concatenate([shingles, shingles[fresh & several]])
-    several = np.concatenate([several, np.zeros(len(shingles) - len(several), bool)])
-    part = (shingles >> np.uint64(8 * ROOT_BYTES)) % np.uint64(slices)
-    order = np.lexsort((owner, part))
-    part, owner, shingles, several = part[order], owner[order], shingles[order], several[order]
-    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
-    found = np.add.reduceat(several.astype(np.int64), first).astype(np.int32)
-    sizes = (np.diff(np.append(first, len(part))) - found).astype(np.int32)
-    sent = shingles[~several].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ROOT_BYTES]
-    slice_first = np.flatnonzero(np.concatenate([[True], part[first][1:] != part[first][:-1]]))
-    bound = np.append(slice_first, len(first))
-    tokens = np.concatenate([[0], np.cumsum(sizes)])[bound] * ROOT_BYTES
-    packed = pa.Array.from_buffers(pa.binary(), len(slice_first), [None, pa.py_buffer(tokens.astype(np.int32).tobytes()), pa.py_buffer(sent.tobytes())])
-    lists = [_lists(x, bound) for x in (owner[first].view(np.int64), sizes, found)]
-    return pa.RecordBatch.from_arrays([pa.array(part[first][slice_first].astype(np.int32)), packed, *lists], ["slice", "tokens", "owners", "sizes", "found"])
-
-
-def _root_slices(docs: DataFrame, width: int, slices: int) -> DataFrame:
-    """(slice, tokens, owners, sizes, found): the shingles of all sets of (text), dealt by hash; a set's owner is its first digest."""
+    alone = fresh & np.concatenate([fresh[1:], [True]])
+    named = np.zeros(len(sets), _NAMED)
+    named["digest"], named["n"] = digests.view(np.int64), [len(s) for s in sets]
+    named["found"] = np.bincount(which[~alone], minlength=len(sets))
+
+    def dealt(some: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = ((some >> np.uint64(8 * ROOT_BYTES)) % np.uint64(slices)).astype(np.int64)
+        order = np.lexsort((place, part))
+        return some[order], place[order], np.concatenate([[0], np.cumsum(np.bincount(part, minlength=slices))])
+
+    single, who, bound = dealt(shingles[alone], which[alone])
+    several, _, bound_several = dealt(shingles[fresh & ~alone], np.zeros(int((fresh & ~alone).sum()), np.int64))
+    columns = [
+        pa.array(np.arange(slices, dtype=np.int32)), pa.array(np.full(slices, chunk, np.int64)), _binaries(_tokens(single), bound * ROOT_BYTES),
+        _binaries(_tokens(several), bound_several * ROOT_BYTES), _binaries(*pack_indices(who, bound)), pa.array([named.tobytes(), *[None] * (slices - 1)], pa.binary()),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, ["slice", "chunk", "tokens", "several", "who", "sets"])
+    return batch.filter(pa.array((np.diff(bound) + np.diff(bound_several) > 0) | (np.arange(slices) == 0)))
+
+
+def _root_cells(docs: DataFrame, width: int, slices: int) -> DataFrame:
+    """The cells (slice, chunk) of all sets of (text): shingles dealt by hash, those of about HELD together."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 24
         sets: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
             for _, found in shingle_sets(batch.column(0), width):
-                owner = set_digest(found)[0] if len(found) else None
-                if owner is not None and owner not in sets:
-                    sets[owner] = found
+                digest = set_digest(found)[0] if len(found) else None
+                if digest is not None and digest not in sets:
+                    sets[digest] = found
                     held += len(found)
                 if held >= HELD:
-                    yield slice_rows(list(sets.values()), np.array(list(sets), np.uint64), slices)
-                    sets, held = {}, 0
+                    yield cells(list(sets.values()), np.array(list(sets), np.uint64), chunk, slices)
+                    sets, held, chunk = {}, 0, chunk + 1
         if sets:
-            yield slice_rows(list(sets.values()), np.array(list(sets), np.uint64), slices)
+            yield cells(list(sets.values()), np.array(list(sets), np.uint64), chunk, slices)
+
+    return map_arrow(docs, send, "slice int, chunk long, tokens binary, several binary, who binary, sets binary")
+
 
-    return map_arrow(docs, send, "slice int, tokens binary, owners array<long>, sizes array<int>, found array<int>")
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one behind the other, and their bounds."""
+    values = [v or b"" for v in column.to_pylist()]
+    return np.frombuffer(b"".join(values), np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
 
 
 def shared_in_slice(group: pa.Table) -> pa.Table:
-    """(owner, shared): how many of each set's shingles in this slice another set holds too, at most."""
-    packed = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint8).reshape(-1, ROOT_BYTES)
-    tokens = np.zeros((len(packed), 8), np.uint8)
-    tokens[:, :ROOT_BYTES] = packed
-    tokens = tokens.view("<u8").ravel()
-    owners, sizes, found = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in group[name].chunks)]).astype(np.int64) for name in ("owners", "sizes", "found"))
-    entry = np.repeat(np.arange(len(owners)), sizes)
-    owner = owners.view(np.uint64)[entry]
-    order = np.lexsort((owner, tokens))
-    tokens, owner, entry = tokens[order], owner[order], entry[order]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(tokens)) - 1
-    several = np.repeat((owner[first] == 0) | (owner[first] != owner[last]), last - first + 1)
-    shared = found + np.bincount(entry[several], minlength=len(owners))
-    keep = (shared > 0) & (owners != 0)
-    return pa.table({"owner": pa.array(owners[keep]), "shared": pa.array(shared[keep])})
+    """(chunk, hits, sets): for each cell, the sets whose shingles another cell or several sets of a cell hold too, once a shingle."""
+    (single, bound), (several, _), (who, who_bound) = (_joined(group[c]) for c in ("tokens", "several", "who"))
+    tokens = np.zeros((len(single) + len(several)) // ROOT_BYTES, "<u8")
+    tokens.view(np.uint8).reshape(-1, 8)[:, :ROOT_BYTES] = np.concatenate([single, several]).reshape(-1, ROOT_BYTES)
+    n = len(single) // ROOT_BYTES
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    again = np.concatenate([ordered[1:] == ordered[:-1], [False]]) if len(ordered) else np.zeros(0, bool)
+    hit = np.zeros(len(tokens), bool)
+    hit[order] = again | np.concatenate([[False], again[:-1]])[: len(again)]
+    places, _ = unpack_indices(who, who_bound)
+    hits = np.flatnonzero(hit[:n])
+    packed = pack_indices(places[hits], np.searchsorted(hits, bound // ROOT_BYTES))
+    return pa.table({"chunk": group["chunk"], "hits": _binaries(*packed), "sets": group["sets"]})
+
+
+def near_in_chunk(group: pa.Table, percent: int) -> pa.Table:
+    """Digests of the sets of a chunk of which enough shingles are shared for a link."""
+    named = np.frombuffer(next(v for v in group["sets"].to_pylist() if v is not None), _NAMED)
+    hits, _ = unpack_indices(*_joined(group["hits"]))
+    shared = np.bincount(hits, minlength=len(named)) + named["found"]
+    return pa.table({"digest_a": pa.array(np.ascontiguousarray(named["digest"][100 * shared >= percent * named["n"].astype(np.int64)]))})
+
+
+def _near_digests(docs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
+    """(digest_a) of the sets that may link: of their shingles, so many occur in another set (or in copies of the set itself) as any link needs.
+
+    The table must give the same rows in the same partitions when read again, as files do.
+    """
+    sent = _root_cells(docs, width, max(1, -(-total // SLICE)))
+    hits = group_arrow(sent, ["slice"], shared_in_slice, "chunk long, hits binary, sets binary").where("sets IS NOT NULL OR octet_length(hits) > 0")
+    return group_arrow(hits, ["chunk"], lambda group: near_in_chunk(group, percent), "digest_a long").distinct()
+
+
+def _row_filter(rows: DataFrame, n: int) -> np.ndarray:
+    """Bits that each ``row`` of n sets two of, at most 16 of FILTER_ROWS rows; built block by block."""
+    size = max(1 << 16, 1 << (16 * n - 1).bit_length())
+    places = rows.select(F.explode(F.array(F.pmod("row", F.lit(size)), F.pmod(F.shiftright("row", 32), F.lit(size)))).alias("at"))
+
+    def block(group: pa.Table) -> pa.Table:
+        at = group["at"].to_numpy()
+        bits = np.zeros(1 << 16, bool)
+        bits[at & 0xFFFF] = True
+        return pa.table({"block": pa.array([int(at[0]) >> 16], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+
+    built = group_arrow(places.select((F.shiftright("at", 16)).alias("b"), "at"), ["b"], block, "block long, bits binary").toArrow()
+    out = np.zeros(size // 8, np.uint8)
+    for number, bits in zip(built["block"].to_pylist(), built["bits"].to_pylist(), strict=True):
+        out[number << 13 : (number + 1) << 13] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _near_shingles(texts: DataFrame, near: DataFrame, width: int) -> DataFrame:
+    """(key, shingles) of the sets ``near``, from (row, text); a small filter on rows spares the shuffle of texts, beyond FILTER_ROWS sets they are joined."""
+    n = near.count()
+    if n > FILTER_ROWS:
+        texts = texts.join(near.select("row"), "row", "left_semi")
+        shared = None
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast(_row_filter(near, n))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            if shared is not None:
+                bits, low, high = shared.value, *(x % (8 * len(shared.value)) for x in (rows, rows >> 32))
+                rows = rows[(bits[low >> 3] >> (low & 7).astype(np.uint8)) & (bits[high >> 3] >> (high & 7).astype(np.uint8)) & 1 == 1]
+            fresh = [r for r in dict.fromkeys(rows.tolist()) if r not in sent]
+            if fresh:
+                if len(sent) < SENT:
+                    sent.update(fresh)
+                first = pc.index_in(pa.array(fresh, pa.int64()), batch.column(0))
+                found = [s for _, s in shingle_sets(batch.column(1).take(first), width)]
+                bound = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), _lists(np.concatenate(found).view(np.int64), bound)], ["row", "shingles"])
+
+    one = map_arrow(texts, cut, "row long, shingles array<long>").groupBy("row").agg(F.first("shingles").alias("shingles"))
+    return one.join(near.select("row", "key"), "row").select("key", "shingles")
 
 
 class SignatureTree:
@@ -265,20 +369,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     digest = ["n_shingles", "digest_a", "digest_b"]
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     copies = settled(sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("lead"), F.min("row").alias("row")), "copies")
-    root = group_arrow(_root_slices(texts.select("text"), width, max(1, -(-total // SLICE))), ["slice"], shared_in_slice, "owner long, shared long")
-    shared = root.groupBy(F.col("owner").alias("digest_a")).agg(F.sum("shared").alias("shared"))
-    near = copies.join(shared, "digest_a").where(F.col("shared") >= _needed(F.col("n_shingles"), percent))
+    near = copies.join(_near_digests(texts.select("text"), width, percent, total), "digest_a", "left_semi")
     near = settled(near.select(*digest, "lead", "row", F.monotonically_increasing_id().alias("key")), "near")
-
-    one = texts.select("row", "text").join(near.select("row", "key"), "row").groupBy("key").agg(F.first("text").alias("text"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s for _, s in shingle_sets(batch.column(1), width)]
-            bound = np.concatenate([[0], np.cumsum([len(s) for s in found])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), bound)], ["key", "shingles"])
-
-    shingles = settled(map_arrow(one, cut, "key long, shingles array<long>"), "shingles")
+    shingles = settled(_near_shingles(texts.select("row", "text"), near, width), "shingles")
     members = settled(_members(shingles, percent), "members")
     links = settled(_tree_links(members.join(shingles, "key"), percent), "links")
     discard(members, shingles)
@@ -300,8 +393,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     theirs is null where all ids of it are. Repeated rows are copies. Different texts under one id are documents of their own. An empty
     table gives an empty table.
 
-    Copies are one set. The root of the tree is dealt out in slices of the shingles' hashes: each says how many of a set's shingles
-    occur in any other set, and a set goes no further unless these make a link's least overlap. Below the root, a tree stands
+    Copies are one set. The root of the tree is dealt out in slices of the shingles' hashes: each says which of a set's shingles
+    occur elsewhere, and a set goes no further unless these make a link's least overlap. Below the root, a tree stands
     at each hub, the first of the sets that share a shingle of their prefixes (rarest first; of n shingles the
     first n - ceil(t * n) + 1, one of which any link shares), and holds all sets that do; in each tree, node pairs are
     pruned by OR-combined bitmaps and size ranges, and leaves are counted exactly. Pairs already connected aren't counted again.

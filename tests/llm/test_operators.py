@@ -242,6 +242,23 @@ def test_jaccard_in_slices_and_blocks(spark, monkeypatch):
     assert got == classes(texts)
 
 
+def test_jaccard_without_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FILTER_ROWS", 0)
+    texts = near_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs_of(spark, texts)).collect()}
+    assert got == classes(texts)
+
+
+def test_packed_indices():
+    draw = np.random.default_rng(1)
+    runs = [np.sort(draw.integers(0, top, n)) for top, n in ((5, 9), (1, 0), (100_000, 40), (255, 3), (1, 4), (3, 0), (600, 700))]
+    bound = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    index, again = jaccard_join.unpack_indices(*jaccard_join.pack_indices(np.concatenate(runs), bound))
+    assert (index == np.concatenate(runs)).all() and (again == bound).all()
+    none = jaccard_join.unpack_indices(*jaccard_join.pack_indices(np.zeros(0, np.int64), np.zeros(3, np.int64)))
+    assert len(none[0]) == 0 and none[1].tolist() == [0, 0, 0]
+
+
 def test_jaccard_nulls_and_repeats(spark):
     df = docs_of(spark, ["a b c d e f", "a b c d e f", "q", "q", "r"]).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")))
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_classes(df.union(df)).collect()), key=str)
