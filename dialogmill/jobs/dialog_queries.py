@@ -41,6 +41,22 @@ def split_by_gap(spark, sf_dir):
     return segment.split_by_gap(fx.interactions(spark, sf_dir), 15).select("student_id", "row_no", "chunk_no")
 
 
+@query("dialogs_per_source", f"""{fx.D_SQL}, s AS (SELECT source, student_id, max(dialog_no) AS n, count(*) AS r FROM d GROUP BY ALL)
+SELECT source, count(*) AS n_students, CAST(sum(n) AS BIGINT) AS n_dialogs, max(r) AS longest_student FROM s GROUP BY source""")
+def dialogs_per_source(spark, sf_dir):
+    return segment.dialogs_per_source(fx.dialogs(spark, sf_dir))
+
+
+@query("longest_students", f"WITH {fx.I_SQL}, n AS (SELECT source, student_id, count(*) AS n_rows FROM i GROUP BY ALL) SELECT *, CAST(row_number() OVER (ORDER BY n_rows DESC, source, student_id) AS INT) AS place FROM n QUALIFY place <= 10")
+def longest_students(spark, sf_dir):
+    return audit.longest_students(fx.interactions(spark, sf_dir))
+
+
+@query("chunk_sizes", f"WITH {fx.I_SQL}, {fx.segments_sql(0, by_gap=False, number='chunk_no')} SELECT source, student_id, chunk_no, any_value(entrance) AS entrance, count(*) AS n_rows FROM d GROUP BY source, student_id, chunk_no")
+def chunk_sizes(spark, sf_dir):
+    return segment.chunk_sizes(segment.split_by_entrance(fx.interactions(spark, sf_dir)))
+
+
 @query("dialogs_per_student", f"{fx.D_SQL} SELECT student_id, max(dialog_no) AS n_dialogs, count(*) AS n_rows FROM d GROUP BY student_id")
 def dialogs_per_student(spark, sf_dir):
     return segment.dialogs_per_student(fx.dialogs(spark, sf_dir)).select("student_id", "n_dialogs", "n_rows")

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.functions.time import parse_mixed_date, parse_semester
+from dialogmill.jobs import analysis
 from dialogmill.jobs import fixtures as fx
 from dialogmill.jobs.dialog_queries import rounded
 from dialogmill.jobs.fixtures import FEATURES, long_sql
 from dialogmill.jobs.registry import query
 from dialogmill.operators import clean, cluster, enrich, profile, sampling, scaling
-from dialogmill.operators.features import BINARY, CONTINUOUS, LOGGED, extract_features
+from dialogmill.operators.features import extract_features
 
 # enrichment
 
@@ -185,20 +186,16 @@ def feature_covariance(spark, sf_dir):
     return rounded(scaling.covariance(fx.clustered(spark, sf_dir), FEATURES))
 
 
-#: All features in a fixed order, those of the whole table.
-ALL_FEATURES = (*CONTINUOUS, *BINARY)
-#: The reference's sweep: the largest K, runs per K, components of the silhouette.
-MAX_K, INITS, SILHOUETTE_DIMS = 10, 10, 5
+#: Components of the silhouette.
+SILHOUETTE_DIMS = 5
+
+
+def _features(spark, sf_dir):
+    return fx.with_dialog_id(extract_features(fx.dialogs(spark, sf_dir), fx.class_windows(spark, sf_dir), fx.schedule(spark, sf_dir), fx.homework(spark, sf_dir)))
 
 
 def _scores(spark, sf_dir):
-    """Principal components of the whole feature table: infinite and missing values filled, logarithms taken, continuous columns scaled."""
-    found = fx.with_dialog_id(extract_features(fx.dialogs(spark, sf_dir), fx.class_windows(spark, sf_dir), fx.schedule(spark, sf_dir), fx.homework(spark, sf_dir)))
-    rows = fx.written(found.select("dialog_id", *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES]), "features")
-    filled = clean.impute_median(clean.log1p(clean.replace_infinite(rows, CONTINUOUS, "max_multiple"), LOGGED), ALL_FEATURES)
-    scaled = fx.written(clean.zero_non_finite(scaling.standardize(fx.written(filled, "filled"), CONTINUOUS), ALL_FEATURES), "scaled")
-    scores, loadings, shares = scaling.principal_components(scaled, ALL_FEATURES)
-    return fx.written(scores.select("dialog_id", "pcs"), "scores"), loadings, shares
+    return analysis.feature_scores(_features(spark, sf_dir))
 
 
 @query("pca_scores")
@@ -209,7 +206,7 @@ def pca_scores(spark, sf_dir):
 @query("pca_loadings")
 def pca_loadings(spark, sf_dir):
     _, loadings, _ = _scores(spark, sf_dir)
-    return spark.createDataFrame([(f, *[round(float(x), 6) for x in loadings[k, :3]]) for k, f in enumerate(ALL_FEATURES)], "feature string, pc1 double, pc2 double, pc3 double")
+    return spark.createDataFrame([(f, *[round(float(x), 6) for x in loadings[k, :3]]) for k, f in enumerate(analysis.ALL_FEATURES)], "feature string, pc1 double, pc2 double, pc3 double")
 
 
 @query("components_for_variance", """WITH t AS (SELECT CAST(row_number() OVER (ORDER BY v DESC) AS INT) AS component, v / sum(v) OVER () AS ratio FROM (SELECT o_orderpriority, sum(o_custkey) AS v FROM orders GROUP BY 1)),
@@ -226,29 +223,33 @@ def components_for_variance(spark, sf_dir):
 def _reduced(spark, sf_dir):
     """As many components as reach 80 % of the variance."""
     scores, _, shares = _scores(spark, sf_dir)
-    ratios = spark.createDataFrame([(k + 1, float(r)) for k, r in enumerate(shares)], "component int, ratio double")
-    return scores.select("dialog_id", F.slice("pcs", 1, scaling.components_for_variance(ratios).first()["n_components"]).alias("pcs"))
-
-
-def _sweep(rows: DataFrame) -> range:
-    return range(2, min(MAX_K, rows.count() - 1) + 1)
+    return analysis.leading_components(scores, shares)
 
 
 @query("inertia_curve")
 def inertia_curve(spark, sf_dir):
     rows = _reduced(spark, sf_dir)
-    return spark.createDataFrame([(k, float(v)) for k, v in cluster.inertia_curve(rows, _sweep(rows), inits=INITS, threads=8)], "k int, inertia double")
+    return spark.createDataFrame([(k, float(v)) for k, v in cluster.inertia_curve(rows, analysis.sweep(rows), inits=analysis.INITS, threads=8)], "k int, inertia double")
 
 
 @query("silhouette_curve")
 def silhouette_curve(spark, sf_dir):
     rows = _scores(spark, sf_dir)[0].select("pcs")
-    return spark.createDataFrame([(k, float(v)) for k, v in cluster.silhouette_curve(rows, _sweep(rows), dims=SILHOUETTE_DIMS, inits=INITS, threads=8)], "k int, silhouette double")
+    return spark.createDataFrame([(k, float(v)) for k, v in cluster.silhouette_curve(rows, analysis.sweep(rows), dims=SILHOUETTE_DIMS, inits=analysis.INITS, threads=8)], "k int, silhouette double")
 
 
 @query("cluster_labels")
 def cluster_labels(spark, sf_dir):
-    return cluster.label_clusters(_reduced(spark, sf_dir), 3, inits=INITS).select("dialog_id", "cluster", "cluster_k2", "cluster_k3", "cluster_k4")
+    return cluster.label_clusters(_reduced(spark, sf_dir), 3, inits=analysis.INITS).select("dialog_id", "cluster", "cluster_k2", "cluster_k3", "cluster_k4")
+
+
+@query("analysis_profile")
+def analysis_profile(spark, sf_dir):
+    """The whole analysis: features, components, K by vote, labels, and what each cluster is like."""
+    found = analysis.analyse(_features(spark, sf_dir))
+    tables = found.profiles()
+    rows = tables["cluster_statistics"].join(tables["cluster_sizes"], "cluster").join(tables["cluster_description"], "cluster")
+    return rounded(rows.withColumn("k", F.lit(found.k)))
 
 
 def _curve(spark, sf_dir) -> DataFrame:

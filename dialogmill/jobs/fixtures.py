@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table, so that iterations don't plan again what led to them."""
-    path = f"{(df.sparkSession.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='dialogmill-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     entrance = F.create_map(*[F.lit(x) for pair in ENTRANCES.items() for x in pair])[F.col("event_type")]
     return table(spark, sf_dir, "events").select(

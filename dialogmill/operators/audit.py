@@ -73,6 +73,7 @@ def range_audit(dialogs: DataFrame, class_windows: DataFrame, key: tuple[str, ..
 
 
 def longest_students(dialogs: DataFrame, n: int = 10) -> DataFrame:
-    """The students with most rows: each is one window partition."""
+    """The ``n`` students with most rows, first ones first: each is one window partition of the segmentation, so this is its longest task."""
     counts = dialogs.groupBy("source", "student_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_rows"), "source", "student_id"))).where(F.col("place") <= n)
+    order = [F.desc("n_rows"), "source", "student_id"]
+    return counts.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialogmill.tables import percentiles
+
 #: Hours of a week: what stands for "none" among hours to classes.
 DEFAULT_HOURS = 168.0
 _INF = float("inf")
@@ -38,13 +40,19 @@ def replace_infinite(df: DataFrame, columns: Sequence[str], mode: str = "constan
     return df.join(F.broadcast(tops)).withColumns({c: F.when(is_infinite(F.col(c)), fill[c]).otherwise(F.col(c)) for c in columns}).drop(*[f"__max_{c}" for c in columns])
 
 
-def impute_median(df: DataFrame, columns: Sequence[str], time_columns: Sequence[str] = ("hours_to_next_class", "hours_from_last_class")) -> DataFrame:
-    """Null and NaN become the column's exact median over finite values; so do infinite values, but in time columns 1.5 times the maximum."""
+def impute_median(df: DataFrame, columns: Sequence[str], time_columns: Sequence[str] = ("hours_to_next_class", "hours_from_last_class"), accuracy: int | None = None) -> DataFrame:
+    """Null and NaN become the column's median over finite values; so do infinite values, but in time columns 1.5 times the maximum.
+
+    The median is exact, or approximate with an ``accuracy``. A column without a finite value keeps its nulls.
+    """
     finite = {c: F.when(is_finite(F.col(c)), F.col(c)) for c in columns}
-    stats = df.agg(*[F.median(v).alias(f"__mid_{c}") for c, v in finite.items()], *[F.max(v).alias(f"__max_{c}") for c, v in finite.items()])
+    tops = df.agg(*[F.max(v).alias(f"__max_{c}") for c, v in finite.items()])
+    middles = percentiles(long_form(df.select(*[v.alias(c) for c, v in finite.items()]), columns), ["feature"], [0.5], accuracy=accuracy)
+    row = middles.agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"__mid_{c}") for c in columns])
     own = {c: F.coalesce(F.col(f"__max_{c}") * 1.5, F.lit(DEFAULT_HOURS)) if c in time_columns else F.col(f"__mid_{c}") for c in columns}
     filled = {c: F.when(is_infinite(F.col(c)), own[c]).when(is_finite(F.col(c)), F.col(c)).otherwise(F.col(f"__mid_{c}")) for c in columns}
-    return df.join(F.broadcast(stats)).withColumns(filled).drop(*[f"__{k}_{c}" for k in ("mid", "max") for c in columns])
+    one_row = tops.join(F.broadcast(row))  # both hold one row
+    return df.join(F.broadcast(one_row)).withColumns(filled).drop(*[f"__{k}_{c}" for k in ("mid", "max") for c in columns])
 
 
 def zero_non_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,18 +85,22 @@ def column_quality(df: DataFrame, columns: Sequence[str], id_col: str | None = N
     return stats.join(some, "feature", "left")
 
 
-def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def feature_stats(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """min, max, mean, median and sample variance of each column."""
     v = F.col("value")
-    return long_form(df, columns).where(v.isNotNull()).groupBy("feature").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.var_samp(v).alias("variance"))
+    rows = long_form(df, columns).where(v.isNotNull())
+    stats = rows.groupBy("feature").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"))
+    middles = percentiles(rows, ["feature"], [0.5], accuracy=accuracy).select("feature", F.col("q")[0].alias("median"))
+    return stats.join(middles, "feature").select("feature", "min", "max", "mean", "median", "variance")
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max of each column."""
+def describe(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles and max of each column."""
     v = F.col("value")
-    stats = long_form(df, columns).where(v.isNotNull()).groupBy("feature").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v).alias("max"),
-    )
-    return stats.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    rows = long_form(df, columns).where(v.isNotNull())
+    stats = rows.groupBy("feature").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    found = stats.join(percentiles(rows, ["feature"], [0.25, 0.5, 0.75], accuracy=accuracy), "feature")
+    return found.select("feature", "count", "mean", "std", "min", *[F.col("q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))], "max")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50, group: str | None = None, shared_range: bool = True) -> DataFrame:
@@ -104,13 +116,15 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50, group: str
     limits = limits.select(*per, F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     number = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
-    counted = rows.join(F.broadcast(limits), per).groupBy("feature", *keys, number.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.join(limits, per).groupBy("feature", *keys, number.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("feature", *keys, "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
 def binary_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts of 0 and 1 of the columns that hold nothing else."""
-    rows = long_form(df, columns).where("value IS NOT NULL")
-    counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    odd = F.max((~F.col("value").isin(0.0, 1.0)).cast("int")).over(Window.partitionBy("feature"))
-    return counts.withColumn("__odd", odd).where("__odd = 0").select("feature", F.col("value").cast("int").alias("value"), "n")
+    """Counts of 0 and 1 of the columns that hold nothing else; which these are is found first, so no other column's values are counted."""
+    fits = df.agg(*[F.coalesce(F.bool_and(F.col(c).cast("double").isin(0.0, 1.0)), F.lit(False)).alias(c) for c in columns]).first()
+    binary = [c for c in columns if fits[c]]
+    if not binary:
+        return df.sparkSession.createDataFrame([], "feature string, value int, n long")
+    rows = long_form(df, binary).where("value IS NOT NULL")
+    return rows.groupBy("feature", F.col("value").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialogmill.functions.time import parse_mixed_date, parse_semester
+from dialogmill.tables import numbered
 
 # The term of classes whose school gives none, and the reasons told.
 DEFAULT_START, DEFAULT_END = "2025-03-01 00:00:00", "2025-07-07 23:59:59"
@@ -54,13 +55,10 @@ def unmatched_platforms(classes: DataFrame, schools: DataFrame) -> DataFrame:
 
 
 def append_semesters(rows: DataFrame, semesters: DataFrame, order: str) -> DataFrame:
-    """The i-th row by ``order`` gets the i-th semester (column idx); what can't be read leaves nulls in its place.
-
-    ``rows`` is a dimension: it is numbered in one task.
-    """
-    numbered = rows.withColumn("__idx", F.row_number().over(Window.orderBy(order)))
+    """The i-th row by ``order`` gets the i-th semester (column idx); what can't be read leaves nulls in its place."""
+    places = numbered(rows, [order], "__idx")
     read = semesters.withColumn("__s", parse_semester(F.col("info"))).select(F.col("idx").alias("__idx"), *[F.date_format(f"__s.{c}", "yyyy年MM月dd日").alias(c) for c in ("term_start", "term_end")], "__s.weeks")
-    return numbered.join(read, "__idx", "left").drop("__idx")
+    return places.join(read, "__idx", "left").drop("__idx")
 
 
 def discipline_frame(spark, mapping: dict[str, str] = DISCIPLINES) -> DataFrame:
@@ -69,7 +67,7 @@ def discipline_frame(spark, mapping: dict[str, str] = DISCIPLINES) -> DataFrame:
 
 def by_discipline(rows: DataFrame, mapping: DataFrame, subject: str = "subject") -> tuple[DataFrame, DataFrame]:
     """(rows with a discipline, rows whose subject is unknown)."""
-    key = F.broadcast(mapping.select(F.col("subject").alias("__subject"), "discipline"))
+    key = mapping.select(F.col("subject").alias("__subject"), "discipline")  # Spark broadcasts it where it is small
     match = F.col(subject) == F.col("__subject")
     return rows.join(key, match).drop("__subject"), rows.join(key, match, "left_anti")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialogmill.operators.clean import histogram, long_form
+from dialogmill.tables import percentiles, same
 
 # Features by theme, and the labels of what stands out.
 THEMES = (
@@ -24,10 +25,12 @@ def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return sizes.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def cluster_statistics(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
+def cluster_statistics(df: DataFrame, columns: Sequence[str], cluster: str = "cluster", accuracy: int | None = None) -> DataFrame:
     """(cluster, feature, mean, std, median); the deviation of one row is null."""
     v = F.col("value")
-    return long_form(df.select(cluster, *columns), columns, [cluster]).groupBy(cluster, "feature").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"))
+    rows = long_form(df.select(cluster, *columns), columns, [cluster])
+    stats = rows.groupBy(cluster, "feature").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    return same(stats, percentiles(rows, [cluster, "feature"], [0.5], accuracy=accuracy), [cluster, "feature"], "left").withColumn("median", F.col("q")[0]).drop("q")
 
 
 def cluster_means(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
@@ -52,7 +55,7 @@ def standing_out(df: DataFrame, columns: Sequence[str], cluster: str = "cluster"
     """(cluster, feature, mean, z, side): cluster means more than ``least`` overall deviations from the overall mean."""
     overall = long_form(df.select(*columns), columns).groupBy("feature").agg(F.avg("value").alias("__mean"), F.stddev_samp("value").alias("__std"))
     z = (F.col("mean") - F.col("__mean")) / F.nullif(F.col("__std"), F.lit(0.0))
-    scored = cluster_means(df, columns, cluster).join(F.broadcast(overall), "feature").withColumn("z", z)
+    scored = cluster_means(df, columns, cluster).join(overall, "feature").withColumn("z", z)
     return scored.where(F.abs("z") > least).select(cluster, "feature", "mean", "z", F.when(F.col("z") > 0, "high").otherwise("low").alias("side"))
 
 
@@ -72,14 +75,15 @@ def describe_clusters(df: DataFrame, columns: Sequence[str], cluster: str = "clu
     return every.select(cluster, F.when(F.coalesce("__labels", F.lit("")) == "", BALANCED).otherwise(F.col("__labels")).alias("description"))
 
 
-def turns_box(df: DataFrame, column: str = "qa_turns", cluster: str = "cluster", normal: bool = True) -> DataFrame:
+def turns_box(df: DataFrame, column: str = "qa_turns", cluster: str = "cluster", normal: bool = True, accuracy: int | None = None) -> DataFrame:
     """Quartiles, mean and deviation of a column by cluster; ``normal``: from 0 to 1 within the cluster, 0.5 if constant."""
     limits = df.groupBy(cluster).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
     x = F.col(column).cast("double")
     value = F.when(F.col("__hi") > F.col("__lo"), (x - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.5) if normal else x
-    rows = df.join(F.broadcast(limits), cluster).withColumn("__v", value)
-    stats = rows.groupBy(cluster).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"), F.min("__v").alias("min"), F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("__v").alias("max"))
-    return stats.select(cluster, "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    rows = same(df.select(cluster, column), limits, [cluster]).select(cluster, value.alias("__v"))
+    stats = rows.groupBy(cluster).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+    found = same(stats, percentiles(rows, [cluster], [0.25, 0.5, 0.75], "__v", accuracy), [cluster], "left")
+    return found.select(cluster, "mean", "std", "min", *[F.col("q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))], "max")
 
 
 def progress_histogram(df: DataFrame, column: str = "course_progress_ratio", cluster: str = "cluster", bins: int = 20, shared_range: bool = False) -> DataFrame:

@@ -31,5 +31,5 @@ def sampling_report(df: DataFrame, sample: DataFrame, cluster: str) -> DataFrame
 def sample_preview(rows: DataFrame, sample: DataFrame, cluster: str, id_col: str, k: int = 3, text_size: int = 80) -> DataFrame:
     """The first ``k`` sampled dialogs of each cluster: their turns and the start of their first question."""
     first = sample.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(draw(id_col), id_col))).where(F.col("place") <= k).select(cluster, id_col, "place")
-    dialogs = rows.join(F.broadcast(first), id_col).groupBy(cluster, "place", id_col)
+    dialogs = rows.join(first, id_col).groupBy(cluster, "place", id_col)
     return dialogs.agg(F.count(F.lit(1)).alias("turns"), F.substring(F.min_by("question", "row_no"), 1, text_size).alias("preview"))

@@ -113,3 +113,8 @@ def dialogs_per_student(dialogs: DataFrame) -> DataFrame:
 
 def dialogs_per_source(dialogs: DataFrame) -> DataFrame:
     return dialogs_per_student(dialogs).groupBy("source").agg(F.count(F.lit(1)).alias("n_students"), F.sum("n_dialogs").alias("n_dialogs"), F.max("n_rows").alias("longest_student"))
+
+
+def chunk_sizes(chunks: DataFrame, by: str = "chunk_no") -> DataFrame:
+    """(source, student_id, chunk_no, entrance, n_rows): each chunk's entrance, that of its first row, and its size."""
+    return chunks.groupBy(*STUDENT, by).agg(F.min_by("entrance", F.struct("ask_time", "row_no")).alias("entrance"), F.count(F.lit(1)).alias("n_rows"))
