@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dialogmill.llm.common import table
+from dialogmill.llm.common import settled, table
 
-#: Rows of one source are ranked within runs of this many neighbouring ids.
-ID_RUN = 1 << 16
+#: Rows of one source and size class are ranked within runs of neighbouring ids: so many runs at most, each of so many ids at least.
+ID_RUNS, LEAST_RUN = 1 << 12, 1 << 10
 
 
 def word_count(text: Column) -> Column:
@@ -18,6 +18,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def _run(docs: DataFrame, id_col: str) -> Column:
+    """Number of each row's run; it rises with whole-number ids, others are dealt by hash, and a null id comes first."""
+    own = F.col(id_col)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return F.coalesce(F.conv(F.substring(F.md5(own.cast("string")), 1, 3), 16, 10).cast("long"), F.lit(-1))
+    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
+    width = max(LEAST_RUN, -(-(high - low + 1) // ID_RUNS)) if low is not None else 1
+    return F.coalesce(F.floor((own.cast("double") - float(low or 0)) / float(width)), F.lit(-1))
+
+
 def source_targets(sources: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Adds ``weight`` and ``target`` to a table (source, source_size): one row per source.
 
@@ -55,13 +65,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result. ``out`` replaces a column of that name. Reruns agree.
 
     Ranks need no whole source in one task: rows are counted by (source, size class, run of
-    ids), the counts are summed along each source, and rows are ranked inside those small groups.
+    ids), the counts are written and summed along each source, and rows are ranked inside those small groups. There are
+    at most ``ID_RUNS`` runs for each source and size class, however many rows there are and however ids are spread.
     """
     size_class = F.floor(F.log2(F.col("__size") + 1) * 8).cast("int")
     rows = docs.drop(out).withColumns({"__source": F.col(source_col), "__size": word_count(F.col(text_col))})
-    rows = rows.withColumns({"__class": size_class, "__run": F.floor(F.coalesce(F.col(id_col), F.lit(-1)) / ID_RUN)})
+    rows = rows.withColumns({"__class": size_class, "__run": _run(docs, id_col)})
     key = ["__source", "__class", "__run"]
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words"))
+    groups = settled(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words")), "groups")
     before = Window.partitionBy("__source").orderBy("__class", "__run")
     totals = groups.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("source_size"))
     targets = source_targets(totals, cap, weights).select(F.col("source").alias("__s2"), "source_size", "target")
@@ -86,15 +97,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def emit_copies(mixed: DataFrame, out: str = "mix") -> DataFrame:
-    """The mix itself: each document as many times as it is taken."""
+    """The mix itself: each document as many times as it is taken, all columns as they are; an empty table gives an empty table."""
     return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col(f"{out}.copies").cast(T.IntegerType())))).drop("__copy")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    # the text goes no further than its length: nothing of it is shuffled
-    sized = docs.withColumn("text", F.col("text"))
-    return mix_sources(sized).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mix_sources(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 OP5_SQL = """

@@ -119,6 +119,22 @@ def test_targets(spark, scale):
     assert mixing.emit_copies(mixing.mix_sources(docs_of(spark, texts, sources))).count() == sum(r.mix.copies for r in out)
 
 
+@pytest.mark.parametrize("kind", ["string", "spread", "null"])
+def test_mixing_takes_any_ids(spark, kind):
+    texts = [prose(k, 1 + k % 9) for k in range(120)] + ["x " * 70_000]
+    docs = docs_of(spark, texts, ["a" if k % 4 else "b" for k in range(121)])
+    own = {"string": F.concat(F.lit("id-"), "doc_id"), "spread": F.xxhash64("doc_id"), "null": F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") - (1 << 62))}[kind]
+    named = docs.withColumn("doc_id", own)
+    found = mixing.mix_sources(named.union(named))
+    rows = found.collect()
+    again = mixing.mix_sources(named.union(named).repartition(3)).collect()
+    assert len(rows) == 242 and sorted(map(str, rows)) == sorted(map(str, again))
+    for source in "ab":
+        own_rows = [r for r in rows if r.source == source]
+        taken, target = sum(r.mix.taken for r in own_rows), own_rows[0].mix.target
+        assert abs(taken - target) <= max(r.mix.size for r in own_rows) and all(r.mix.taken <= 3 * r.mix.size for r in own_rows)
+
+
 # decontamination
 
 
