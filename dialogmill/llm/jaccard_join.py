@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dialogmill.llm.common import discard, group_arrow, map_arrow, settled, table
+from dialogmill.llm.common import bit_filter, discard, group_arrow, map_arrow, passes, settled, table
 from dialogmill.llm.components import components
 from dialogmill.llm.text_hash import mix, shingle_sets
 
@@ -168,24 +168,6 @@ def _near_digests(docs: DataFrame, width: int, percent: int, total: int) -> Data
     return group_arrow(hits, ["chunk"], lambda group: near_in_chunk(group, percent), "digest_a long").distinct()
 
 
-def _row_filter(rows: DataFrame, n: int) -> np.ndarray:
-    """Bits that each ``row`` of n sets two of, at most 16 of FILTER_ROWS rows; built block by block."""
-    size = max(1 << 16, 1 << (16 * n - 1).bit_length())
-    places = rows.select(F.explode(F.array(F.pmod("row", F.lit(size)), F.pmod(F.shiftright("row", 32), F.lit(size)))).alias("at"))
-
-    def block(group: pa.Table) -> pa.Table:
-        at = group["at"].to_numpy()
-        bits = np.zeros(1 << 16, bool)
-        bits[at & 0xFFFF] = True
-        return pa.table({"block": pa.array([int(at[0]) >> 16], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
-
-    built = group_arrow(places.select((F.shiftright("at", 16)).alias("b"), "at"), ["b"], block, "block long, bits binary").toArrow()
-    out = np.zeros(size // 8, np.uint8)
-    for number, bits in zip(built["block"].to_pylist(), built["bits"].to_pylist(), strict=True):
-        out[number << 13 : (number + 1) << 13] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _near_shingles(texts: DataFrame, near: DataFrame, width: int) -> DataFrame:
     """(key, shingles) of the sets ``near``, from (row, text); a small filter on rows spares the shuffle of texts, beyond FILTER_ROWS sets they are joined."""
     n = near.count()
@@ -193,15 +175,14 @@ def _near_shingles(texts: DataFrame, near: DataFrame, width: int) -> DataFrame:
         texts = texts.join(near.select("row"), "row", "left_semi")
         shared = None
     else:
-        shared = texts.sparkSession.sparkContext.broadcast(_row_filter(near, n))
+        shared = texts.sparkSession.sparkContext.broadcast(bit_filter(near.select("row"), n))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             rows = batch.column(0).to_numpy()
             if shared is not None:
-                bits, low, high = shared.value, *(x % (8 * len(shared.value)) for x in (rows, rows >> 32))
-                rows = rows[(bits[low >> 3] >> (low & 7).astype(np.uint8)) & (bits[high >> 3] >> (high & 7).astype(np.uint8)) & 1 == 1]
+                rows = rows[passes(shared.value, rows)]
             fresh = [r for r in dict.fromkeys(rows.tolist()) if r not in sent]
             if fresh:
                 if len(sent) < SENT:

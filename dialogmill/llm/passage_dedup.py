@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dialogmill.llm.common import discard, map_arrow, settled, table
+from dialogmill.llm.common import bit_filter, discard, map_arrow, passes, settled, table
 from dialogmill.llm.text_hash import mix, powers, shingle_hashes, span_hashes, text_chunks, word_spans
 
 MIN_WORDS, GAP = 40, 11
+#: Keys for which a filter is broadcast (4 bits each, so 32 MB at most); for more, texts are joined with the keys they need.
+FILTER_KEYS = 1 << 26
+#: Told apart from the words before a run, those behind it have this in their key.
+BEHIND = 0x5555555555555555
 
 
 def _sliding(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
@@ -85,6 +89,12 @@ def _schema(docs: DataFrame, id_col: str, fields: str) -> T.StructType:
     return T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(fields)])
 
 
+def _run_starts(words: np.ndarray, bound: np.ndarray, min_words: int, gap: int) -> np.ndarray:
+    """First words of the runs of a chunk's texts, chosen by content."""
+    order, long = shingle_hashes(words, 3), np.flatnonzero(np.diff(bound) >= min_words)
+    return np.concatenate([np.zeros(0, np.int64), *[bound[k] + _minima(order[bound[k] : bound[k + 1] - max(min_words, 3) + 1], gap) for k in long]])
+
+
 def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, gap: int = GAP, line_words: int | None = None, text_words: int | None = None) -> DataFrame:
     """(id, row, digest, check, start, stop, again, place) of all units: code point offsets, whether the text itself holds it before, and
     a run's first word (-1: a line, paragraph or whole text).
@@ -103,9 +113,7 @@ def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_W
                 if not len(begin):
                     continue
                 words, bound = span_hashes(raw, begin, end), np.searchsorted(begin, off)
-                totals, order = _totals(words), shingle_hashes(words, 3)
-                long = np.flatnonzero(np.diff(bound) >= min_words)
-                runs = np.concatenate([np.zeros(0, np.int64), *[bound[k] + _minima(order[bound[k] : bound[k + 1] - max(min_words, 3) + 1], gap) for k in long]])
+                totals, runs = _totals(words), _run_starts(words, bound, min_words, gap)
                 first, stop = _blocks(raw, off, begin, least, least_text)
                 place = np.concatenate([runs - bound[np.searchsorted(bound, runs, "right") - 1], np.full(len(first), -1)])
                 digests = [np.concatenate(d) for d in zip(_digests(totals, runs, runs + min_words, 0), _digests(totals, first, stop, 1), strict=True)]
@@ -120,28 +128,50 @@ def passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_W
     return map_arrow(docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)), cut, schema)
 
 
-def _contexts(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min_words: int, gap: int) -> DataFrame:
-    """(id, row, digest, check, side, place, edge, context, ends): up to gap - 1 words before (side 0) or behind (1) each marked run.
+def _occurrence(row, place, side: int):
+    """Key of a run's side in a text; of columns or of arrays."""
+    if isinstance(row, np.ndarray):
+        return row ^ (place << 32) ^ (place << 3) ^ side
+    wide = place.cast("long")
+    return row.bitwiseXOR(F.shiftleft(wide, 32)).bitwiseXOR(F.shiftleft(wide, 3)).bitwiseXOR(F.lit(side))
+
+
+def _contexts(docs: DataFrame, id_col: str, text_col: str, min_words: int, gap: int, wanted: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(key, context, id, row, place, edge, ends): up to gap - 1 words before or behind each run whose key is ``wanted`` (id, row, key).
 
     ``context`` holds four hash bytes of each word, the nearest first; ``ends`` the offset up to which a cut goes that takes so many of
-    them in; ``edge`` that of the run itself.
+    them in; ``edge`` that of the run itself. With ``asked`` (key of ``_occurrence``), only of these. Few others may be among them.
     """
-    names = ["id", "row", "digest", "check", "side", "place", "edge", "context", "ends"]
+    names = ["key", "context", "id", "row", "place", "edge", "ends"]
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("keys"))
+    keys = wanted.select("key").distinct()
+    filters = []
+    for own in (keys, asked):
+        n = own.count() if own is not None else 0
+        filters.append(bit_filter(own, n, 1 << 28) if own is not None and n <= FILTER_KEYS else None)
+    if filters[0] is None:
+        texts = texts.drop("keys").join(wanted.groupBy("id", "row").agg(F.collect_set("key").alias("keys")), ["id", "row"])
+    shared, with_ends = docs.sparkSession.sparkContext.broadcast(filters), asked is not None
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.arange(gap - 1)
+        near, (of_keys, of_asked) = np.arange(gap - 1), shared.value
         for batch in batches:
-            many, marked = batch.column(3).value_lengths().to_numpy(), batch.column(3).flatten()
-            owner = np.repeat(np.arange(len(batch)), many)
-            at, (before, behind) = marked.field("place").to_numpy(), (marked.field(c).to_numpy(zero_copy_only=False) for c in ("before", "behind"))
             for row, raw, off in text_chunks(batch.column(2)):
                 begin, end = word_spans(raw, off)
                 words, bound, points = span_hashes(raw, begin, end), np.searchsorted(begin, off), _characters(raw)
-                own = np.arange(*np.searchsorted(owner, [row, row + len(off) - 1]))
-                for side, wanted in ((0, before), (1, behind)):
-                    mine = own[wanted[own]]
-                    text = owner[mine] - row
-                    run, base = bound[text] + at[mine], points[off[text]]
+                if not len(words):
+                    continue
+                every = _run_starts(words, bound, min_words, gap)
+                digest, _ = _digests(_totals(words), every, every + min_words, 0)
+                texts_of = np.searchsorted(bound, every, "right") - 1
+                hashes = batch.column(1).to_numpy()[texts_of + row]
+                for side in (0, 1):
+                    key = digest ^ np.int64(side * BEHIND)
+                    fit = passes(of_keys, key) if of_keys is not None else np.isin(key, batch.column(3).slice(row, len(off) - 1).flatten().to_numpy())
+                    if of_asked is not None:
+                        fit &= passes(of_asked, _occurrence(hashes, every - bound[texts_of], side))
+                    run, text = every[fit], texts_of[fit]
+                    base = points[off[text]]
                     if side:
                         place = run[:, None] + min_words + near
                         inside, edge = place < bound[text + 1][:, None], points[end[run + min_words - 1] + 1]
@@ -150,33 +180,37 @@ def _contexts(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, min
                         inside, edge = place >= bound[text][:, None], points[begin[run]]
                     bounds = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
                     seen = place[inside]
-                    ends = (points[end[seen] + 1] if side else points[begin[seen]]) - np.repeat(base, np.diff(bounds))
-                    context = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer((bounds * 4).tobytes()), pa.py_buffer(words[seen].astype("<u4").tobytes())])
-                    which = pa.array(owner[mine])
-                    digest, check, word = (marked.field(c).take(pa.array(mine)) for c in ("digest", "check", "place"))
-                    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends.astype(np.int32)))
-                    columns = [digest, check, pa.array(np.full(len(mine), side, np.int8)), word, pa.array((edge - base).astype(np.int32)), context, lists]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names)
+                    context = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer((bounds * 4).tobytes()), pa.py_buffer(words[seen].astype("<u4").tobytes())])
+                    which, ends = pa.array(text + row), None
+                    if not with_ends:
+                        ends, edges = pa.nulls(len(run), pa.list_(pa.int32())), pa.nulls(len(run), pa.int32())
+                    else:
+                        at = (points[end[seen] + 1] if side else points[begin[seen]]) - np.repeat(base, np.diff(bounds))
+                        ends, edges = pa.ListArray.from_arrays(pa.array(bounds), pa.array(at.astype(np.int32))), pa.array((edge - base).astype(np.int32))
+                    columns = [pa.array(key[fit]), context, batch.column(0).take(which), batch.column(1).take(which), pa.array((run - bound[text]).astype(np.int32)), edges, ends]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    schema = _schema(docs, id_col, "row long, digest long, check int, side byte, place int, edge int, context binary, ends array<int>")
-    return map_arrow(texts.join(marks, ["id", "row"]).select("id", "row", "text", "marks"), look, schema).where(F.octet_length("context") > 0)
+    schema = T.StructType([*T.StructType.fromDDL("key long, context binary"), *_schema(docs, id_col, "row long, place int, edge int, ends array<int>")])
+    return map_arrow(texts, look, schema).where(F.octet_length("context") > 0)
 
 
-def _true_ends(contexts: DataFrame) -> DataFrame:
-    """(id, row, start, stop, kept_id): how far each run goes on as an earlier occurrence of it does.
+def _true_ends(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, row, start, stop, kept_id): how far each run that is ``asked`` for goes on as an earlier occurrence of it does.
 
-    Contexts of one run are counted once each; their beginnings are then grouped globally, and each learns who has it first.
+    Contexts of one run are counted once each; beginnings that several have, or one has several times, are grouped globally and learn who has them first.
     """
-    key = ["digest", "check", "side"]
     rank = F.struct("id", "row", "place")
-    distinct = contexts.groupBy(*key, "context").agg(F.min(rank).alias("rank"))
-    more = F.explode(F.sequence(F.lit(1), (F.octet_length("context") / 4).cast("int")))
-    begun = distinct.select(*key, "context", "rank", more.alias("n")).withColumn("part", F.expr("substring(context, 1, 4 * n)"))
-    first = begun.groupBy(*key, "part").agg(F.min("rank").alias("first"))
-    known = begun.join(first, [*key, "part"]).groupBy(*key, "context").agg(F.collect_list(F.struct("n", "first")).alias("firsts"))
+    begun = F.explode(F.sequence(F.lit(1), (F.octet_length("context") / 4).cast("int"))).alias("n")
+    part = F.expr("xxhash64(key, substring(context, 1, 4 * n))").alias("part")
+    distinct = settled(candidates.groupBy("key", "context").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("times")), "contexts")
+    opens = F.expr("xxhash64(key, substring(context, 1, 4))")
+    shared = distinct.groupBy(opens.alias("opening")).agg(F.sum("times").alias("all")).where("all > 1").select("opening")
+    first = distinct.join(shared, opens == F.col("opening"), "left_semi").select("key", "context", "rank", begun).groupBy(part).agg(F.min("rank").alias("first"))
+    questions = asked.join(shared, opens == F.col("opening"), "left_semi")
+    known = questions.select("key", "context").distinct().select("key", "context", begun).select("key", "context", "n", part).join(first, "part")
+    known = known.groupBy("key", "context").agg(F.collect_list(F.struct("n", "first")).alias("firsts"))
     earlier = F.filter("firsts", lambda f: (f["first"]["id"] < F.col("id")) | ((f["first"]["id"] == F.col("id")) & (f["first"]["row"] == F.col("row")) & (f["first"]["place"] < F.col("place"))))
-    found = contexts.join(known, [*key, "context"]).withColumn("most", F.array_max(F.transform(earlier, lambda f: F.struct(f["n"].alias("n"), f["first"]["id"].alias("kept")))))
+    found = questions.join(known, ["key", "context"]).withColumn("most", F.array_max(F.transform(earlier, lambda f: F.struct(f["n"].alias("n"), f["first"]["id"].alias("kept")))))
     to = F.get("ends", F.col("most.n") - 1)
     return found.where("most IS NOT NULL").select("id", "row", F.least(to, "edge").alias("start"), F.greatest(to, "edge").alias("stop"), F.col("most.kept").alias("kept_id"))
 
@@ -216,12 +250,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     redundant = F.expr("id <> kept_id OR again")
     runs = _islands(repeated.where("place >= 0").where(redundant))
     island = Window.partitionBy("id", "row", "__span")
-    near = {"before": F.col("place") - F.min("place").over(island) < gap, "behind": F.max("place").over(island) - F.col("place") < gap}
-    ends = runs.select("digest", "check", *[c.alias(k) for k, c in near.items()]).groupBy("digest", "check").agg(*[F.bool_or(k).alias(k) for k in near])
-    ends = settled(ends.where("before OR behind"), "ends")
-    mark = F.struct("digest", "check", "place", "before", "behind")
-    marks = repeated.where("place >= 0").join(ends, ["digest", "check"]).groupBy("id", "row").agg(F.collect_set(mark).alias("marks"))
-    wider = _true_ends(settled(_contexts(docs, marks, id_col, text_col, min_words, gap), "contexts"))
+    near = {"__0": F.col("place") - F.min("place").over(island) < gap, "__1": F.max("place").over(island) - F.col("place") < gap}
+    sides = F.array(*[F.when(F.col(n), F.struct(F.col("digest").bitwiseXOR(F.lit(k * BEHIND)).alias("key"), F.lit(k).alias("side"))) for k, n in enumerate(near)])
+    ends = settled(runs.withColumns(near).select("id", "row", "place", F.inline(F.array_compact(sides))), "ends")
+    occurrence = F.when(F.col("side") == 0, _occurrence(F.col("row"), F.col("place"), 0)).otherwise(_occurrence(F.col("row"), F.col("place"), 1))
+    held = repeated.where("place >= 0").select("id", "row", F.explode(F.array("digest", F.col("digest").bitwiseXOR(F.lit(BEHIND)))).alias("key"))
+    wanted = ends.select("key").distinct()
+    options = (docs, id_col, text_col, min_words, gap, held.join(wanted, "key", "left_semi"))
+    wider = _true_ends(_contexts(*options), settled(_contexts(*options, ends.select(occurrence.alias("key")).distinct()), "asked"))
     extra = repeated.where(redundant).select("id", "row", "start", "stop", "kept_id").union(wider).distinct()
     spans = _islands(extra).groupBy("id", "row", "__span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id"))
     return spans.select(F.col("id").alias(id_col), "row", "start", "stop", "kept_id")

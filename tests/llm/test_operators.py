@@ -635,6 +635,14 @@ def test_passages_against_brute_force(spark, line_words):
     assert sum(map(len, got)) > 1000
 
 
+def test_passages_without_the_filter(spark, monkeypatch):
+    texts = [f"{prose(k, 9)} {prose(f'm{k // 4}', k % 7)} {prose(f'p{k // 4}', 55)} {prose(-k, 12)}" for k in range(32)]
+    run = lambda: sorted(tuple(r) for r in passage_dedup.repeated_passages(docs_of(spark, texts)).collect())
+    whole = run()
+    monkeypatch.setattr(passage_dedup, "FILTER_KEYS", 0)
+    assert run() == whole and len(whole) == 24
+
+
 def test_passages_of_ties_and_null_ids(spark):
     text = f"{prose('t', 60)} end"
     rows = [(None, text), (None, text), (1, text), (1, text), (1, f"other {text}"), (2, text)]
