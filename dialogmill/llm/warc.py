@@ -143,7 +143,8 @@ def parse_record(record: bytes, with_payload: bool = True) -> tuple | None:
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The page records of all archives under ``path``: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload.
 
-    Archives are read record by record and large ones by several tasks, so the size of an archive sets no limit.
+    Archives are read record by record and large ones by several tasks, so the size of an archive sets no limit. An archive of no
+    pages gives no rows; what was null or repeated in the pages is so again, with null payloads read as empty ones.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 

@@ -669,3 +669,32 @@ def test_archives(spark, tmp_path):
     assert got[1].url == "http://a/1%0A2" and got[3].url is None
     warc.write_archives(warc.resolve_revisits(pages.limit(0)), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_archives_of_repeated_ids(spark, tmp_path):
+    big = "y" * 1500
+    pages = spark.createDataFrame([(5, "u", big), (5, "u", big), (4, "v", big), (4, "v", big), (4, "w", "z" * 1500)], "page_id long, url string, html string")
+    warc.write_archives(warc.resolve_revisits(pages), str(tmp_path / "w"))
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_digest == hashlib.sha1(big.encode()).hexdigest()) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert got == [(4, "response", None, False), (4, "revisit", 5, True), (4, "revisit", 5, True), (5, "response", None, True), (5, "response", None, True)]
+
+
+def test_archives_are_read_by_others(spark, tmp_path):
+    """Every file is a run of gzip members that hold whole records, also under the names that other readers ask for."""
+    import gzip
+
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>{prose(k % 3, 400)}") for k in range(30)], "page_id long, url string, html string")
+    warc.write_archives(warc.resolve_revisits(pages), str(tmp_path / "w"))
+    warc.name_archives(spark, str(tmp_path / "w"))
+    kinds = Counter()
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    for file in files:
+        data = gzip.decompress(file.read_bytes())
+        while data:
+            head, rest = data.split(b"\r\n\r\n", 1)
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            kinds[fields["WARC-Type"]] += 1
+            size = int(fields["Content-Length"])
+            assert rest[size : size + 4] == b"\r\n\r\n"
+            data = rest[size + 4 :]
+    assert files and kinds == {"warcinfo": len(files), "response": 3, "revisit": 27}
