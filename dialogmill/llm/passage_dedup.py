@@ -136,21 +136,21 @@ def _occurrence(row, place, side: int):
     return row.bitwiseXOR(F.shiftleft(wide, 32)).bitwiseXOR(F.shiftleft(wide, 3)).bitwiseXOR(F.lit(side))
 
 
-def _contexts(docs: DataFrame, id_col: str, text_col: str, min_words: int, gap: int, wanted: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(key, context, id, row, place, edge, ends): up to gap - 1 words before or behind each run whose key is ``wanted`` (id, row, key).
+def _contexts(docs: DataFrame, id_col: str, text_col: str, min_words: int, gap: int, wanted: DataFrame, held: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(key, context, id, row, place, edge, ends): up to gap - 1 words before or behind each run whose key is ``wanted``; ``held``: (id, row, key) of all runs.
 
     ``context`` holds four hash bytes of each word, the nearest first; ``ends`` the offset up to which a cut goes that takes so many of
     them in; ``edge`` that of the run itself. With ``asked`` (key of ``_occurrence``), only of these. Few others may be among them.
     """
     names = ["key", "context", "id", "row", "place", "edge", "ends"]
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("keys"))
-    keys = wanted.select("key").distinct()
     filters = []
-    for own in (keys, asked):
+    for own in (wanted, asked):
         n = own.count() if own is not None else 0
         filters.append(bit_filter(own, n, 1 << 28) if own is not None and n <= FILTER_KEYS else None)
     if filters[0] is None:
-        texts = texts.drop("keys").join(wanted.groupBy("id", "row").agg(F.collect_set("key").alias("keys")), ["id", "row"])
+        needed = held.join(wanted, "key", "left_semi").groupBy("id", "row").agg(F.collect_set("key").alias("keys"))
+        texts = texts.drop("keys").join(needed, ["id", "row"])
     shared, with_ends = docs.sparkSession.sparkContext.broadcast(filters), asked is not None
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +255,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ends = settled(runs.withColumns(near).select("id", "row", "place", F.inline(F.array_compact(sides))), "ends")
     occurrence = F.when(F.col("side") == 0, _occurrence(F.col("row"), F.col("place"), 0)).otherwise(_occurrence(F.col("row"), F.col("place"), 1))
     held = repeated.where("place >= 0").select("id", "row", F.explode(F.array("digest", F.col("digest").bitwiseXOR(F.lit(BEHIND)))).alias("key"))
-    wanted = ends.select("key").distinct()
-    options = (docs, id_col, text_col, min_words, gap, held.join(wanted, "key", "left_semi"))
-    wider = _true_ends(_contexts(*options), settled(_contexts(*options, ends.select(occurrence.alias("key")).distinct()), "asked"))
+    options = (docs, id_col, text_col, min_words, gap, settled(ends.select("key").distinct(), "wanted"), held)
+    asked = settled(ends.select(occurrence.alias("key")).distinct(), "asked-keys")
+    wider = _true_ends(_contexts(*options), settled(_contexts(*options, asked), "asked"))
     extra = repeated.where(redundant).select("id", "row", "start", "stop", "kept_id").union(wider).distinct()
     spans = _islands(extra).groupBy("id", "row", "__span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id"))
     return spans.select(F.col("id").alias(id_col), "row", "start", "stop", "kept_id")
