@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialogmill.llm.common import held_out, table
+from dialogmill.llm.common import held_out, map_arrow, table
 from dialogmill.llm.pieces import Memo, Vocabulary, best_segmentation, computed, forward, long_best, long_forward, pieces_used, row_sums, words_of
 from dialogmill.llm.token_counts import VOCABULARY_FILE
 
@@ -53,7 +53,8 @@ def piece_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(n[found].astype(np.int64))], ["lang", "piece", "n"])
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    return known.select(F.col(lang_col), F.col(text_col)).mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    counts = map_arrow(known.select(F.col(lang_col), F.col(text_col)), count, "lang string, piece int, n long")
+    return counts.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -104,7 +105,7 @@ def identify(docs: DataFrame, vocabulary: Vocabulary, model: LanguageModel, id_c
     if not model.langs:
         return docs.select(F.col(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col), text, letters).mapInArrow(judge, schema)
+    return map_arrow(docs.select(F.col(id_col), text, letters), judge, schema)
 
 
 def learn_languages(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialogmill.llm.common import table
+from dialogmill.llm.common import map_arrow, table
 from dialogmill.llm.pieces import Memo, Vocabulary, best_segmentation, long_best, row_sums, words_of
 
 VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +40,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_tokens)], [id_col, "n_words", "n_tokens"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(count, schema)
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), count, schema)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_file: str = VOCABULARY_FILE) -> DataFrame:
