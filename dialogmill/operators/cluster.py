@@ -20,6 +20,16 @@ from pyspark.sql.window import Window
 from dialogmill.operators.scaling import principal_components, standardize
 
 
+#: Vectors for each task of an iterative fit, at least: smaller parts cost more to start than to work on.
+TASK_ROWS = 50_000
+
+
+def packed(df: DataFrame, vector: str) -> DataFrame:
+    """The vectors alone, kept in memory over the iterations in no more parts than their number is worth."""
+    rows = df.select(vector)
+    return rows.coalesce(max(1, -(-rows.count() // TASK_ROWS))).cache()
+
+
 def fit_kmeans(df: DataFrame, k: int, vector: str = "pcs", inits: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> KMeansModel:
     """The best of ``inits`` runs by the sum of squared distances."""
     vectors = df.select(array_to_vector(vector).alias("__v"))
@@ -29,7 +39,7 @@ def fit_kmeans(df: DataFrame, k: int, vector: str = "pcs", inits: int = 3, seed:
 
 def inertia_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits: int = 3, threads: int = 3) -> list[tuple[int, float]]:
     """(k, inertia); the models of several K are fitted side by side over cached vectors."""
-    cached = df.select(vector).cache()
+    cached = packed(df, vector)
     try:
         with ThreadPoolExecutor(threads) as pool:
             return list(zip(ks, pool.map(lambda k: fit_kmeans(cached, k, vector, inits).summary.trainingCost, ks), strict=True))
@@ -39,7 +49,7 @@ def inertia_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits:
 
 def silhouette_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims: int = 5, inits: int = 1, threads: int = 3) -> list[tuple[int, float]]:
     """(k, silhouette) over the first ``dims`` coordinates, with squared distances (the evaluator offers no plain ones)."""
-    cut = df.select(F.slice(vector, 1, dims).alias(vector)).cache()
+    cut = packed(df.select(F.slice(vector, 1, dims).alias(vector)), vector)
     judge = ClusteringEvaluator(featuresCol="__v", predictionCol="__c")
     try:
         with ThreadPoolExecutor(threads) as pool:
@@ -93,7 +103,7 @@ def nearest_centroid(df: DataFrame, centres: Sequence[Sequence[float]], vector:
 
 def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), vector: str = "pcs", inits: int = 3, seed: int = 42) -> DataFrame:
     """Adds cluster and cluster_k2, cluster_k3, ...: labels in order of size, then of the centre's coordinates; a K above the number of rows is left out."""
-    cached = df.select(vector).cache()
+    cached = packed(df, vector)
     ranked = {}
     try:
         n = cached.count()
