@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialogmill.functions.time import DAY, HOUR, micros
+from dialogmill.tables import same
 
 #: The lookups: past values are greatest ones, future values least ones.
 PAST = {"last_end": -1, "last_release": 0, "covered_until": 0}
@@ -43,19 +44,28 @@ def calendar_lookups(questions: DataFrame, schedule: DataFrame, homework: DataFr
     """
     names = [*PAST, *FUTURE]
     nulls = [F.lit(None).cast("long").alias(n) for n in names]
+    bucket = F.floor(F.col("us") / int(bucket_days * DAY)).alias("__bucket")
     asked = questions.select(F.struct(*questions.columns).alias("__row"), "class_id", micros(F.col("ask_time")).alias("us"), *nulls)
-    noted = _entries(schedule, homework).select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), "class_id", "us", *names)
-    both = asked.union(noted).withColumn("__bucket", F.floor(F.col("us") / int(bucket_days * DAY)))
-    by_bucket = both.groupBy("class_id", "__bucket").agg(*[F.max(n).alias(n) for n in PAST], *[F.min(n).alias(n) for n in FUTURE])
-    behind = Window.partitionBy("class_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("class_id").orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = by_bucket.select("class_id", "__bucket", *[F.max(n).over(behind).alias(f"__{n}") for n in PAST], *[F.min(n).over(ahead).alias(f"__{n}") for n in FUTURE])
+    entries = _entries(schedule, homework)
+    noted = entries.select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), "class_id", "us", *names)
+    both = asked.union(noted).select("*", bucket)
     inside = Window.partitionBy("class_id", "__bucket")
     up, down = inside.orderBy("us"), inside.orderBy(-F.col("us"))
     found = {n: F.max(n).over(up.rangeBetween(Window.unboundedPreceding, to)) for n, to in PAST.items()}
     found |= {n: F.min(n).over(down.rangeBetween(Window.unboundedPreceding, -1)) for n in FUTURE}
     looked = both.select("class_id", "__bucket", "__row", *[c.alias(n) for n, c in found.items()]).where(F.col("__row").isNotNull())
-    merged = looked.join(carried.select(F.col("class_id").alias("__class"), F.col("__bucket").alias("__b"), *[f"__{n}" for n in names]), F.col("class_id").eqNullSafe(F.col("__class")) & F.col("__bucket").eqNullSafe(F.col("__b")))
+    # what is carried over follows from the calendars alone: a row for each bucket of a class's calendar and one at either side
+    by_bucket = entries.select("class_id", bucket, *names).groupBy("class_id", "__bucket").agg(*[F.max(n).alias(n) for n in PAST], *[F.min(n).alias(n) for n in FUTURE])
+    ranges = by_bucket.groupBy(F.col("class_id").alias("__class")).agg((F.min("__bucket") - 1).alias("__lo"), (F.max("__bucket") + 1).alias("__hi"))
+    every = ranges.select(F.col("__class").alias("class_id"), F.explode(F.sequence("__lo", "__hi")).alias("__bucket"))
+    filled = same(every, by_bucket, ["class_id", "__bucket"], "left")
+    behind = Window.partitionBy("class_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("class_id").orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    past, future = [F.max(n).over(behind).alias(f"__{n}") for n in PAST], [F.min(n).over(ahead).alias(f"__{n}") for n in FUTURE]
+    carried = filled.select(F.col("class_id").alias("__class"), F.col("__bucket").alias("__near"), *past, *future)
+    near = F.when(F.col("__bucket").isNotNull(), F.greatest("__lo", F.least("__hi", "__bucket")))
+    placed = looked.join(ranges, F.col("class_id").eqNullSafe(F.col("__class")), "left").drop("__class").withColumn("__at", near)
+    merged = placed.join(carried, F.col("class_id").eqNullSafe(F.col("__class")) & (F.col("__at") == F.col("__near")), "left")
     values = [F.greatest(n, f"__{n}").alias(n) for n in PAST] + [F.least(n, f"__{n}").alias(n) for n in FUTURE]
     return merged.select("__row.*", *values)
 
