@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -72,6 +73,15 @@ def test_lines(spark):
     assert nine[0].text == texts[0]
 
 
+def test_a_text_of_very_many_lines_takes_linear_time(spark):
+    text = "\n".join(f"line {k}" if k % 2 else "Same" for k in range(200_000))
+    docs = docs_of(spark, [text, *["same"] * 10])
+    began = time.time()
+    (row,) = line_dedup.dedup_lines(docs).where("doc_id = 0").collect()
+    assert row.text == "\n".join(f"line {k}" for k in range(1, 200_000, 2)) and tuple(row.line_dedup) == (200_000, 100_000)
+    assert time.time() - began < 60  # splitting the text anew for each line takes hours
+
+
 def test_lines_of_repeated_rows_count_once(spark):
     one = docs_of(spark, ["again\nx"])
     many = one
