@@ -63,7 +63,7 @@ class Analysis:
         }
 
 
-def analyse(features: DataFrame, max_k: int = MAX_K, inits: int = INITS, extra_k: Sequence[int] = EXTRA_K, threads: int = 8, id_col: str = "dialog_id") -> Analysis:
+def analyse(features: DataFrame, max_k: int = MAX_K, inits: int = INITS, extra_k: Sequence[int] = EXTRA_K, id_col: str = "dialog_id") -> Analysis:
     """Scales and reduces the features, chooses K by vote over the inertia curve, and labels every row for this K and some others.
 
     Needs at least three rows. Labels are written once; all profiles read that table.
@@ -72,7 +72,7 @@ def analyse(features: DataFrame, max_k: int = MAX_K, inits: int = INITS, extra_k
     table = written(features, "features")
     scores, _, shares = feature_scores(table, id_col)
     reduced = written(leading_components(scores, shares, id_col=id_col), "reduced")
-    points = cluster.inertia_curve(reduced, sweep(reduced, max_k), inits=inits, threads=threads)
+    points = cluster.inertia_curve(reduced, sweep(reduced, max_k), inits=inits)
     curve = spark.createDataFrame([(k, float(v)) for k, v in points], "k int, inertia double")
     votes = cluster.elbow_votes(curve)
     k = votes.first()["chosen"]

@@ -229,7 +229,7 @@ def _reduced(spark, sf_dir):
 @query("inertia_curve")
 def inertia_curve(spark, sf_dir):
     rows = _reduced(spark, sf_dir)
-    return spark.createDataFrame([(k, float(v)) for k, v in cluster.inertia_curve(rows, analysis.sweep(rows), inits=analysis.INITS, threads=8)], "k int, inertia double")
+    return spark.createDataFrame([(k, float(v)) for k, v in cluster.inertia_curve(rows, analysis.sweep(rows), inits=analysis.INITS)], "k int, inertia double")
 
 
 @query("silhouette_curve")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -30,30 +31,105 @@ def packed(df: DataFrame, vector: str) -> DataFrame:
     return rows.coalesce(max(1, -(-rows.count() // TASK_ROWS))).cache()
 
 
-def fit_kmeans(df: DataFrame, k: int, vector: str = "pcs", inits: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> KMeansModel:
-    """The best of ``inits`` runs by the sum of squared distances."""
-    vectors = df.select(array_to_vector(vector).alias("__v"))
-    runs = [KMeans(k=k, seed=seed + n, maxIter=max_iter, tol=tol, featuresCol="__v", predictionCol="__c").fit(vectors) for n in range(inits)]
-    return min(runs, key=lambda m: m.summary.trainingCost)
+@dataclass(frozen=True)
+class Fitted:
+    """Centres of a model, the rows nearest to each, and the sum of squared distances."""
+
+    centres: np.ndarray
+    sizes: np.ndarray
+    inertia: float
+
+
+def _first_centres(sample: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """k rows of the sample, each drawn by its squared distance to those before it."""
+    chosen = [sample[draw.integers(len(sample))]]
+    far = ((sample - chosen[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        at = draw.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else draw.integers(len(sample))
+        chosen.append(sample[at])
+        far = np.minimum(far, ((sample - sample[at]) ** 2).sum(axis=1))
+    return np.stack(chosen)
+
+
+def _nearest_sums(vectors: DataFrame, vector: str, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(rows nearest to each centre, their sum, the squared distances in all) of every model, from one pass over the rows."""
+    size = models[0].shape[1]
+    shared = vectors.sparkSession.sparkContext.broadcast(models)
+    names = ["model", "centre", "n", "cost", *(f"s{k}" for k in range(size))]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        total = [np.zeros((len(c), 2 + size)) for c in centres]
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), size)
+            for c, own in zip(centres, total, strict=True):
+                far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1), 0)
+                near = far.argmin(axis=1)
+                mine = np.zeros((len(c), len(x)))
+                mine[near, np.arange(len(x))] = 1
+                own += np.column_stack([mine.sum(axis=1), mine @ far.min(axis=1), mine @ x])
+        every = np.concatenate(total)
+        which = [np.repeat(np.arange(len(centres)), [len(c) for c in centres]), np.concatenate([np.arange(len(c)) for c in centres])]
+        yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(np.int32)) for w in which), *(pa.array(np.ascontiguousarray(v)) for v in every.T)], names)
+
+    schema = "model int, centre int, " + ", ".join(f"{n} double" for n in names[2:])
+    rows = vectors.mapInArrow(add_up, schema).groupBy("model", "centre").agg(*[F.sum(n).alias(n) for n in names[2:]]).toPandas().sort_values(["model", "centre"])
+    out = []
+    for k, _ in enumerate(models):
+        own = rows[rows.model == k]
+        out.append((own["n"].to_numpy(), own[names[4:]].to_numpy(), float(own["cost"].sum())))
+    return out
+
 
+def fit_kmeans(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, init_rows: int = 10_000) -> dict[int, Fitted]:
+    """The best of ``inits`` runs for each K, by the sum of squared distances.
 
-def inertia_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits: int = 3, threads: int = 3) -> list[tuple[int, float]]:
-    """(k, inertia); the models of several K are fitted side by side over cached vectors."""
-    cached = packed(df, vector)
+    All runs of all K go on side by side: every round is one pass over all rows, in which each task adds up its rows for every run that
+    hasn't ended. A run ends when its centres move by less than ``tol`` of the mean variance, as squares. First centres are
+    drawn from at most ``init_rows`` rows, first by hash; a centre without rows stays where it is.
+    """
+    vectors = packed(df, vector)
     try:
-        with ThreadPoolExecutor(threads) as pool:
-            return list(zip(ks, pool.map(lambda k: fit_kmeans(cached, k, vector, inits).summary.trainingCost, ks), strict=True))
+        sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64(vector)).limit(init_rows).collect()], float)
+        runs = [(k, n) for k in ks for n in range(inits)]
+        centres = {run: _first_centres(sample, run[0], np.random.default_rng(seed + run[1])) for run in runs}
+        least, going = tol * sample.var(axis=0).mean(), list(runs)
+        for _ in range(max_iter):
+            moved = {}
+            for run, (n, sums, _) in zip(going, _nearest_sums(vectors, vector, [centres[r] for r in going]), strict=True):
+                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[run])
+                moved[run], centres[run] = ((new - centres[run]) ** 2).sum(), new
+            going = [run for run in going if moved[run] > least]
+            if not going:
+                break
+        found: dict[int, Fitted] = {}
+        for (k, _), c, (n, _, cost) in zip(runs, (centres[r] for r in runs), _nearest_sums(vectors, vector, [centres[r] for r in runs]), strict=True):
+            if k not in found or cost < found[k].inertia:
+                found[k] = Fitted(c, n.astype(int), cost)
+        return found
     finally:
-        cached.unpersist()
+        vectors.unpersist()
+
+
+def inertia_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits: int = 3, seed: int = 42) -> list[tuple[int, float]]:
+    """(k, inertia) of the best run for each K."""
+    found = fit_kmeans(df, ks, vector, inits, seed)
+    return [(k, found[k].inertia) for k in ks]
 
 
 def silhouette_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims: int = 5, inits: int = 1, threads: int = 3) -> list[tuple[int, float]]:
     """(k, silhouette) over the first ``dims`` coordinates, with squared distances (the evaluator offers no plain ones)."""
     cut = packed(df.select(F.slice(vector, 1, dims).alias(vector)), vector)
     judge = ClusteringEvaluator(featuresCol="__v", predictionCol="__c")
+
+    def score(model: Fitted) -> float:
+        near = nearest_centroid(cut, model.centres, vector, "__c")
+        return judge.evaluate(near.select(array_to_vector(vector).alias("__v"), F.col("__c").cast("double").alias("__c")))
+
     try:
+        models = fit_kmeans(cut, ks, vector, inits)
         with ThreadPoolExecutor(threads) as pool:
-            return list(zip(ks, pool.map(lambda k: judge.evaluate(fit_kmeans(cut, k, vector, inits).transform(cut.select(array_to_vector(vector).alias("__v")))), ks), strict=True))
+            return list(zip(ks, pool.map(lambda k: score(models[k]), ks), strict=True))
     finally:
         cut.unpersist()
 
@@ -103,18 +179,12 @@ def nearest_centroid(df: DataFrame, centres: Sequence[Sequence[float]], vector:
 
 def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), vector: str = "pcs", inits: int = 3, seed: int = 42) -> DataFrame:
     """Adds cluster and cluster_k2, cluster_k3, ...: labels in order of size, then of the centre's coordinates; a K above the number of rows is left out."""
-    cached = packed(df, vector)
+    n = df.count()
+    models = fit_kmeans(df, [x for x in dict.fromkeys([k, *extra_k]) if x <= n], vector, inits, seed) if n else {}
     ranked = {}
-    try:
-        n = cached.count()
-        for number in dict.fromkeys([k, *extra_k]):
-            if number <= n:
-                model = fit_kmeans(cached, number, vector, inits, seed)
-                centres, sizes = model.clusterCenters(), model.summary.clusterSizes
-                order = sorted(range(len(centres)), key=lambda c, s=sizes, m=centres: (-s[c], [round(float(x), 9) for x in m[c]]))
-                ranked[number] = [centres[c] for c in order]
-    finally:
-        cached.unpersist()
+    for number, model in models.items():
+        order = sorted(range(number), key=lambda c, m=model: (-m.sizes[c], [round(float(x), 9) for x in m.centres[c]]))
+        ranked[number] = [model.centres[c] for c in order]
     out = df
     for number, centres in ranked.items():
         if number == k:
