@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialogmill.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, passage_dedup, token_counts, toxicity, warc
+from dialogmill.llm import (
+    conversation_repair,
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    passage_dedup,
+    spelling_variants,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_passage_dedup": passage_dedup.op9_passage_dedup,
     "op10_warc": warc.op10_warc,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_spelling_variants": spelling_variants.OP12_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
