@@ -15,6 +15,7 @@ from dialogmill.llm import (
     line_dedup,
     mixing,
     passage_dedup,
+    sharding,
     spelling_variants,
     token_counts,
     toxicity,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_passage_dedup": passage_dedup.op9_passage_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_sharding": sharding.op11_sharding,
     "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
