@@ -1,6 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+
+import pytest
+
+from pyspark.sql import functions as F
 
 from dialogmill.operators import segment
 
@@ -78,3 +83,48 @@ def test_live_sessions_keep_the_limit_together(spark):
     from dialogmill.streaming.sessions import live_sessions
 
     assert sorted(r.turns for r in live_sessions(log(spark, (0, "A"), (900, "A"), (1801, "A"))).collect()) == [1, 2]
+
+
+def random_log(spark, seed):
+    """Students of very unequal numbers of rows, equal and missing times, null students and entrances."""
+    draw = random.Random(seed)
+    students = ["busy"] * 60 + [None] * 20 + ["a", "b", "c"] * 5
+    rows = []
+    for k in range(1500):
+        when = None if draw.random() < 0.02 else T0 + dt.timedelta(minutes=draw.choice([draw.randrange(60), draw.randrange(20_000)]))
+        rows.append((draw.choice(["f", None]), draw.choice(students), draw.choice(["A", "A", "A", "B", None]), "q", "a", when, k))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("busy_rows", [0, 7, 60, 400])
+def test_pieces_of_busy_students_change_nothing(spark, monkeypatch, busy_rows):
+    rows = random_log(spark, busy_rows).repartition(5)
+    monkeypatch.setattr(segment, "PIECES", 100)
+    for split in (segment.split_by_entrance, segment.split_by_gap, segment.segment_dialogs):
+        assert sorted(split(rows, out="n", busy_rows=busy_rows).collect(), key=str) == sorted(split(rows, out="n").collect(), key=str)
+
+
+def test_pieces_carry_the_mapping_too(spark, monkeypatch):
+    monkeypatch.setattr(segment, "PIECES", 10)
+    chunks = segment.split_by_entrance(random_log(spark, 5).where("student_id = 'busy' AND source = 'f'"))
+    mapping = chunks.where("row_no % 7 = 0").selectExpr("source", "student_id", "chunk_no", "1 + row_no % 2 AS row_number", "row_no % 3 AS session_id").dropDuplicates(["source", "student_id", "chunk_no", "row_number"])
+    mapping = spark.createDataFrame(mapping.collect(), mapping.schema)
+    whole = segment.apply_session_mapping(chunks, mapping).collect()
+    assert sorted(whole) == sorted(segment.apply_session_mapping(chunks, mapping, busy_rows=10).collect())
+
+
+def test_no_window_of_rows_above_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(segment, "PIECES", 100)
+    rows = random_log(spark, 1)
+    plan = segment.segment_dialogs(rows, busy_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__piece" in line for line in windows)
+    cuts = segment.busy_cuts(rows, 10)
+    pieces = rows.join(cuts, rows["student_id"].eqNullSafe(cuts["student_id"]) & rows["source"].eqNullSafe(cuts["source"]))
+    pieces = pieces.select(cuts["source"], cuts["student_id"], segment._piece(F.unix_micros(F.col("ask_time").cast("timestamp")), F.col("__cuts")).alias("piece"))
+    sizes = pieces.where("student_id = 'busy' AND piece >= 0").groupBy("source", "piece").count().collect()
+    assert len(sizes) > 60 and max(r["count"] for r in sizes) < 30  # of some 500 rows each
+
+
+def test_empty_log(spark):
+    assert segment.segment_dialogs(spark.createDataFrame([], SCHEMA), busy_rows=0).collect() == []
