@@ -285,10 +285,26 @@ def nearest_centroid(spark, sf_dir):
     return cluster.nearest_centroid(vectors, _CENTRES, "v").select("vec_id", "cluster")
 
 
+def _by_student(spark, sf_dir) -> DataFrame:
+    """A group for each student; dialogs at the weekend have none, and those of over 30 days no length, so their groups fail."""
+    length = F.when(F.col("total_time_minutes") <= 43_200, F.col("total_time_minutes"))
+    group = F.when(F.col("is_weekend") == 0, F.split("dialog_id", "_")[1])
+    return fx.clustered(spark, sf_dir).withColumns({"group": group, "total_time_minutes": length})
+
+
+def _by_student_clusters(spark, sf_dir) -> DataFrame:
+    return cluster.per_group_clusters(_by_student(spark, sf_dir), "group", "dialog_id", ["qa_turns", "total_time_minutes", "day_period"], k=3)
+
+
 @query("per_group_clusters")
 def per_group_clusters(spark, sf_dir):
-    rows = fx.clustered(spark, sf_dir).withColumn("group", F.split("dialog_id", "_")[1])
-    return cluster.per_group_clusters(rows, "group", "dialog_id", ["qa_turns", "total_time_minutes", "day_period"], k=3)
+    return _by_student_clusters(spark, sf_dir)
+
+
+@query("group_results", f"""{fx.C_SQL}, g AS (SELECT CASE WHEN is_weekend = 0 THEN split_part(dialog_id, '_', 2) END AS g, total_time_minutes FROM c)
+SELECT g AS group, CASE WHEN count(*) < 3 THEN 'skipped' WHEN max(total_time_minutes) > 43200 THEN 'failed' ELSE 'ok' END AS outcome, count(*) AS n_rows FROM g GROUP BY g""")
+def group_results(spark, sf_dir):
+    return cluster.group_results(_by_student_clusters(spark, sf_dir), "group").select("group", "outcome", "n_rows")
 
 
 @query("pending_groups", "SELECT DISTINCT event_type AS g FROM events WHERE event_type NOT LIKE '%result%' AND event_type <> 'click'")

@@ -1,112 +1,34 @@
-"""K-Means, the choice of K, and many small models at once."""
+"""K-Means, the choice of K, and a model of its own for each of many groups."""
 
 from __future__ import annotations
 
 import operator
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dialogmill.operators.scaling import principal_components, standardize
+from dialogmill.operators import kmeans
+from dialogmill.operators.kmeans import Fitted
+from dialogmill.tables import discard, numbered, same, ship_package, written
 
 
-#: Vectors for each task of an iterative fit, at least: smaller parts cost more to start than to work on.
-TASK_ROWS = 50_000
+def fit_kmeans(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> dict[int, Fitted]:
+    """The best of ``inits`` runs for each K, by the sum of squared distances; all runs of all K share each pass over the rows.
 
-
-def packed(df: DataFrame, vector: str) -> DataFrame:
-    """The vectors alone, kept in memory over the iterations in no more parts than their number is worth."""
-    rows = df.select(vector)
-    return rows.coalesce(max(1, -(-rows.count() // TASK_ROWS))).cache()
-
-
-@dataclass(frozen=True)
-class Fitted:
-    """Centres of a model, the rows nearest to each, and the sum of squared distances."""
-
-    centres: np.ndarray
-    sizes: np.ndarray
-    inertia: float
-
-
-def _first_centres(sample: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
-    """k rows of the sample, each drawn by its squared distance to those before it."""
-    chosen = [sample[draw.integers(len(sample))]]
-    far = ((sample - chosen[0]) ** 2).sum(axis=1)
-    for _ in range(k - 1):
-        at = draw.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else draw.integers(len(sample))
-        chosen.append(sample[at])
-        far = np.minimum(far, ((sample - sample[at]) ** 2).sum(axis=1))
-    return np.stack(chosen)
-
-
-def _nearest_sums(vectors: DataFrame, vector: str, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """(rows nearest to each centre, their sum, the squared distances in all) of every model, from one pass over the rows."""
-    size = models[0].shape[1]
-    shared = vectors.sparkSession.sparkContext.broadcast(models)
-    names = ["model", "centre", "n", "cost", *(f"s{k}" for k in range(size))]
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        total = [np.zeros((len(c), 2 + size)) for c in centres]
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), size)
-            for c, own in zip(centres, total, strict=True):
-                far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1), 0)
-                near = far.argmin(axis=1)
-                mine = np.zeros((len(c), len(x)))
-                mine[near, np.arange(len(x))] = 1
-                own += np.column_stack([mine.sum(axis=1), mine @ far.min(axis=1), mine @ x])
-        every = np.concatenate(total)
-        which = [np.repeat(np.arange(len(centres)), [len(c) for c in centres]), np.concatenate([np.arange(len(c)) for c in centres])]
-        yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(np.int32)) for w in which), *(pa.array(np.ascontiguousarray(v)) for v in every.T)], names)
-
-    schema = "model int, centre int, " + ", ".join(f"{n} double" for n in names[2:])
-    rows = vectors.mapInArrow(add_up, schema).groupBy("model", "centre").agg(*[F.sum(n).alias(n) for n in names[2:]]).toPandas().sort_values(["model", "centre"])
-    out = []
-    for k, _ in enumerate(models):
-        own = rows[rows.model == k]
-        out.append((own["n"].to_numpy(), own[names[4:]].to_numpy(), float(own["cost"].sum())))
-    return out
-
-
-def fit_kmeans(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, init_rows: int = 10_000) -> dict[int, Fitted]:
-    """The best of ``inits`` runs for each K, by the sum of squared distances.
-
-    All runs of all K go on side by side: every round is one pass over all rows, in which each task adds up its rows for every run that
-    hasn't ended. A run ends when its centres move by less than ``tol`` of the mean variance, as squares. First centres are
-    drawn from at most ``init_rows`` rows, first by hash; a centre without rows stays where it is.
+    First centres are drawn from all rows, by their squared distance to those before them.
     """
-    vectors = packed(df, vector)
+    vectors = kmeans.packed(df, vector)
     try:
-        sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64(vector)).limit(init_rows).collect()], float)
-        runs = [(k, n) for k in ks for n in range(inits)]
-        centres = {run: _first_centres(sample, run[0], np.random.default_rng(seed + run[1])) for run in runs}
-        least, going = tol * sample.var(axis=0).mean(), list(runs)
-        for _ in range(max_iter):
-            moved = {}
-            for run, (n, sums, _) in zip(going, _nearest_sums(vectors, vector, [centres[r] for r in going]), strict=True):
-                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[run])
-                moved[run], centres[run] = ((new - centres[run]) ** 2).sum(), new
-            going = [run for run in going if moved[run] > least]
-            if not going:
-                break
-        found: dict[int, Fitted] = {}
-        for (k, _), c, (n, _, cost) in zip(runs, (centres[r] for r in runs), _nearest_sums(vectors, vector, [centres[r] for r in runs]), strict=True):
-            if k not in found or cost < found[k].inertia:
-                found[k] = Fitted(c, n.astype(int), cost)
-        return found
+        return kmeans.fit_models(vectors, {0: vectors.count()}, ks, inits, seed, max_iter, tol).get(0, {})
     finally:
         vectors.unpersist()
 
@@ -119,7 +41,7 @@ def inertia_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", inits:
 
 def silhouette_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims: int = 5, inits: int = 1, threads: int = 3) -> list[tuple[int, float]]:
     """(k, silhouette) over the first ``dims`` coordinates, with squared distances (the evaluator offers no plain ones)."""
-    cut = packed(df.select(F.slice(vector, 1, dims).alias(vector)), vector)
+    cut = df.withColumn(vector, F.slice(vector, 1, dims)).cache()
     judge = ClusteringEvaluator(featuresCol="__v", predictionCol="__c")
 
     def score(model: Fitted) -> float:
@@ -134,33 +56,33 @@ def silhouette_curve(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims
         cut.unpersist()
 
 
-def elbow_votes(curve: DataFrame) -> DataFrame:
-    """(by_curvature, by_distance, by_slope, chosen) of a table (k, inertia), a row per K.
+def elbow_votes(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, by_curvature, by_distance, by_slope, chosen) of a table (by, k, inertia), a row per K.
 
     Curvature: the place of the greatest second difference, plus two. Distance: the point farthest from the chord of
     the scaled curve. Slope: the place of the greatest change of the absolute slope, plus one. Places stop at the
     last K; with under three points all take the first. Two equal votes win, else the middle one.
     """
-    line = Window.orderBy("k")
-    whole = Window.partitionBy()
+    line = Window.partitionBy(*by).orderBy("k")
+    whole = Window.partitionBy(*by)
     at = F.row_number().over(line) - 1
     ahead = lambda n: F.lead("inertia", n).over(line)
     slope = lambda n: F.abs((ahead(n + 1) - (ahead(n) if n else F.col("inertia"))) / (F.lead("k", n + 1).over(line) - (F.lead("k", n).over(line) if n else F.col("k"))))
     marked = curve.select(
-        "k", at.alias("at"), F.count(F.lit(1)).over(whole).alias("n"), (ahead(2) - 2 * ahead(1) + F.col("inertia")).alias("curvature"), F.abs(slope(1) - slope(0)).alias("bend"),
+        *by, "k", at.alias("at"), F.count(F.lit(1)).over(whole).alias("n"), (ahead(2) - 2 * ahead(1) + F.col("inertia")).alias("curvature"), F.abs(slope(1) - slope(0)).alias("bend"),
         ((F.col("k") - F.min("k").over(whole)) / (F.max("k").over(whole) - F.min("k").over(whole))).alias("x"),
         ((F.col("inertia") - F.min("inertia").over(whole)) / (F.max("inertia").over(whole) - F.min("inertia").over(whole))).alias("y"),
     )
     y0, y1 = F.first("y").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("y").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     marked = marked.withColumn("off", F.round(F.abs((F.col("y") - y0) - F.col("x") * (y1 - y0)), 12))
     first = lambda column: F.min_by("at", F.struct(-F.col(column), F.col("at")))
-    picked = marked.agg(
+    picked = marked.groupBy(*by).agg(
         F.max("n").alias("n"), F.min("k").alias("low"), F.sort_array(F.collect_list("k")).alias("ks"),
         F.min_by("at", F.when(F.col("curvature").isNotNull(), F.struct(-F.col("curvature"), F.col("at")))).alias("a"), first("off").alias("b"),
         F.min_by("at", F.when(F.col("bend").isNotNull(), F.struct(-F.col("bend"), F.col("at")))).alias("c"),
     )
     vote = lambda place: F.when(F.col("n") < 3, F.col("low")).otherwise(F.get("ks", F.least(place, F.col("n").cast("int") - 1)))
-    votes = picked.select(vote(F.col("a") + 2).alias("by_curvature"), vote(F.col("b")).alias("by_distance"), vote(F.col("c") + 1).alias("by_slope"))
+    votes = picked.select(*by, vote(F.col("a") + 2).alias("by_curvature"), vote(F.col("b")).alias("by_distance"), vote(F.col("c") + 1).alias("by_slope"))
     middle = F.get(F.sort_array(F.array("by_curvature", "by_distance", "by_slope")), F.lit(1))  # also the value of any two that agree
     return votes.withColumn("chosen", middle)
 
@@ -181,16 +103,12 @@ def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), ve
     """Adds cluster and cluster_k2, cluster_k3, ...: labels in order of size, then of the centre's coordinates; a K above the number of rows is left out."""
     n = df.count()
     models = fit_kmeans(df, [x for x in dict.fromkeys([k, *extra_k]) if x <= n], vector, inits, seed) if n else {}
-    ranked = {}
-    for number, model in models.items():
-        order = sorted(range(number), key=lambda c, m=model: (-m.sizes[c], [round(float(x), 9) for x in m.centres[c]]))
-        ranked[number] = [model.centres[c] for c in order]
     out = df
-    for number, centres in ranked.items():
+    for number, model in models.items():
         if number == k:
-            out = nearest_centroid(out, centres, vector, "cluster")
+            out = nearest_centroid(out, kmeans.by_size(model), vector, "cluster")
         if number in extra_k:
-            out = nearest_centroid(out, centres, vector, f"cluster_k{number}")
+            out = nearest_centroid(out, kmeans.by_size(model), vector, f"cluster_k{number}")
     return out
 
 
@@ -213,58 +131,135 @@ def euclidean_silhouette(points: np.ndarray, labels: np.ndarray, block: int = 10
     return total / len(points)
 
 
-def _large_group(rows: DataFrame, columns: Sequence[str], k: int, seed: int) -> DataFrame:
-    """Adds cluster and status to the rows of one group that no single task holds: scaled, turned and fitted by Spark."""
-    odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
-    if not rows.where(reduce(operator.or_, map(odd, columns))).isEmpty():
-        return rows.withColumns({"cluster": F.lit(None).cast("int"), "status": F.lit("failed: null or non-finite numbers")})
-    scores = principal_components(standardize(rows, columns), columns)[0].cache()
-    try:
-        return label_clusters(scores, k, (), seed=seed).withColumn("status", F.lit("ok"))
-    finally:
-        scores.unpersist()
+#: Rows that aren't fitted: why they have no cluster.
+SKIPPED, FAILED = "skipped", "failed: null or non-finite numbers"
+
+
+def _project(rows: DataFrame, turn: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and an array ``__x`` of the rows of some groups: less the group's means, by its deviations, turned by its matrix."""
+    shared = rows.sparkSession.sparkContext.broadcast(turn)
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("__x", T.ArrayType(T.DoubleType()))])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("__g").to_numpy()
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            out = np.empty((len(x), next(iter(shared.value.values()))[2].shape[1]))
+            for own in np.unique(g):
+                mean, scale, matrix = shared.value[int(own)]
+                out[g == own] = ((x[g == own] - mean) * scale) @ matrix
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64()))], [*keep, "__x"])
+
+    return rows.select(*keep, *[c for c in columns if c not in keep]).mapInArrow(project, schema)
+
 
+def _products(scaled: DataFrame, d: int) -> dict[int, np.ndarray]:
+    """Sums of the products of each two columns, for each group."""
 
-def per_group_clusters(df: DataFrame, group: str, id_col: str, columns: Sequence[str], k: int = 3, max_rows: int = 100_000, seed: int = 42) -> DataFrame:
-    """(group, id, cluster, status) with a model of its own for each group of k rows or more; smaller groups are skipped, their rows told so.
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), d)
+            for own in np.unique(g):
+                part = x[g == own]
+                totals[int(own)] = totals.get(int(own), 0) + part.T @ part
+        for g, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, g, np.int32)), pa.array(np.arange(d * d, dtype=np.int32)), pa.array(total.ravel())], ["g", "at", "v"])
+
+    sums = scaled.select("__g", "__x").mapInArrow(add_up, "g int, at int, v double").groupBy("g", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["g", "at"])
+    return {int(g): own["v"].to_numpy().reshape(d, d) for g, own in sums.groupby("g")}
+
+
+def _axes(products: np.ndarray, variance: float | None) -> np.ndarray:
+    """Principal axes of scaled columns, as many as reach ``variance`` of the whole (all without one); the others are nought."""
+    values, vectors = np.linalg.eigh(products)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))])
+    reached = np.cumsum(values) / max(values.sum(), 1e-300)
+    used = len(values) if variance is None else min(len(values), int(np.searchsorted(reached, variance - 1e-12)) + 1)
+    return vectors * (np.arange(len(values)) < used)
+
+
+def _assigned(vectors: DataFrame, centres: dict[int, np.ndarray], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and the place of the nearest of the group's centres."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([*(vectors.schema[c] for c in keep), T.StructField("cluster", T.IntegerType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("__g").to_numpy()
+            x = batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            near = np.empty(len(batch), np.int32)
+            for own in np.unique(g):
+                near[g == own] = ((x[g == own][:, None] - shared.value[int(own)][None]) ** 2).sum(axis=2).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(near)], [*keep, "cluster"])
+
+    return vectors.mapInArrow(assign, schema)
 
-    Groups of up to ``max_rows`` rows take one task each; larger ones are fitted by Spark over all executors, one group after the other.
+
+def per_group_clusters(
+    df: DataFrame, group: str, id_col: str, columns: Sequence[str], k: int | None = 3, inits: int = 3, variance: float | None = None, max_k: int = 10, seed: int = 42
+) -> DataFrame:
+    """(group, id, cluster, status) with a model of its own for each group, labels in order of size.
+
+    Each group's columns are scaled by its own means and deviations (constant ones to 0) and turned to as many principal axes as
+    reach ``variance`` of it, all by default. Without ``k`` each group takes the K that the elbow votes choose from 2 to ``max_k``. All groups, of
+    any size, go through the same steps side by side: statistics, products of columns, starts and every round are one
+    aggregation each for a batch of groups (see ``kmeans``), so the same rows get the same labels whatever other groups there are.
+
+    Groups of under k rows (three without ``k``) are skipped, and groups with a null, NaN or infinite number failed; their rows have no
+    cluster. A null group is a group like others. An empty table gives an empty one.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    sized = df.join(sizes, group)
-    schema = T.StructType([df.schema[group], df.schema[id_col], T.StructField("cluster", T.IntegerType()), T.StructField("status", T.StringType())])
-
-    def labels_of(frame: pd.DataFrame) -> np.ndarray:
-        x = frame[list(columns)].to_numpy(float)
-        x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        x = x @ np.linalg.svd(x, full_matrices=False)[2].T
-        draw = np.random.default_rng(seed)
-        centres = x[draw.choice(len(x), 1)]
-        while len(centres) < k:  # next centres far from the ones so far
-            far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-            centres = np.vstack([centres, x[far.argmax()]])
-        for _ in range(100):
-            label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            moved = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        order = np.lexsort((np.arange(k), -np.bincount(label, minlength=k)))
-        return np.argsort(order)[label]
-
-    def model(frame: pd.DataFrame) -> pd.DataFrame:
+    spark, least = df.sparkSession, k or 3
+    ship_package(spark)
+    doubles = [F.col(c).cast("double") for c in columns]
+    odd = reduce(operator.or_, [c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in doubles])
+    rows = df.select(F.col(group).alias("__group"), F.col(id_col).alias("__id"), *[c.alias(f"__c{j}") for j, c in enumerate(doubles)], odd.alias("__odd"))
+    names = [f"__c{j}" for j in range(len(columns))]
+    sums = [f(n).alias(f"{label}{n}") for n in names for label, f in (("mean", F.avg), ("scale", F.stddev_pop))]
+    status = F.when(F.count(F.lit(1)) < least, SKIPPED).when(F.max("__odd"), FAILED).otherwise("ok")
+    known = written(numbered(rows.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"), status.alias("__status"), *sums), ["__group"], "__g"), "groups")
+    placed = written(same(rows, known.select("__group", "__g", "__status"), ["__group"]).withColumn("__g", F.col("__g").cast("int")), "placed")
+
+    ks = [k] if k else list(range(2, max_k + 1))
+    d, made = len(columns), []
+    at_once = max(1, kmeans.CENTRE_BYTES // (8 * d * max(d, inits * sum(ks))))
+    for first in range(1, (known.agg(F.max("__g")).first()[0] or 0) + 1, at_once):
+        wanted = F.col("__g").between(first, first + at_once - 1) & (F.col("__status") == "ok")
+        stats = known.where(wanted).toPandas().sort_values("__g")
+        if stats.empty:
+            continue
+        own = placed.where(wanted)
+        scales = stats[[f"scale{n}" for n in names]].to_numpy()
+        scales = np.where(scales > 0, 1 / np.where(scales > 0, scales, 1), 0)
+        turn = {int(g): (m, s, np.eye(d)) for g, m, s in zip(stats["__g"], stats[[f"mean{n}" for n in names]].to_numpy(), scales, strict=True)}
+        scaled = _project(own, turn, names, ["__g"])
+        axes = {g: _axes(p, variance) for g, p in _products(scaled, d).items()}
+        turned = written(_project(own, {g: (m, s, axes[g]) for g, (m, s, _) in turn.items()}, names, ["__group", "__id", "__g"]), "turned")
+        vectors = kmeans.packed(turned, "__x", "__g")
         try:
-            frame = frame.sort_values(id_col)
-            return pd.DataFrame({group: frame[group], id_col: frame[id_col], "cluster": labels_of(frame), "status": "ok"})
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame({group: frame[group], id_col: frame[id_col], "cluster": None, "status": f"failed: {e}"})
-
-    small = sized.where(F.col("__n").between(k, max_rows)).select(group, id_col, *columns).groupBy(group).applyInPandas(model, schema)
-    out = small.union(sized.where(F.col("__n") < k).select(group, id_col, F.lit(None).cast("int"), F.lit("skipped")))
-    for name in sorted(r[0] for r in sizes.where((F.col("__n") > max_rows) & (F.col("__n") >= k) & F.col(group).isNotNull()).select(group).collect()):
-        large = _large_group(df.where(F.col(group) == F.lit(name)).select(group, id_col, *columns), columns, k, seed)
-        out = out.union(large.select(group, id_col, "cluster", "status"))
-    return out
+            sizes = dict(zip(stats["__g"].astype(int), stats["__n"].astype(int) - (0 if k else 1), strict=True))
+            models = kmeans.fit_models(vectors, sizes, ks, inits, seed)
+        finally:
+            vectors.unpersist()
+        if k:
+            chosen = dict.fromkeys(models, k)
+        else:
+            curve = spark.createDataFrame([(g, n, m.inertia) for g, found in models.items() for n, m in found.items()], "__g int, k int, inertia double")
+            chosen = {r["__g"]: r["chosen"] for r in elbow_votes(curve, ["__g"]).collect()}
+        centres = {g: kmeans.by_size(found[chosen[g]]) for g, found in models.items()}
+        made.append(written(_assigned(turned, centres, ["__group", "__id"]), "labels").withColumn("status", F.lit("ok")))
+        discard(turned)
+    rest = placed.where("__status <> 'ok'").select("__group", "__id", F.lit(None).cast("int").alias("cluster"), F.col("__status").alias("status"))
+    return reduce(DataFrame.union, made, rest).select(F.col("__group").alias(group), F.col("__id").alias(id_col), "cluster", "status")
+
+
+def group_results(labelled: DataFrame, group: str) -> DataFrame:
+    """(group, outcome, reason, n_rows, n_clusters) of ``per_group_clusters``: ok, skipped or failed, a row for each group."""
+    parts: Column = F.split("status", ": ")
+    counts = labelled.groupBy(group, "status").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"))
+    return counts.select(group, parts[0].alias("outcome"), F.get(parts, F.lit(1)).alias("reason"), "n_rows", "n_clusters")
 
 
 def pending_groups(groups: DataFrame, finished: DataFrame, group: str, excluded: str = "feature|cluster|result|statistic|analysis|pca") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from dialogmill.functions.time import micros
-from dialogmill.tables import same, written
+from dialogmill.tables import discard, same, written
 
 STUDENT = ("source", "student_id")
 #: A student with more than one of so many parts of all rows is busy, and is cut into as many pieces.
@@ -77,7 +77,9 @@ def _numbered(rows: DataFrame, opens: Callable[[Column, Column], Column], out: s
     counts = marked(cut.join(carried, ["__who", "__piece"])).groupBy("__who", "__piece").agg(F.sum("__start").alias("__n"))
     offset = (F.sum("__n").over(pieces) - F.col("__n")).alias("__offset")
     tables = carried.join(counts.select("__who", "__piece", offset), ["__who", "__piece"])
-    numbered = marked(cut.join(written(tables, "carried"), ["__who", "__piece"]))
+    known = written(tables, "carried")
+    discard(carried)
+    numbered = marked(cut.join(known, ["__who", "__piece"]))
     number = F.col("__offset") + F.sum("__start").over(_line("__who", "__piece"))
     return numbered.withColumn(out, number.cast("int")).drop("__who", "__piece", "__prior", "__offset", "__start")
 

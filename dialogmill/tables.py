@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import operator
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -27,10 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table: lineage ends there, and later steps don't plan again what led to them."""
+    """The rows as a written table: lineage ends there, later steps don't plan again what led to them, and any executor can read them again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, for those that don't have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_has_dialogmill", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(package):  # else it is itself run from an archive that was sent
+            parent, name = os.path.split(package)
+            context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="dialogmill-"), name), "zip", parent, name))
+        context._has_dialogmill = True
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

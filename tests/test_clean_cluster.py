@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dialogmill.jobs import feature_queries
-from dialogmill.operators import clean, cluster, enrich, profile, sampling, scaling
+from dialogmill.jobs import analysis, feature_queries
+from dialogmill.operators import clean, cluster, enrich, kmeans, profile, sampling, scaling
 
 INF = float("inf")
 
@@ -99,14 +99,89 @@ def test_group_models_and_skips(spark):
     assert len({r.cluster for r in rows if r.id < 30}) == 1 and {r.status for r in rows if r.group == "g"} == {"ok"}
 
 
-def test_groups_above_the_bound_are_fitted_too(spark):
-    df, _ = points(spark)
-    flat = df.select("id", F.col("pcs")[0].alias("x"), F.col("pcs")[1].alias("y"), F.lit("big").alias("group")).union(spark.createDataFrame([(100 + k, float(k % 3), 1.0, "small") for k in range(9)]))
-    rows = cluster.per_group_clusters(flat, "group", "id", ["x", "y"], max_rows=20).collect()
-    assert {r.status for r in rows} == {"ok"} and len(rows) == 69
-    assert [sorted(r.id for r in rows if r.group == "big" and r.cluster == c) for c in range(3)] == [list(range(30)), list(range(30, 50)), list(range(50, 60))]
-    broken = flat.withColumn("x", F.when(F.col("id") != 7, F.col("x")))
-    assert {r.status[:7] for r in cluster.per_group_clusters(broken, "group", "id", ["x", "y"], max_rows=20).collect() if r.group == "big"} == {"failed:"}
+GROUPED = "id int, x double, y double, z double, group string"
+
+
+def grouped_rows():
+    """Groups of 60 and of 9 rows, the null group, one with a gap in its numbers, one too small, and columns that are constant."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for name, sizes in (("big", (30, 20, 10)), ("small", (4, 3, 2)), (None, (12, 9, 6)), ("odd", (5, 5, 5))):
+        for c, n in enumerate(sizes):
+            rows += [(name, c, float(x), float(y)) for x, y in draw.normal((10 * c, 5 * (c % 2)), 0.1, (n, 2))]
+    out = [(k, x if (name, k) != ("odd", 100) else None, y, 7.0, name) for k, (name, _, x, y) in enumerate(rows)]
+    out[-1] = (*out[-1][:1], float("nan"), *out[-1][2:])
+    return out + [(900, 1.0, 1.0, 7.0, "tiny"), (901, 2.0, 1.0, 7.0, "tiny")], [c for _, c, _, _ in rows]
+
+
+@pytest.mark.parametrize("bytes_at_once", [1, 1 << 25])
+def test_groups_of_any_size_are_fitted_side_by_side(spark, monkeypatch, bytes_at_once):
+    monkeypatch.setattr(kmeans, "CENTRE_BYTES", bytes_at_once)
+    rows, kinds = grouped_rows()
+    found = cluster.per_group_clusters(spark.createDataFrame(rows, GROUPED), "group", "id", ["x", "y", "z"]).collect()
+    assert sorted(r.id for r in found) == sorted(r[0] for r in rows)
+    labels = {r.id: r.cluster for r in found}
+    for k, kind in enumerate(kinds):
+        assert labels[k] == (None if rows[k][4] == "odd" else kind)
+    results = {r.group: (r.outcome, r.n_rows, r.n_clusters) for r in cluster.group_results(spark.createDataFrame(found), "group").collect()}
+    assert results == {"big": ("ok", 60, 3), "small": ("ok", 9, 3), None: ("ok", 27, 3), "odd": ("failed", 15, 0), "tiny": ("skipped", 2, 0)}
+
+
+def test_a_group_has_the_same_labels_alone_and_among_others(spark):
+    draw = np.random.default_rng(4)
+    rows = [(k, *(float(v) for v in draw.normal(size=3)), f"g{k % 3}" if k % 5 else "g0") for k in range(400)]
+    columns = ["x", "y", "z"]
+    every = cluster.per_group_clusters(spark.createDataFrame(rows, GROUPED).repartition(5), "group", "id", columns, k=4).collect()
+    alone = cluster.per_group_clusters(spark.createDataFrame([r for r in rows if r[4] == "g0"], GROUPED), "group", "id", columns, k=4).collect()
+    assert {r.id: r.cluster for r in every if r.group == "g0"} == {r.id: r.cluster for r in alone}
+
+
+def test_group_models_equal_numpy(spark):
+    """At the end each row is nearest to the mean of its own cluster, in the group's scaled columns."""
+    draw = np.random.default_rng(6)
+    rows = [(k, *(float(v) for v in draw.normal(size=3)), "a" if k % 4 else "b") for k in range(300)]
+    found = {r.id: r.cluster for r in cluster.per_group_clusters(spark.createDataFrame(rows, GROUPED), "group", "id", ["x", "y", "z"], k=3).collect()}
+    for name in "ab":
+        own = [r for r in rows if r[4] == name]
+        x = np.array([r[1:4] for r in own])
+        x = (x - x.mean(axis=0)) / x.std(axis=0)
+        label = np.array([found[r[0]] for r in own])
+        means = np.stack([x[label == c].mean(axis=0) for c in range(3)])
+        near = ((x[:, None] - means) ** 2).sum(axis=2).argmin(axis=1)
+        assert (near != label).mean() < 0.02 and list(np.bincount(label)) == sorted(np.bincount(label), reverse=True)
+
+
+def test_groups_choose_their_own_k(spark):
+    draw = np.random.default_rng(9)
+    rows = []
+    for name, centres in (("two", 2), ("four", 4)):
+        for c in range(centres):
+            rows += [(name, *(10.0 * c * np.array([1, c % 2, 1]) + draw.normal(0, 0.05, 3))) for _ in range(25)]
+    df = spark.createDataFrame([(k, *(float(v) for v in r[1:]), r[0]) for k, r in enumerate(rows)], GROUPED)
+    found = cluster.per_group_clusters(df, "group", "id", ["x", "y", "z"], k=None, max_k=6, variance=0.8)
+    assert {r.group for r in cluster.group_results(found, "group").collect() if r.outcome == "ok"} == {"two", "four"}
+    one = df.where("group = 'four'")
+    scores = scaling.principal_components(scaling.standardize(one, ["x", "y", "z"]), ["x", "y", "z"])
+    reduced = analysis.leading_components(scores[0], scores[2], id_col="id")
+    curve = spark.createDataFrame([(k, float(v)) for k, v in cluster.inertia_curve(reduced, range(2, 7))], "k int, inertia double")
+    assert found.where("group = 'four'").select("cluster").distinct().count() == cluster.elbow_votes(curve).first()["chosen"]
+
+
+def test_starts_come_from_all_rows(spark):
+    """A far cluster of 4 in 40,000 rows has a centre of its own; a sample by hash of 10,000 would miss it more often than not."""
+    draw = np.random.default_rng(1)
+    x = np.concatenate([draw.normal(0, 1, (40_000, 2)), draw.normal(500, 0.1, (4, 2))])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, pcs array<double>").repartition(6)
+    for seed in range(3):
+        model = cluster.fit_kmeans(df, [3], inits=1, seed=seed)[3]
+        assert sorted(model.sizes)[0] == 4
+    assert cluster.fit_kmeans(df.coalesce(2), [3], inits=1, seed=0)[3].inertia == pytest.approx(cluster.fit_kmeans(df, [3], inits=1, seed=0)[3].inertia)
+
+
+def test_fewer_different_rows_than_centres(spark):
+    df = spark.createDataFrame([(k, [float(k % 2), 1.0]) for k in range(10)], "id int, pcs array<double>")
+    found = cluster.fit_kmeans(df, [2, 4], inits=2)
+    assert found[2].inertia == found[4].inertia == 0 and sorted(found[4].sizes)[-2:] == [5, 5]
 
 
 def test_profiles(spark):
