@@ -42,21 +42,30 @@ def _bigrams(words: DataFrame) -> DataFrame:
 
 
 def _keys(words: DataFrame) -> DataFrame:
-    """(word, side, at, part): the three rarest bigrams of each word, each with what stands before it and with what follows it.
+    """(word, at, side, part): the three rarest bigrams of each word, each with what stands before it (the edit lies behind it) and with what follows it.
 
-    The order is global: bigrams by the number of words that hold them, then by their text, then by place.
+    The order is global: bigrams by the number of words that hold them, then by their text, then by place. On the side of the edit two letters next to
+    the bigram or the two outermost letters are the same in both words, if that side has four letters; so the words of a
+    frequent stem are split by these, and only those with up to four letters there meet at the stem alone.
     """
     grams = _bigrams(words)
     held = settled(grams.groupBy("gram").agg(F.count_distinct("word").alias("held")), "grams")
     known = F.broadcast(held) if held.count() <= BROADCAST_GRAMS else held
     ranked = grams.join(known, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("held", "gram", "at"))).alias("all"))
     rarest = ranked.select("word", F.explode(F.transform(F.slice("all", 1, RAREST), lambda g: g["at"])).alias("at"))
-    rest = F.char_length("word") - F.col("at")
-    sides = F.array(
-        F.struct(F.lit("head").alias("side"), F.substring("word", F.lit(1), F.col("at") + 2).alias("part")),
-        F.struct(F.lit("tail").alias("side"), F.substring("word", F.col("at") + 1, rest).alias("part")),
-    )
-    return rarest.select("word", "at", F.inline(sides))
+    word, at, n = F.col("word"), F.col("at"), F.char_length("word")
+
+    def cut(start: Column, to: Column) -> Column:
+        return F.substring(word, start + 1, F.greatest(to - start, F.lit(0)))
+
+    none, bar = F.lit(0), F.lit("|")
+    head, tail, rest = cut(none, at + 2), cut(at, n), n - at - 2
+    keys = {
+        "head, next": cut(none, at + 4), "head, last": F.concat(head, bar, cut(F.greatest(n - 2, at + 2), n)), "head": F.when(rest <= 4, head),
+        "tail, next": cut(F.greatest(at - 2, none), n), "tail, first": F.concat(cut(none, F.least(at, F.lit(2))), bar, tail), "tail": F.when(at <= 4, tail),
+    }
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), part.alias("part")) for side, part in keys.items()])
+    return rarest.select("word", "at", F.inline(sides)).where("part IS NOT NULL")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -64,7 +73,8 @@ def near_words(words: DataFrame) -> DataFrame:
 
     Words that differ by one edit share one of their ``RAREST`` rarest bigrams at places at most one apart, and the edit lies behind
     it or before it. So words meet at a bigram with equal text up to its end, or with equal text from its beginning: this bounds the
-    place as the filter asks, and the many words of a frequent bigram meet only those of their own stem. Whoever meets is verified by edit distance.
+    place as the filter asks, and the many words of a frequent bigram meet only those of their own stem (see ``_keys``). Whoever meets is
+    verified by edit distance.
 
     ``words`` has distinct words in a column ``word``; words of fewer than four code points are not compared (they may have no
     three bigrams), null words link with nothing, other columns aren't read.
