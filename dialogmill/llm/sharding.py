@@ -28,12 +28,14 @@ def _members(nodes: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     ``home`` names a node's neighbourhood, by the least hash of its hubs; ``chief`` marks one row of each node.
     """
     linked = links.where("node IS NOT NULL AND hub IS NOT NULL").select("node", "hub").distinct()
-    hubs = linked.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = settled(linked.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     known = linked.join(hubs, "hub").join(nodes, "node")
     homes = known.groupBy("node").agg(F.min(F.xxhash64("hub")).alias("home"))
     first = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     marked = known.join(homes, "node").select("node", "hub", "n", "size", "home", (F.xxhash64("hub") == F.col("home")).alias("chief"), first.alias("shard"))
-    return settled(marked, "members")
+    members = settled(marked, "members")
+    discard(hubs)
+    return members
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -69,10 +71,9 @@ def _let_in(movers: DataFrame, rooms: Sequence[float], turn: int, in_part: bool
     return whole.unionByName(some.drop("to", "left"))
 
 
-def _asked(members: DataFrame, shards: int, loads: Sequence[int], room: float, turn: int) -> DataFrame:
-    """(node, size, home, was, shard): who asks for another shard."""
+def _asked(members: DataFrame, held: DataFrame, shards: int, loads: Sequence[int], room: float, turn: int) -> DataFrame:
+    """(node, size, home, was, shard): who asks for another shard; ``held`` has the members of each hub by shard."""
     at = [F.col("shard") == k for k in range(shards)]
-    held = members.groupBy("hub").agg(F.array(*[F.sum(here.cast("long")) for here in at]).alias("held"))
     weight = F.floor(F.lit(WHOLE) / (F.col("n") - 1))
     votes = [F.sum((F.get("held", F.lit(k)) - here.cast("long")) * weight).alias(f"v{k}") for k, here in enumerate(at)]
     asked = members.join(held, "hub").groupBy("node", "size", "home", "shard").agg(*votes, F.max(weight).alias("own"), F.count(F.lit(1)).alias("hubs"))
@@ -100,14 +101,16 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, room: float, roun
     members, still = _members(nodes, links, shards), 0
     for turn in range(rounds):
         loads = _loads(members.where("chief"), shards)
-        movers = settled(_asked(members, shards, loads, room, turn), "asked")
+        counts = [F.count_if(F.col("shard") == k) for k in range(shards)]
+        held = settled(members.groupBy("hub").agg(F.array(*counts).alias("held")), "held")  # a table, so that Spark may split a large hub where it is joined
+        movers = settled(_asked(members, held, shards, loads, room, turn), "asked")
         moved = settled(_let_in(movers, [room - load for load in loads], turn).select("node", F.col("shard").alias("now")), "moved")
         still = still + 1 if moved.isEmpty() else 0
         if not still:
             kept = settled(members.join(moved, "node", "left").withColumn("shard", F.coalesce("now", "shard")).drop("now"), "members")
             discard(members)
             members = kept
-        discard(movers, moved)
+        discard(held, movers, moved)
         if still == 2:
             break
     return members.where("chief").select("node", "size", "home", "shard").dropDuplicates(["node"])
