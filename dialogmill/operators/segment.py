@@ -52,17 +52,18 @@ def _piece(us: Column, cuts: Column) -> Column:
     return F.when(cuts.isNull(), 0).when(us.isNull(), -1).otherwise(coarse + fine)
 
 
-def _numbered(rows: DataFrame, opens: Callable[[Column, Column], Column], out: str, busy_rows: int) -> DataFrame:
-    """Number of the run that a row belongs to; ``opens`` tells from the entrance and time of the row before whether it opens one."""
+def _numbered(rows: DataFrame, opens: Callable[[Callable[[str], Column]], Column], out: str, busy_rows: int) -> DataFrame:
+    """Number of the run that a row belongs to; ``opens`` tells from the entrance or time of the row before, which it may ask for, whether it opens one."""
     cuts = busy_cuts(rows, busy_rows)
     if cuts is None:
-        before = opens(F.lag("entrance").over(_line()), F.lag("ask_time").over(_line()))
-        started = rows.withColumn("__start", F.when((F.row_number().over(_line()) == 1) | before, 1).otherwise(0))
+        start = (F.row_number().over(_line()) == 1) | opens(lambda c: F.lag(c).over(_line()))
+        started = rows.withColumn("__start", F.when(start, 1).otherwise(0))
         return started.withColumn(out, F.sum("__start").over(_line()).cast("int")).drop("__start")
 
     cut = same(rows, F.broadcast(cuts), STUDENT, "left")
     cut = cut.withColumns({"__who": F.struct(*STUDENT), "__piece": _piece(micros(F.col("ask_time")), F.col("__cuts"))}).drop("__cuts")
-    last = F.max_by(F.struct("entrance", "ask_time"), F.struct("ask_time", "row_no")).alias("__last")
+    known = [c for c in ("entrance", "ask_time") if c in rows.columns]
+    last = F.max_by(F.struct(*known), F.struct("ask_time", "row_no")).alias("__last")
     ends = cut.groupBy("__who", "__piece").agg(last)
     pieces = Window.partitionBy("__who").orderBy("__piece")  # a row for each piece
     carried = written(ends.select("__who", "__piece", F.lag("__last").over(pieces).alias("__prior")), "carried")
@@ -71,15 +72,15 @@ def _numbered(rows: DataFrame, opens: Callable[[Column, Column], Column], out: s
         line = _line("__who", "__piece")
         head = F.row_number().over(line) == 1
         prior = lambda c: F.when(head, F.col("__prior")[c]).otherwise(F.lag(c).over(line))
-        start = (head & F.col("__prior").isNull()) | opens(prior("entrance"), prior("ask_time"))
+        start = (head & F.col("__prior").isNull()) | opens(prior)
         return df.withColumn("__start", F.when(start, 1).otherwise(0))
 
     counts = marked(cut.join(carried, ["__who", "__piece"])).groupBy("__who", "__piece").agg(F.sum("__start").alias("__n"))
     offset = (F.sum("__n").over(pieces) - F.col("__n")).alias("__offset")
     tables = carried.join(counts.select("__who", "__piece", offset), ["__who", "__piece"])
-    known = written(tables, "carried")
+    counted = written(tables, "carried")
     discard(carried)
-    numbered = marked(cut.join(known, ["__who", "__piece"]))
+    numbered = marked(cut.join(counted, ["__who", "__piece"]))
     number = F.col("__offset") + F.sum("__start").over(_line("__who", "__piece"))
     return numbered.withColumn(out, number.cast("int")).drop("__who", "__piece", "__prior", "__offset", "__start")
 
@@ -98,17 +99,17 @@ BUSY_ROWS = 1_000_000
 
 def split_by_entrance(rows: DataFrame, out: str = "chunk_no", busy_rows: int = BUSY_ROWS) -> DataFrame:
     """A new chunk wherever the entrance differs from the row before."""
-    return _numbered(rows, lambda entrance, _: entrance_changed(entrance), out, busy_rows)
+    return _numbered(rows, lambda before: entrance_changed(before("entrance")), out, busy_rows)
 
 
 def split_by_gap(rows: DataFrame, minutes: float = 15, out: str = "chunk_no", busy_rows: int = BUSY_ROWS) -> DataFrame:
     """A new chunk after a pause of more than ``minutes``."""
-    return _numbered(rows, lambda _, time: gap_exceeded(time, minutes), out, busy_rows)
+    return _numbered(rows, lambda before: gap_exceeded(before("ask_time"), minutes), out, busy_rows)
 
 
 def segment_dialogs(rows: DataFrame, minutes: float = 15, out: str = "dialog_no", busy_rows: int = BUSY_ROWS) -> DataFrame:
     """Both rules in one pass: a chunk's first row is a boundary anyway."""
-    return _numbered(rows, lambda entrance, time: entrance_changed(entrance) | gap_exceeded(time, minutes), out, busy_rows)
+    return _numbered(rows, lambda before: entrance_changed(before("entrance")) | gap_exceeded(before("ask_time"), minutes), out, busy_rows)
 
 
 def dialog_id(number: str = "dialog_no") -> Column:
@@ -164,7 +165,7 @@ def apply_session_mapping(chunks: DataFrame, mapping: DataFrame, out: str = "dia
     held = F.coalesce(F.last("session_id", ignorenulls=True).over(chunk.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
     labelled = labelled.withColumn("session_id", held)
     changed = (F.col("row_number") == 1) | (F.col("session_id") != F.lag("session_id").over(chunk))
-    return _numbered(labelled.withColumn("__opens", changed), lambda *_: F.col("__opens"), out, busy_rows).drop("__opens")
+    return _numbered(labelled.withColumn("__opens", changed), lambda _: F.col("__opens"), out, busy_rows).drop("__opens")
 
 
 def dialogs_per_student(dialogs: DataFrame) -> DataFrame:

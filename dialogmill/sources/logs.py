@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import csv
-import io
+import os
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialogmill.operators.clean import clean_interactions
+from dialogmill.sources import records
 
 # Columns of the logs and calendars, and their names here.
 INTERACTION_COLUMNS = {
@@ -27,6 +26,8 @@ CALENDAR_COLUMNS = {
 }
 # Names that mark results instead of logs.
 EXCLUDED_NAMES = ("feature", "cluster", "result", "statistic", "analysis", "pca")
+#: Bits of ``row_no`` that count a file's records; those above are the file's number.
+FILE_BITS = 40
 _TIMES = ("course_start", "course_end", "release_time", "deadline_time", "session_start", "session_end")
 
 
@@ -34,56 +35,55 @@ class MissingColumns(ValueError):
     """A source lacks columns that the job needs."""
 
 
-def _header(line: str | None) -> tuple[str, ...]:
-    """Names of a header line, stripped of blanks and byte order marks."""
-    cells = next(csv.reader([line]), []) if line else []
+def names_of(head: bytes | None, encoding: str = "utf-8") -> tuple[str, ...]:
+    """Names of a header record, stripped of blanks and byte order marks."""
+    cells = next(csv.reader([head.decode(encoding, "replace")]), []) if head else []
     return tuple(c.strip().strip("\ufeff").strip() for c in cells)
 
 
-def headers(spark: SparkSession, path: str | list[str], recursive: bool = False) -> list[tuple[str, tuple[str, ...]]]:
-    """(path, names in its header line) of every CSV file, in order of path. Of each file one line is read, as when Spark infers names."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").load(path)
-    paths = sorted(r["path"] for r in listing.select("path").collect())  # the contents aren't read
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+def _folder(path: str | list[str], files: Sequence[str]) -> str:
+    """The folder that sources are named from: the one that is read, or that which all files share."""
+    if isinstance(path, str):
+        root = path.rstrip("/") + "/"
+        at = {f.index(root) + len(root) for f in files if root in f}
+        if len(at) == 1 and all(root in f for f in files):
+            return files[0][: at.pop()]
+    return os.path.commonpath([os.path.dirname(f) for f in files]) + "/" if files else ""
 
-    def first_line(name: str) -> str | None:
-        file = jvm.org.apache.hadoop.fs.Path(name)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(file.getFileSystem(conf).open(file), "UTF-8"))
-        try:
-            return reader.readLine()
-        finally:
-            reader.close()
 
-    with ThreadPoolExecutor(16) as pool:
-        return [(name, _header(line)) for name, line in zip(paths, pool.map(first_line, paths), strict=True)]
+def read_csv(
+    spark: SparkSession, path: str | list[str], names: dict[str, str], required: Sequence[str], what: str, recursive: bool = False, skip_incomplete: bool = False,
+    encodings: Sequence[str] = ("utf-8",),
+) -> DataFrame:
+    """Rows of all CSV files as texts, columns renamed by ``names`` (unknown ones keep theirs), with ``source`` and ``row_no``.
 
-
-def read_csv(spark: SparkSession, path: str | list[str], names: dict[str, str], required: Sequence[str], what: str, recursive: bool = False, skip_incomplete: bool = False) -> DataFrame:
-    """Rows of all CSV files as texts, columns renamed by ``names`` (unknown ones keep theirs), with ``source`` (file name without ending) and ``row_no``.
-
-    Files with one header line are read together, and those of different headers are put together by name, so neither the
-    order of columns nor an absent one matters; what a file lacks is null. Files that lack a required column fail the
+    ``source`` is the path from the folder that is read, without ending, so files of one name in several folders are different sources.
+    ``row_no`` rises along each file, and from file to file by path. Files are read in splits (see ``records``), those with one header and one
+    encoding (the first of ``encodings`` that fits, else the first) together; those of different headers are put together by name, so neither the order of
+    columns nor an absent one matters; what a file lacks is null. Files that lack a required column fail the
     job, or are left out with ``skip_incomplete``; if none is left, the job fails.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file, head in headers(spark, path, recursive):
-        groups[tuple(names.get(c, c) for c in head)].append(file)
-    lacking = {head: [n for n in required if n not in head] for head in groups}
-    usable = {head: files for head, files in groups.items() if not lacking[head]}
+    blocks = records.survey(spark, path, encodings, recursive)
+    found = sorted((unquote(r["path"]), r["path"], r["encoding"] or encodings[0], r["head"]) for r in records.files_of(blocks, encodings).collect())
+    groups: dict[tuple[tuple[str, ...], str], list[tuple[str, int]]] = defaultdict(list)
+    for number, (_, file, encoding, head) in enumerate(found):
+        groups[tuple(names.get(c, c) for c in names_of(head, encoding)), encoding].append((file, number))
+    lacking = {group: [n for n in required if n not in group[0]] for group in groups}
+    usable = {group: files for group, files in groups.items() if not lacking[group]}
     if not usable or (len(usable) < len(groups) and not skip_incomplete):
-        bad = next((head for head in groups if lacking[head]), None)
-        raise MissingColumns(f"{what} {groups[bad][0]} lacks {', '.join(lacking[bad])}" if bad is not None else f"no {what} under {path}")
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+        bad = next((group for group in groups if lacking[group]), None)
+        raise MissingColumns(f"{what} {unquote(groups[bad][0][0])} lacks {', '.join(lacking[bad])}" if bad is not None else f"no {what} under {path}")
+    folder = _folder(path, [f for f, *_ in found])
 
-    def rows(head: tuple[str, ...], files: list[str]) -> DataFrame:
+    def rows(head: tuple[str, ...], encoding: str, files: list[tuple[str, int]]) -> DataFrame:
         wanted = list(dict.fromkeys(c for c in head if c))
-        places = [head.index(c) for c in wanted]
-        found = reader.schema(T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(head))])).csv(files)
-        source = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
-        return found.select(*[F.col(f"_{k}").alias(c) for k, c in zip(places, wanted, strict=True)], source.alias("source"))
+        cells = records.parsed(records.read_records(spark, files, blocks, encoding), len(head))
+        plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+        source = F.regexp_replace(F.substring(plain, F.lit(len(folder) + 1), F.length(plain)), r"\.csv$", "")
+        row_no = F.shiftleft("no", FILE_BITS) + F.col("record")
+        return cells.select(*[F.col(f"cells._{head.index(c)}").alias(c) for c in wanted], source.alias("source"), row_no.alias("row_no"))
 
-    read = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows(head, files) for head, files in usable.items()])
-    return read.withColumn("row_no", F.monotonically_increasing_id())
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows(*group, files) for group, files in usable.items()])
 
 
 def read_interactions(spark: SparkSession, path: str | list[str], recursive: bool = False, skip_incomplete: bool = False) -> DataFrame:
@@ -93,12 +93,14 @@ def read_interactions(spark: SparkSession, path: str | list[str], recursive: boo
 
 
 def discover_logs(spark: SparkSession, folder: str, required: Sequence[str] = ("提问时间", "提问内容", "AI回复")) -> DataFrame:
-    """(path, accepted, reason): every CSV below the folder, by its name and its header line alone."""
-    files = spark.createDataFrame([(name, list(head)) for name, head in headers(spark, folder, recursive=True)], "path string, head array<string>")
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    lacking = F.array_except(F.array(*[F.lit(c) for c in required]), "head")
+    """(path, accepted, reason): every CSV below the folder, by its name and its header record alone, which tasks read; the driver opens no file."""
+    files = records.first_records(spark, folder, recursive=True)
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    head = F.transform(F.split(F.coalesce(F.decode("head", "UTF-8"), F.lit("")), ","), lambda c: F.trim(F.translate(c, '"\ufeff', "")))
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    lacking = F.array_except(F.array(*[F.lit(c) for c in required]), head)
     reason = F.when(name.rlike("|".join(EXCLUDED_NAMES)), "excluded name").when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.concat_ws(", ", lacking)))
-    return files.select("path", reason.isNull().alias("accepted"), reason.alias("reason"))
+    return files.select(path.alias("path"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def read_calendar(spark: SparkSession, path: str | list[str], required: Sequence[str]) -> DataFrame:
@@ -118,22 +120,23 @@ def load_reference(spark: SparkSession, class_windows: str, homework: str, sched
     }
 
 
-def read_any_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ("utf-8-sig", "utf-8", "gb18030")) -> DataFrame:
-    """(path, row, cells) of small CSV files whose encoding isn't known: each file is decoded in one task by the first encoding that fits."""
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                for encoding in encodings:
-                    try:
-                        text = bytes(content).decode(encoding)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    raise ValueError(f"{path} fits none of {', '.join(encodings)}")
-                lines = list(csv.reader(io.StringIO(text, newline="")))
-                head = [h.strip() for h in lines[0]] if lines else []
-                yield pd.DataFrame({"path": path, "row": range(1, len(lines)), "cells": [dict(zip(head, line, strict=False)) for line in lines[1:]]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
-    return files.mapInPandas(decode, T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()), T.StructField("cells", T.MapType(T.StringType(), T.StringType()))]))
+def read_any_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ("utf-8", "gb18030")) -> DataFrame:
+    """(path, row, cells) of CSV files whose encoding isn't known, in splits: each file by the first encoding that all its lines can be decoded by.
+
+    ``cells`` maps the header's names to texts; rows count from 1, empty lines included, which give no row. A byte order mark goes. A file that fits none fails.
+    """
+    blocks = records.survey(spark, path, encodings)
+    groups: dict[tuple[tuple[str, ...], str], list[tuple[str, int]]] = defaultdict(list)
+    for r in records.files_of(blocks, encodings).collect():
+        if r["encoding"] is None:
+            raise ValueError(f"{unquote(r['path'])} fits none of {', '.join(encodings)}")
+        groups[names_of(r["head"], r["encoding"]), r["encoding"]].append((r["path"], 0))
+
+    def rows(head: tuple[str, ...], encoding: str, files: list[tuple[str, int]]) -> DataFrame:
+        found = records.parsed(records.read_records(spark, files, blocks, encoding), len(head), null_value="\x00")
+        pairs = F.array(*[F.struct(F.lit(name).alias("key"), F.col(f"cells._{head.index(name)}").alias("value")) for name in dict.fromkeys(head)])
+        cells = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+        return found.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("record").alias("row"), cells.alias("cells"))
+
+    none = spark.createDataFrame([], "path string, row long, cells map<string,string>")
+    return reduce(DataFrame.unionByName, [rows(*group, files) for group, files in groups.items()], none)

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from dialogmill.jobs import export
-from dialogmill.sources import logs
+from dialogmill.sources import logs, records
 
 HEAD = "学生ID,提问时间,提问内容,AI回复,教学班ID"
 
@@ -78,3 +82,95 @@ def test_partitioned_export(spark, tmp_path):
     export.write_csv(df, str(tmp_path / "csv"))
     export.write_stats(df.agg(F.count("*").alias("n")), str(tmp_path / "stats"), job="x")
     assert spark.read.json(str(tmp_path / "stats")).first().n == 100
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def cell(draw):
+    return draw.choice(["", "plain", "课件", 'said "no"', "a, b", "two\nlines", '\n\n"\n', "long " * draw.randrange(1, 80), 'x"y', " sp ", "'"])
+
+
+def test_records_of_many_splits_equal_a_whole_read(spark, tmp_path, small_splits):
+    """Cells with line breaks lie over the cuts of the file, which is read in hundreds of splits."""
+    draw = random.Random(2)
+    rows = [[f"s{k}", "2025-03-01 10:00:00", cell(draw), cell(draw)] for k in range(800)]
+    with open(tmp_path / "one.csv", "w", newline="", encoding="utf-8-sig") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["学生ID", "提问时间", "提问内容", "AI回复"])
+        out.writerows(rows)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+    found = logs.read_csv(spark, str(tmp_path), logs.INTERACTION_COLUMNS, ["student_id"], "log").orderBy("row_no").collect()
+    assert [(r.student_id, r.question, r.answer) for r in found] == [(a, q or None, z or None) for a, _, q, z in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    whole = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(str(tmp_path)).collect()
+    assert [tuple(r) for r in whole] == [(r.student_id, r.ask_time, r.question, r.answer) for r in found]
+    assert len({r.row_no for r in found}) == 800
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_open_cells_are_those_of_a_parser(seed):
+    """What stands behind a line follows from the cells of Python's own parser."""
+    draw = random.Random(seed)
+    text = ",".join(draw.choice(['"a""b"', '"x\ny"', "p", "", '"q""\n""r"', '"tail"t', 'mid"dle', '"\n,\n"']) for _ in range(20))
+    lines, inside = text.split("\n"), False
+    for k, line in enumerate(lines):
+        inside = records.after_line(line.encode(), inside)
+        rest = list(csv.reader(io.StringIO("\n".join(lines[: k + 1]) + "\n", newline="")))
+        more = list(csv.reader(io.StringIO("\n".join(lines[: k + 1]) + "\n!", newline="")))
+        assert inside == (len(more) == len(rest))
+
+
+def test_windows_line_ends_and_blank_lines(spark, tmp_path, small_splits):
+    lines = [HEAD, 's1,2025-03-01 10:00:00,"a', 'b",ok,7', "", "s2,2025-03-01 10:00:01,q,a,7"]
+    (tmp_path / "w.csv").write_bytes("\r\n".join(lines).encode("utf-8-sig"))
+    rows = logs.read_csv(spark, str(tmp_path), logs.INTERACTION_COLUMNS, ["student_id"], "log").orderBy("row_no").collect()
+    assert [(r.student_id, r.question, r.class_id) for r in rows] == [("s1", "a\nb", "7"), ("s2", "q", "7")]
+
+
+def test_files_of_one_name_are_different_sources(spark, tmp_path):
+    for k, folder in enumerate(("p", "q", "q/deep +1%", "课")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"{HEAD}\ns1,2025-03-01 10:00:0{k},q,a,7\n", encoding="utf-8")
+    rows = logs.read_interactions(spark, str(tmp_path), recursive=True).collect()
+    assert sorted(r.source for r in rows) == ["p/x", "q/deep +1%/x", "q/x", "课/x"]
+    assert {r.source for r in logs.read_interactions(spark, [str(tmp_path / "p"), str(tmp_path / "q")]).collect()} == {"p/x", "q/x"}
+    assert {r.source for r in logs.read_interactions(spark, str(tmp_path / "p/x.csv")).collect()} == {"x"}
+    from dialogmill.operators import segment
+
+    dialogs = segment.split_by_gap(logs.read_interactions(spark, str(tmp_path), recursive=True), out="dialog_no", busy_rows=0)
+    assert segment.dialogs_per_student(dialogs).count() == 4
+
+
+def test_names_with_signs_of_patterns(spark, tmp_path):
+    (tmp_path / "a[1]{2}.csv").write_text(f"{HEAD}\ns1,2025-03-01 10:00:00,q,a,7\n", encoding="utf-8")
+    assert [r.source for r in logs.read_interactions(spark, str(tmp_path)).collect()] == ["a[1]{2}"]
+
+
+def test_encodings_are_settled_file_by_file(spark, tmp_path, small_splits):
+    """The first lines fit every encoding; a later one decides."""
+    text = "k,v\n" + "1,plain\n" * 100 + '2,"课程\n，“引号”"\n' + "3,end\n" * 50
+    for name, encoding in (("g", "gb18030"), ("u", "utf-8"), ("b", "utf-8-sig")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(encoding))
+    found = logs.read_any_encoding(spark, str(tmp_path)).collect()
+    for name in "gub":
+        own = {r.row: r.cells for r in found if r.path.endswith(f"/{name}.csv")}
+        assert sorted(own) == list(range(1, 152)) and own[101] == {"k": "2", "v": "课程\n，“引号”"} and own[151] == {"k": "3", "v": "end"}
+    (tmp_path / "z.csv").write_bytes(b"k\n\xff\xff\n")
+    with pytest.raises(ValueError, match="z.csv fits none"):
+        logs.read_any_encoding(spark, str(tmp_path))
+
+
+def test_discovery_stops_at_the_header(spark, tmp_path):
+    """Of a large file each task reads some lines at most."""
+    with open(tmp_path / "big.csv", "w", encoding="utf-8-sig") as f:
+        f.write(HEAD + "\n" + "s1,2025-03-01 10:00:00,q,a,7\n" * 400_000)
+    got = {r.path.rsplit("/", 1)[1]: (r.accepted, r.reason) for r in logs.discover_logs(spark, str(tmp_path)).collect()}
+    assert got["big.csv"] == (True, None)
+    heads = {r["path"].rsplit("/", 1)[1]: r["head"] for r in records.first_records(spark, str(tmp_path)).collect()}
+    assert heads["big.csv"].decode() == HEAD
