@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from dialogmill.llm.common import table
 
 #: Each mask looks at the words under 1 and ignores those under 0. Laid at every position, at least
-#: one stays untouched by any substitution in 11 words, any two in 15 and any three in 20.
-MASKS = ("1111111", "11011011011", "11100010111", "10110101101")
+#: one stays untouched by one substitution in 11 words, any two in 15, any three in 16 and any four in 21.
+MASKS = ("1111111", "11011011011", "11100010111", "10110101101", "1101000100011")
 #: Items of so many words, in which one may be substituted though no mask is sure to stay untouched, are also looked up by halves.
 HALVED = 10
 #: Test-side hashes that a broadcast may hold; for more, both sides are shuffled by hash.
@@ -86,7 +86,8 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
     give hashes; equal hashes are hits. Each hit fixes an alignment of the item with the
     document, whose words are compared one by one: the best-scoring segment (a match counts 1, a substitution
     -2) is the overlap, and it is a leak from ``min_words`` matched words on, or from all but one word in ten of a
-    shorter item. One row per document row and item id, its best overlap, the first on ties.
+    shorter item. One row per document row and item id, its best overlap, the first on ties. All such overlaps with up to
+    three substitutions are found, and those with more from 21 (four), 25 (five) and 28 (six) words on; shorter ones with so many for the most part.
 
     Null or empty texts, and items without words, leak nothing; items of a few words are found where all of them stand in a row. Rows
     with null ids, of either side, are found with a null id. Repeated documents give repeated findings only if their texts
