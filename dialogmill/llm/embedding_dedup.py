@@ -14,11 +14,13 @@ from pyspark.sql import types as T
 from dialogmill.llm.common import discard, group_arrow, map_arrow, settled, table
 from dialogmill.llm.components import components
 
-TABLES = 4
+TABLES, BITS = 4, 64
 #: Rows of postings that one task looks at.
 PART_ROWS = 250_000
 #: Rows of one key above which it is cut into blocks of about so many.
 KEY_ROWS = 2_048
+#: Vectors of a sample whose mean counts half, and the square of a mean beyond which nearly all vectors are alike.
+FEW, ALIKE = 100, 0.75
 #: Pairs that are looked at together.
 BLOCK = 2_000_000
 
@@ -38,31 +40,38 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Centre and rotation of unit vectors; the signs of the result are the code."""
+    """Centre and rotations of unit vectors; the signs of the result are the code.
+
+    The centre makes the bits even. It is left out where the sample tells little of it, or where nearly all vectors point one way: seen from amidst them,
+    near copies would point anywhere.
+    A rotation gives a bit for each component at most, so short vectors are turned several times, each time from another start.
+    """
 
     mean: np.ndarray
     turn: np.ndarray
 
     @classmethod
-    def learn(cls, sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 5) -> Quantiser:
+    def learn(cls, sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 5) -> Quantiser:
         """Main directions of the sample, then alternately the nearest signs and the rotation that fits them best."""
         unit = unit_vectors(sample)
-        mean = unit.mean(axis=0)
-        bits = min(bits, unit.shape[1])
+        mean, width = unit.mean(axis=0) * len(unit) / (len(unit) + FEW), min(bits, unit.shape[1])
+        if mean @ mean > ALIKE:
+            mean = np.zeros(len(mean))
         _, axes = np.linalg.eigh(np.cov((unit - mean).T).reshape(unit.shape[1], -1)) if len(unit) > 1 else (None, np.eye(unit.shape[1]))
-        main = axes[:, ::-1][:, :bits]
+        main = axes[:, ::-1][:, :width]
         flat = (unit - mean) @ main
-        turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-        for _ in range(rounds):
-            u, _, vt = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
-            turn = (u @ vt).T
-        return cls(mean, main @ turn)
+        turns = []
+        for start in range(-(-bits // width)):
+            turn = np.linalg.qr(np.random.default_rng(seed + start).normal(size=(width, width)))[0]
+            for _ in range(rounds):
+                u, _, vt = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
+                turn = (u @ vt).T
+            turns.append(main @ turn)
+        return cls(mean, np.concatenate(turns, axis=1)[:, :bits])
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         signs = (unit_vectors(vectors) - self.mean) @ self.turn >= 0
-        wide = np.zeros((len(vectors), 64), bool)
-        wide[:, : signs.shape[1]] = signs
-        return np.packbits(wide, axis=1, bitorder="little").view(np.uint64).ravel()
+        return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _part(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -212,7 +221,7 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     merged = equal.groupBy("h1", "h2").agg(F.min("own_id").alias("own_id"), F.sum("n").alias("n"), F.first("vector").alias("vector"))  # 0.0 and -0.0
     distinct = settled(merged.withColumn("id", F.monotonically_increasing_id()), "vectors")
     quantisers = _quantisers(distinct, sample_rows)
-    bits = max([1, *(-(-q.turn.shape[1] // TABLES) for q in quantisers.values())])
+    bits = BITS // TABLES
     parts = max(1, -(-distinct.count() * TABLES * (bits + 1) // PART_ROWS))
     pairs = candidates(postings(distinct, quantisers, bits), bits, most_apart, parts)
     left, right = distinct.select(F.col("id").alias("a"), F.col("vector").alias("x")), distinct.select(F.col("id").alias("b"), F.col("vector").alias("y"))
