@@ -8,9 +8,10 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import accumulate, combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,17 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs_of(spark, texts), tests).collect()) == [2, 3, 5, 6]
 
 
+@pytest.mark.parametrize(("words", "changed"), [(n, 1) for n in range(14, 30)] + [(n, 2) for n in range(15, 30)] + [(n, 3) for n in range(16, 28)] + [(n, 4) for n in range(21, 26)])
+def test_masks_meet_all_patterns(words, changed):
+    """Every choice of changed words that leaves 13 and whose best segment is the whole leaves a mask untouched."""
+    laid = [sum(1 << (at + k) for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for at in range(words - len(m) + 1)]
+    for places in combinations(range(1, words - 1), changed):
+        score = list(accumulate(-2 if k in places else 1 for k in range(words)))
+        if min(score) > 0 and max(score[:-1]) < score[-1]:
+            pattern = sum(1 << k for k in places)
+            assert any(mask & pattern == 0 for mask in laid), places
+
+
 def leaks_of(texts, items):
     """By trying every alignment that matches often enough: {(document, item): most matched words of a best segment that is a leak}."""
     cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -194,14 +206,14 @@ def leaks_of(texts, items):
 @pytest.mark.parametrize("block_hashes", [1_000_000, 10])
 def test_leaks_against_brute_force(spark, block_hashes):
     draw = random.Random(11)
-    bodies = [prose(f"item{n}", n) for n in (1, 2, 6, 7, 9, 10, 11, 12, 14, 15, 20, 33)]
+    bodies = [prose(f"item{n}", n) for n in (1, 2, 6, 7, 9, 10, 11, 12, 14, 15, 16, 17, 18, 19, 20, 33)]
     items = [(k, b) for k, b in enumerate(bodies)] + [(3, prose("second text", 14)), (None, prose("no id", 16)), (40, None), (41, " .,")]
     texts = []
-    for k in range(60):
+    for k in range(120):
         parts = [prose(f"d{k}", draw.randrange(0, 40), 10**6)]
         for _ in range(draw.randrange(0, 3)):
             w = draw.choice(items[:-2])[1].split()
-            for at in draw.sample(range(len(w)), draw.randrange(0, 2) if len(w) < 20 else draw.randrange(0, 4)):
+            for at in draw.sample(range(len(w)), draw.randrange(0, 2) if len(w) < 16 else draw.randrange(0, 4)):
                 w[at] = f"x{draw.random()}".replace(".", "")
             parts += [" ".join(w), prose(f"e{k}", draw.randrange(0, 9), 10**6)]
         texts.append(draw.choice([" ", ", "]).join(parts).upper() if k % 2 else " ".join(parts))
@@ -360,9 +372,57 @@ def test_vectors_of_all_lengths_ids_and_sizes(spark):
     assert found == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("size", [16, 32, 64, 256])
+def test_recall_and_candidates_of_each_length(spark, size):
+    """Pairs at and above the least cosine are found, and random vectors are seldom compared."""
+    draw = np.random.default_rng(size)
+    base = draw.normal(size=(1500, size))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = draw.normal(size=base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = draw.uniform(0.951, 0.999, len(base))[:, None]
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * other])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(9000, [1.0] * 64)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    links = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()}
+    found, all_links = sum(links.values()), int(near.sum()) - len(x)
+    assert 0.99 * all_links <= found <= all_links and links[9000] == 0
+    quantisers = {size: embedding_dedup.Quantiser.learn(base)}
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(base)], "id long, vector array<double>")
+    compared = embedding_dedup.candidates(embedding_dedup.postings(rows, quantisers, 16), 16, 24, 4).count()
+    assert compared < 0.02 * len(base) ** 2 / 2
+
+
 # toxicity
 
 
+def test_long_signs_take_little_time():
+    """A megabyte of digits set apart, of one encoded word, or of signs and letters in turns blocks no task."""
+    draw = random.Random(1)
+    model = toxicity.CharModel(np.arange(1000), np.ones(1000, np.int64))
+    digits = " ".join(draw.choices("0123456789", k=1 << 19))
+    encoded = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    for text in (digits, encoded, "\n".join(" ".join(draw.choices("0123456789", k=40)) for _ in range(13_000))):
+        began = time.time()
+        assert sum(n for _, n, _, _ in toxicity.Reader(model).chunks(pa.array([text]))) == 1
+        assert time.time() - began < 5
+
+
+def test_words_set_apart_in_long_rows_are_found():
+    texts = ["the idiot and the moron is a stupid loser of trash worthless disgusting clown scum pathetic"] * 50
+    total = Counter()
+    for t in texts:
+        s = toxicity._SYMBOL[np.frombuffer(f" {t} ".encode(), np.uint8)].astype(int)
+        total.update((s[:-2] * toxicity.N_SYMBOLS + s[1:-1]) * toxicity.N_SYMBOLS + s[2:])
+    model = toxicity.CharModel(np.array(list(total)), np.array(list(total.values())))
+    word = toxicity._keys(np.frombuffer(b"worthless", np.uint8), np.array([0]), np.array([8]))[0, 0]
+    for before in range(0, 60, 7):
+        text = " ".join(["t h e"] * before + ["w 0 r t h l 3 s s"] + ["t h e"] * 40)
+        assert any(word in keys[:, 0] for _, _, _, keys in toxicity.Reader(model).chunks(pa.array([text])))
+
+
 def test_restoring():
     texts = ["the idiot and the moron is a stupid loser of trash worthless disgusting clown scum pathetic"] * 50
     total = np.zeros(toxicity.N_SYMBOLS**3)
