@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,58 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialogmill.tables import discard, shared_dir, ship_package  # noqa: F401  (operators take them from here)
+from dialogmill.tables import written as settled  # noqa: F401
+
 #: The six ASCII white-space characters, ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per context, for those that don't have it installed."""
-    context = spark.sparkContext
-    if not getattr(context, "_has_dialogmill", False):
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        if os.path.isdir(package):  # else it is itself run from an archive that was sent
-            parent, name = os.path.split(package)
-            context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="dialogmill-"), name), "zip", parent, name))
-        context._has_dialogmill = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="dialogmill-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none and all runs on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return named or _own_dir()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table: lineage ends there, and any executor can read them again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written.settled_path = path
-    return written
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes settled tables that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.settled_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
