@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogmill.jobs.export import rows_with_label, write_by, write_stats
-from dialogmill.operators import clean, cluster, profile, scaling, segment
+from dialogmill.operators import clean, cluster, profile, sampling, scaling, segment
 from dialogmill.operators.features import BINARY, CONTINUOUS, LOGGED
 from dialogmill.sources.logs import read_interactions
-from dialogmill.tables import written
+from dialogmill.tables import bucketed, discard, written
 
 #: All features in a fixed order, those of the whole table.
 ALL_FEATURES = (*CONTINUOUS, *BINARY)
@@ -66,26 +66,38 @@ class Analysis:
 def analyse(features: DataFrame, max_k: int = MAX_K, inits: int = INITS, extra_k: Sequence[int] = EXTRA_K, id_col: str = "dialog_id") -> Analysis:
     """Scales and reduces the features, chooses K by vote over the inertia curve, and labels every row for this K and some others.
 
-    Needs at least three rows. Labels are written once; all profiles read that table.
+    Needs at least three rows. Features and components are written in buckets by id, so the labels join the features where these lie, and so
+    may the dialogs; labels are written once, and all profiles read that table.
     """
     spark = features.sparkSession
-    table = written(features, "features")
+    table = bucketed(features, "features", id_col)
     scores, _, shares = feature_scores(table, id_col)
-    reduced = written(leading_components(scores, shares, id_col=id_col), "reduced")
+    reduced = bucketed(leading_components(scores, shares, id_col=id_col), "reduced", id_col)
     points = cluster.inertia_curve(reduced, sweep(reduced, max_k), inits=inits)
     curve = spark.createDataFrame([(k, float(v)) for k, v in points], "k int, inertia double")
     votes = cluster.elbow_votes(curve)
     k = votes.first()["chosen"]
     labels = cluster.label_clusters(reduced, k, extra_k, inits=inits).drop("pcs")
-    return Analysis(curve, votes, k, written(table.join(labels, id_col), "labelled"))
+    return Analysis(curve, votes, k, bucketed(table.join(labels, id_col), "labelled", id_col))
 
 
-def write_analysis(found: Analysis, dialogs: DataFrame, path: str, id_col: str = "dialog_id") -> None:
-    """The whole run below ``path``: curve, votes, labelled features, profiles, the dialogs by cluster, and its settings."""
-    for name, rows in {"inertia_curve": found.curve, "elbow_votes": found.votes, "clustered_features": found.labelled, **found.profiles()}.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    write_by(rows_with_label(dialogs, found.labelled.select(id_col, "cluster"), id_col), f"{path}/dialogs", "cluster")
+def write_analysis(found: Analysis, dialogs: DataFrame, path: str, id_col: str = "dialog_id", per_cluster: int = 50) -> None:
+    """The whole run below ``path``: curve, votes, labelled features, profiles, the dialogs by cluster, a sample of each cluster with previews, and its settings.
+
+    The dialogs, texts and all, are dealt by id once, in buckets; what follows joins them where they lie.
+    """
+    rows = bucketed(dialogs, "dialogs", id_col)
+    labels = found.labelled.select(id_col, "cluster")
+    sample = sampling.stratified_sample(found.labelled, "cluster", id_col, per_cluster)
+    tables = {
+        "inertia_curve": found.curve, "elbow_votes": found.votes, "clustered_features": found.labelled, **found.profiles(),
+        "sampling_report": sampling.sampling_report(found.labelled, sample, "cluster"), "sample_preview": sampling.sample_preview(rows, sample, "cluster", id_col),
+    }
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    write_by(rows_with_label(rows, labels, id_col), f"{path}/dialogs", "cluster")
     write_stats(found.labelled.agg(F.count(F.lit(1)).alias("n_dialogs")), f"{path}/settings", k=str(found.k), features=",".join(ALL_FEATURES))
+    discard(rows)
 
 
 def split_logs(spark: SparkSession, logs: str | list[str], path: str, mapping: DataFrame | None = None, minutes: float = 15, recursive: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from dialogmill.functions.time import teaching_week, total_weeks
 from dialogmill.jobs import fixtures as fx
 from dialogmill.jobs.registry import query
 from dialogmill.operators import audit, features, segment
-from dialogmill.operators.calendar import calendar_lookups, with_distances
+from dialogmill.operators.calendar import calendar_lookups, calendar_search, with_distances
 from dialogmill.operators.clean import clean_interactions as clean
 
 KEY = "student_id, dialog_no"
@@ -199,6 +199,15 @@ for _name in ("hours_to_next_class", "hours_from_last_class", "hours_to_assignme
     _hours(_name)
 
 
+@query("calendar_search", f"""{_ROWS} SELECT row_no, round(hours_to_next_class, 6) AS hours_to_next_class, round(hours_from_last_class, 6) AS hours_from_last_class,
+  round(hours_to_assignment, 6) AS hours_to_assignment, round(hours_since_release, 6) AS hours_since_release, in_class_time FROM h""")
+def calendar_search_all(spark, sf_dir):
+    """All five lookups by binary search; the queries above go through windows."""
+    found = with_distances(calendar_search(fx.dialogs(spark, sf_dir), fx.schedule(spark, sf_dir), fx.homework(spark, sf_dir)))
+    names = ("hours_to_next_class", "hours_from_last_class", "hours_to_assignment", "hours_since_release", "in_class_time")
+    return rounded(found.select("row_no", *names))
+
+
 @query("in_class_time", f"{_ROWS} SELECT row_no, in_class_time FROM h")
 def in_class_time(spark, sf_dir):
     return _looked(spark, sf_dir).select("row_no", "in_class_time")

@@ -238,6 +238,13 @@ def silhouette_curve(spark, sf_dir):
     return spark.createDataFrame([(k, float(v)) for k, v in cluster.silhouette_curve(rows, analysis.sweep(rows), dims=SILHOUETTE_DIMS, inits=analysis.INITS, threads=8)], "k int, silhouette double")
 
 
+@query("silhouette_choice")
+def silhouette_choice(spark, sf_dir):
+    rows = _scores(spark, sf_dir)[0].select("dialog_id", "pcs")
+    found = cluster.silhouette_choice(rows, analysis.sweep(rows), dims=SILHOUETTE_DIMS, inits=analysis.INITS)
+    return spark.createDataFrame([(k, round(v, 6), best) for k, v, best in found], "k int, silhouette double, chosen boolean")
+
+
 @query("cluster_labels")
 def cluster_labels(spark, sf_dir):
     return cluster.label_clusters(_reduced(spark, sf_dir), 3, inits=analysis.INITS).select("dialog_id", "cluster", "cluster_k2", "cluster_k3", "cluster_k4")

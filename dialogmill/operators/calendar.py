@@ -7,12 +7,16 @@ So a class with a third of all questions is spread over its buckets, and no row
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialogmill.functions.time import DAY, HOUR, micros
-from dialogmill.tables import same
+from dialogmill.tables import same, ship_package
 
 #: The lookups: past values are greatest ones, future values least ones.
 PAST = {"last_end": -1, "last_release": 0, "covered_until": 0}
@@ -70,23 +74,51 @@ def calendar_lookups(questions: DataFrame, schedule: DataFrame, homework: DataFr
     return merged.select("__row.*", *values)
 
 
-def calendar_arrays(questions: DataFrame, schedule: DataFrame, homework: DataFrame, max_entries: int = 1_000_000) -> DataFrame:
-    """The same by arrays of each class's entries, broadcast: no shuffle of questions, for calendars of at most ``max_entries``."""
-    entries = _entries(schedule, homework)
-    n = entries.count()
-    if n > max_entries:
-        return calendar_lookups(questions, schedule, homework)
-    lists = entries.groupBy(F.col("class_id").alias("__class")).agg(*[F.collect_list(F.when(F.col(c).isNotNull(), F.struct("us", c))).alias(f"__{c}") for c in (*PAST, *FUTURE)])
-    t = micros(F.col("ask_time"))
+def _sorted_entries(entries: DataFrame) -> dict:
+    """Of each class and lookup: times in order, and the value that holds from (past) or up to (future) each."""
+    out: dict = defaultdict(dict)
+    for name in (*PAST, *FUTURE):
+        held = entries.where(F.col(name).isNotNull()).select("class_id", "us", F.col(name).alias("v")).toPandas().sort_values("us", kind="stable")
+        for class_id, own in held.groupby("class_id", dropna=False, sort=False):
+            us, v = own["us"].to_numpy(), own["v"].to_numpy()
+            values = np.maximum.accumulate(v) if name in PAST else np.minimum.accumulate(v[::-1])[::-1]
+            out[None if pd.isna(class_id) else class_id][name] = (us, values)
+    return dict(out)
 
-    def past(name: str, to: int) -> Column:
-        return F.array_max(F.transform(F.filter(f"__{name}", lambda e: e["us"] <= t + to), lambda e: e[name]))
 
-    def future(name: str) -> Column:
-        return F.array_min(F.transform(F.filter(f"__{name}", lambda e: e["us"] > t), lambda e: e[name]))
+def calendar_search(questions: DataFrame, schedule: DataFrame, homework: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """The same as ``calendar_lookups`` by binary search in each class's sorted calendar, which every task is sent: questions aren't shuffled.
 
-    values = [past(c, to).alias(c) for c, to in PAST.items()] + [future(c).alias(c) for c in FUTURE]
-    return questions.join(F.broadcast(lists), F.col("class_id") == F.col("__class"), "left").select(*questions.columns, *values)
+    Only the class and the time of a question go to Python. Calendars are counted first; those of more than ``max_bytes`` go through the windows.
+    """
+    spark, entries = questions.sparkSession, _entries(schedule, homework)
+    if entries.count() * 16 * len((*PAST, *FUTURE)) > max_bytes:
+        return calendar_lookups(questions, schedule, homework)
+    ship_package(spark)
+    names = [*PAST, *FUTURE]
+    shared = spark.sparkContext.broadcast(_sorted_entries(entries))
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def search(class_id: pd.Series, us: pd.Series) -> pd.DataFrame:
+        out = {n: np.zeros(len(us), np.int64) for n in names}
+        known = {n: np.zeros(len(us), bool) for n in names}
+        codes, classes = pd.factorize(class_id, use_na_sentinel=False)
+        asked = us.notna().to_numpy()
+        times = us.fillna(0).to_numpy().astype(np.int64)
+        for code, own in enumerate(classes):
+            rows = np.flatnonzero((codes == code) & asked)
+            for n, (at, values) in shared.value.get(None if pd.isna(own) else own, {}).items():
+                if n in PAST:
+                    place = np.searchsorted(at, times[rows] + PAST[n], "right") - 1
+                    fits = place >= 0
+                else:
+                    place = np.searchsorted(at, times[rows], "right")
+                    fits = place < len(at)
+                out[n][rows[fits]], known[n][rows[fits]] = values[place[fits]], True
+        return pd.DataFrame({n: pd.arrays.IntegerArray(out[n], ~known[n]) for n in names})
+
+    found = questions.withColumn("__found", search(F.col("class_id"), micros(F.col("ask_time"))))
+    return found.select(*questions.columns, *[F.col(f"__found.{n}").alias(n) for n in names])
 
 
 def with_distances(looked: DataFrame, none_hours: float = 168.0, max_hours: float = 720.0) -> DataFrame:

@@ -112,23 +112,70 @@ def label_clusters(df: DataFrame, k: int, extra_k: Sequence[int] = (2, 3, 4), ve
     return out
 
 
-def euclidean_silhouette(points: np.ndarray, labels: np.ndarray, block: int = 1024) -> float:
-    """Exact mean silhouette with plain distances; for a sample that fits one machine."""
-    kinds, of = np.unique(labels, return_inverse=True)
-    sizes = np.bincount(of)
-    total = 0.0
-    for start in range(0, len(points), block):
-        rows = slice(start, start + block)
-        far = np.sqrt(((points[rows, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        sums = np.stack([far[:, of == c].sum(axis=1) for c in range(len(kinds))], axis=1)
-        own = of[rows]
-        at = np.arange(len(own))
-        inner = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-        means = sums / sizes
-        means[at, own] = np.inf
+def _plain_silhouettes(x: np.ndarray, own: np.ndarray, points: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of each row of ``x`` (its labels in ``own``) and each column of labels, the silhouette among ``points``, which the rows belong to."""
+    far = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ points.T + (points**2).sum(axis=1), 0))
+    far[far < 1e-7 * (1 + np.abs(x).max(initial=0))] = 0  # what is left of equal rows by rounding
+    out, at = np.empty(own.shape), np.arange(len(x))
+    for k in range(own.shape[1]):
+        sizes = np.bincount(labels[:, k])
+        member = np.zeros((len(points), len(sizes)))
+        member[np.arange(len(points)), labels[:, k]] = 1
+        sums, mine = far @ member, own[:, k]
+        inner = sums[at, mine] / np.maximum(sizes[mine] - 1, 1)
+        means = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.inf)
+        means[at, mine] = np.inf
         outer = means.min(axis=1)
-        total += np.where(sizes[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0).sum()
-    return total / len(points)
+        out[:, k] = np.where((sizes[mine] > 1) & np.isfinite(outer), (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+    return out
+
+
+def plain_silhouettes(rows: DataFrame, labels: Sequence[str], vector: str = "pcs", sample_rows: int = 20_000, block: int = 500) -> dict[str, float]:
+    """Mean silhouette with plain distances for each of some columns of labels, on at most ``sample_rows`` rows, first by hash; exact when that is all.
+
+    The sample is sent to every task, which this bound allows, and blocks of it are set against all of it: each task holds a block's
+    distances, so the work is the sample's size squared, dealt over the executors. A cluster of one row counts 0.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    key = [c for c in rows.columns if c not in (vector, *labels)] or [vector]
+    sample = written(rows.orderBy(F.xxhash64(*key), *key).limit(sample_rows).select(vector, *labels), "sample")
+    held = sample.toArrow()
+    if not held.num_rows:
+        return {}
+    points = np.array(held[vector].to_pylist(), float)
+    marks = np.column_stack([held[c].to_numpy() for c in labels]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((points, marks))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                every, own = shared.value
+                at = slice(start * block, (start + 1) * block)
+                sums = _plain_silhouettes(every[at], own[at], every, own).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in sums], [f"s{k}" for k in range(len(sums))])
+
+    blocks = -(-len(points) // block)
+    parts = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
+    found = parts.mapInArrow(judge, ", ".join(f"s{k} double" for k in range(len(labels)))).agg(*[F.sum(f"s{k}") for k in range(len(labels))]).first()
+    discard(sample)
+    return {c: float(v) / len(points) for c, v in zip(labels, found, strict=True)}
+
+
+def silhouette_choice(df: DataFrame, ks: Sequence[int], vector: str = "pcs", dims: int = 5, inits: int = 10, sample_rows: int = 20_000, seed: int = 42) -> list[tuple[int, float, bool]]:
+    """(k, silhouette, chosen) for each K over the first ``dims`` coordinates, with plain distances; the greatest is chosen, the smallest K of equal ones.
+
+    Models are fitted to all rows, the silhouette is that of ``plain_silhouettes``.
+    """
+    cut = df.withColumn(vector, F.slice(vector, 1, dims)).cache()
+    try:
+        models = fit_kmeans(cut, ks, vector, inits, seed)
+        labelled = reduce(lambda rows, k: nearest_centroid(rows, models[k].centres, vector, f"__k{k}"), models, cut)
+        found = plain_silhouettes(labelled, [f"__k{k}" for k in models], vector, sample_rows)
+    finally:
+        cut.unpersist()
+    best = max(models, key=lambda k: (found[f"__k{k}"], -k), default=None)
+    return [(k, found[f"__k{k}"], k == best) for k in models]
 
 
 #: Rows that aren't fitted: why they have no cluster.

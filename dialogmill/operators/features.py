@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from dialogmill.functions.text import WHY_KEYWORDS, contains_any, copy_keyword_count, has_image, normalize_text
 from dialogmill.functions.time import calendar_week, day_period, is_weekend, micros, teaching_week, total_weeks
-from dialogmill.operators.calendar import calendar_lookups, with_distances
+from dialogmill.operators.calendar import calendar_search, with_distances
 
 # The entrances of a question.
 CLASS_ENTRY, VIDEO, DISCUSSION, GRAPHIC, AI_TASK = "班级", "视频单元", "讨论单元", "图文单元", "课堂AI任务"
@@ -112,14 +112,15 @@ def extract_features(dialogs: DataFrame, class_windows: DataFrame, schedule: Dat
     ``audit.dialog_outcomes`` tells. Answers are never needed, so they aren't read.
 
     Windows over a dialog need no shuffle behind ``segment_dialogs``, which has dealt rows out by student; dialogs that don't
-    count go before any row travels. Two shuffles then carry rows: by class and time for the calendar, and by dialog.
+    count go before any row travels. Calendars that fit are searched where the rows are, else a shuffle by class and time
+    carries rows to them; the aggregation by dialog is behind either.
     """
     narrow = dialogs.select(*key, "class_id", "entrance", "question", "ask_time", "row_no")
     decided = with_dialog_class(narrow, key).where("NOT __bad").drop("__bad").withColumn("class_id", F.col("__class")).drop("__class")
     inside = decided.join(first_windows(class_windows), "class_id").where("__low >= course_start AND __high <= course_end").drop("__low", "__high")
     question = F.coalesce("question", F.lit(""))
     marked = with_text_marks(inside).withColumns({"__why": contains_any(question, WHY_KEYWORDS), "__size": F.char_length(question)}).drop("question")
-    looked = with_distances(calendar_lookups(marked, schedule, homework))
+    looked = with_distances(calendar_search(marked, schedule, homework))
     rows = looked.withColumn("__week", teaching_week(F.col("ask_time"), F.col("course_start"), F.col("course_end")))
     weeks = total_weeks(F.col("course_start"), F.col("course_end"))
     first = F.min("ask_time")

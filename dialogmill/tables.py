@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Different values, over all groups, that may be gathered by group.
+FEW_VALUES = 1_000_000
+
+
 @functools.lru_cache(maxsize=1)
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="dialogmill-")
@@ -37,9 +41,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, name: str, *by: str, buckets: int | None = None) -> DataFrame:
+    """The rows as a written table in buckets by ``by``: tables with as many buckets are joined on these columns where they lie, without a shuffle.
+
+    By default there are as many buckets as shuffle partitions; each is one file.
+    """
+    spark = df.sparkSession
+    n, number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{number}"
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(f"{name}_{number}")
+    table = spark.table(f"{name}_{number}")
+    table.written_path, table.table_name = path, f"{name}_{number}"
+    return table
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:
+        if hasattr(df, "table_name"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -76,13 +96,16 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return dealt.join(before, "__part").withColumn(out, F.col("__before") + within).drop("__part", "__before")
 
 
-def exact_percentiles(rows: DataFrame, keys: Sequence[str], shares: Sequence[float], value: str = "value") -> DataFrame:
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], shares: Sequence[float], value: str = "value", few: int = FEW_VALUES) -> DataFrame:
     """(keys, q): exact percentiles of each group's values that aren't null, between neighbours as far as the share says.
 
-    Equal values are counted first; the counts are dealt by range, summed along each range, and ranks are picked by
-    aggregation. So neither a group nor a value with a third of all rows lies in one task.
+    Equal values are counted first. Up to ``few`` counts are gathered by group; more are dealt by range, summed along each range, and ranks are
+    picked by aggregation, so that neither a group nor a value with a third of all rows lies in one task. Both give the same.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = written(counts, "counts")
+    if counts.count() <= few:
+        return counts.groupBy(*keys).agg(F.percentile("__v", list(shares), F.col("__n")).alias("q"))
     dealt = _dealt(counts, [*keys, "__v"], "values")
     parts = dealt.groupBy(*keys, "__part").agg(F.sum("__n").alias("__size"))
     group = Window.partitionBy(*keys)

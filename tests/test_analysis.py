@@ -54,6 +54,27 @@ def test_whole_analysis(spark, sf_dir, tmp_path):
     by_cluster = spark.read.parquet(str(tmp_path / "out/dialogs")).groupBy("cluster").agg(F.countDistinct("dialog_id").alias("n")).toPandas().set_index("cluster").n
     assert by_cluster.to_dict() == sizes.to_dict()
     assert spark.read.json(str(tmp_path / "out/settings")).first().n_dialogs == len(labelled)
+    report = spark.read.parquet(str(tmp_path / "out/sampling_report")).toPandas().set_index("cluster")
+    assert report.available.to_dict() == sizes.to_dict() and (report.sampled == np.minimum(report.available, 50)).all()
+    previews = spark.read.parquet(str(tmp_path / "out/sample_preview")).toPandas()
+    assert len(previews) == np.minimum(sizes, 3).sum() and previews.preview.notna().all()
+
+
+def test_tables_in_buckets_are_joined_where_they_lie(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dialogs = tables.bucketed(fx.with_dialog_id(fx.dialogs(spark, sf_dir)), "dialogs", "dialog_id")
+        labels = tables.bucketed(fx.clustered(spark, sf_dir).select("dialog_id", "cluster"), "labels", "dialog_id")
+        joined = dialogs.join(labels.where("cluster < 3"), "dialog_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = fx.with_dialog_id(fx.dialogs(spark, sf_dir)).join(fx.clustered(spark, sf_dir).where("cluster < 3").select("dialog_id", "cluster"), "dialog_id")
+        assert sorted(joined.select("dialog_id", "row_no", "cluster").collect()) == sorted(want.select("dialog_id", "row_no", "cluster").collect())
+        tables.discard(dialogs, labels)
+        assert not spark.catalog.tableExists(labels.table_name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_feature_table_has_all_columns(spark, sf_dir):
@@ -93,6 +114,8 @@ def test_percentiles_and_numbers(spark):
     df = spark.createDataFrame([(g, v, i) for g, v, i in frame.itertuples(index=False)] + [("a", None, 500), ("c", None, 501)], "g string, value double, id int").repartition(7)
     shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
     got = {r.g: r.q for r in tables.exact_percentiles(df, ["g"], shares).collect()}
+    ranged = {r.g: r.q for r in tables.exact_percentiles(df, ["g"], shares, few=0).collect()}
+    assert set(ranged) == set(got) and all(np.allclose(ranged[g], q) for g, q in got.items())
     assert set(got) == {"a", "b", None}
     for g, q in got.items():
         own = frame.value[frame.g.isna() if g is None else frame.g == g]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialogmill.functions.text import copy_keyword_count, normalize_text
 from dialogmill.functions.time import calendar_week, parse_mixed_date, parse_semester
 from dialogmill.operators import audit, features
-from dialogmill.operators.calendar import calendar_arrays, calendar_lookups, with_distances
+from dialogmill.operators.calendar import calendar_search, calendar_lookups, with_distances
 
 D = dt.datetime
 
@@ -20,7 +20,7 @@ def frames(spark, times):
     return asked, schedule, homework
 
 
-@pytest.mark.parametrize("strategy", [calendar_lookups, calendar_arrays])
+@pytest.mark.parametrize("strategy", [calendar_lookups, calendar_search])
 def test_boundaries(spark, strategy):
     times = [D(2025, 3, 1, 10), D(2025, 3, 1, 11), D(2025, 3, 2), D(2025, 3, 4), D(2025, 3, 1, 9), D(2025, 3, 9)]
     rows = with_distances(strategy(*frames(spark, times))).orderBy("row_no").collect()
@@ -38,10 +38,21 @@ def test_strategies_agree(spark, sf_dir):
     from dialogmill.jobs import fixtures as fx
 
     parts = [f(spark, sf_dir) for f in (fx.dialogs, fx.schedule, fx.homework)]
-    one, other = (sorted(map(tuple, with_distances(f(*parts)).select("row_no", "hours_to_next_class", "hours_from_last_class", "hours_to_assignment", "hours_since_release", "in_class_time").collect())) for f in (calendar_lookups, calendar_arrays))
+    one, other = (sorted(map(tuple, with_distances(f(*parts)).select("row_no", "hours_to_next_class", "hours_from_last_class", "hours_to_assignment", "hours_since_release", "in_class_time").collect())) for f in (calendar_lookups, calendar_search))
     assert one == other
 
 
+def test_searches_of_awkward_calendars(spark):
+    """Classes without entries, null classes and times, equal times; and calendars that are too large to send."""
+    asked = spark.createDataFrame([(c, t, k) for k, (c, t) in enumerate((c, t) for c in ("c", "none", None) for t in (D(2025, 3, 1, 10, 30), None))], "class_id string, ask_time timestamp_ntz, row_no long")
+    sessions = [("c", D(2025, 3, 1, 10), D(2025, 3, 1, 11)), ("c", D(2025, 3, 1, 10), D(2025, 3, 1, 12)), (None, D(2025, 3, 1, 10), None)]
+    schedule = spark.createDataFrame(sessions, "class_id string, session_start timestamp_ntz, session_end timestamp_ntz")
+    homework = spark.createDataFrame([], "class_id string, release_time timestamp_ntz, deadline_time timestamp_ntz")
+    found = [sorted(map(tuple, f.collect()), key=str) for f in (calendar_lookups(asked, schedule, homework), calendar_search(asked, schedule, homework), calendar_search(asked, schedule, homework, max_bytes=1))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6
+    assert "Exchange" not in calendar_search(asked, schedule, homework)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text(spark):
     df = spark.createDataFrame([("ＡＢ　ｃ\t这 道 题",), (None,)], "t string").select(normalize_text(F.col("t")).alias("n"), copy_keyword_count(normalize_text(F.col("t"))).alias("k"))
     a, b = df.collect()

@@ -85,10 +85,45 @@ def test_registered_sweep_is_the_whole_one(spark, sf_dir, monkeypatch):
     assert {len(r.pcs) for r in scores.collect()} == {25} and all(np.isfinite(r.pcs).all() for r in scores.collect())
 
 
+def exact_silhouette(x, labels):
+    """Row by row, as defined."""
+    out = []
+    for k in range(len(x)):
+        far = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        own = labels == labels[k]
+        others = [far[labels == c].mean() for c in set(labels) - {labels[k]}]
+        if own.sum() == 1 or not others:
+            out.append(0.0)
+            continue
+        inner, outer = far[own].sum() / (own.sum() - 1), min(others)
+        out.append((outer - inner) / max(inner, outer) if max(inner, outer) > 0 else 0.0)
+    return float(np.mean(out))
+
+
 def test_silhouettes(spark):
     df, x = points(spark)
     assert max(cluster.silhouette_curve(df, [2, 3, 4]), key=lambda p: p[1])[0] == 3
-    assert cluster.euclidean_silhouette(x, np.repeat([0, 1, 2], [30, 20, 10])) > 0.9
+    chosen = cluster.silhouette_choice(df, range(2, 7), inits=3)
+    assert [k for k, _, best in chosen if best] == [3] and [k for k, *_ in chosen] == [2, 3, 4, 5, 6]
+    labels = np.repeat([0, 1, 2], [30, 20, 10])
+    assert dict((k, v) for k, v, _ in chosen)[3] == pytest.approx(exact_silhouette(x, labels), abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_plain_silhouettes_equal_numpy(spark, block):
+    """Labels of several kinds: a row alone, equal rows, one cluster only."""
+    draw = np.random.default_rng(block)
+    x = np.round(draw.normal(size=(90, 3)), 1)
+    x[:6] = x[0]
+    kinds = {"a": draw.integers(0, 4, 90), "b": np.r_[3, np.zeros(89, int)], "c": np.zeros(90, int), "d": np.arange(90) % 2}
+    rows = [(k, [float(v) for v in r], *(int(kinds[c][k]) for c in "abcd")) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, pcs array<double>, a int, b int, c int, d int").repartition(3)
+    found = cluster.plain_silhouettes(df, list("abcd"), block=block)
+    for c in "abcd":
+        assert found[c] == pytest.approx(exact_silhouette(x, kinds[c]), abs=1e-6)
+    sampled = cluster.plain_silhouettes(df, ["a"], sample_rows=40)
+    assert sampled == cluster.plain_silhouettes(df.repartition(1), ["a"], sample_rows=40) and abs(sampled["a"] - found["a"]) < 0.2
+    assert cluster.plain_silhouettes(df.where("id < 0"), ["a"]) == {}
 
 
 def test_group_models_and_skips(spark):
