@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogmill.jobs.export import rows_with_label, write_by, write_stats
-from dialogmill.operators import clean, cluster, profile, sampling, scaling, segment
-from dialogmill.operators.features import BINARY, CONTINUOUS, LOGGED
+from dialogmill.operators import audit, clean, cluster, profile, sampling, scaling, segment
+from dialogmill.operators.features import BINARY, CONTINUOUS, LOGGED, extract_features
 from dialogmill.sources.logs import read_interactions
 from dialogmill.tables import bucketed, discard, written
 
@@ -21,6 +21,19 @@ ALL_FEATURES = (*CONTINUOUS, *BINARY)
 MAX_K, INITS, EXTRA_K = 10, 10, (2, 3, 4)
 
 
+def write_features(dialogs: DataFrame, class_windows: DataFrame, schedule: DataFrame, homework: DataFrame, path: str, allowed: DataFrame | None = None) -> DataFrame:
+    """Outcomes of all dialogs, features of those processed, and the counters of the run, below ``path``; returns the features.
+
+    Counters come from the written outcomes, a row for each dialog, so logs aren't read again for them, and a task or stage that Spark runs twice counts once.
+    """
+    spark = dialogs.sparkSession
+    audit.dialog_outcomes(dialogs, class_windows, allowed).write.mode("overwrite").parquet(f"{path}/outcomes")
+    rows = dialogs if allowed is None or allowed.isEmpty() else audit.allow_classes(dialogs, allowed)
+    extract_features(rows, class_windows, schedule, homework).write.mode("overwrite").parquet(f"{path}/features")
+    write_stats(audit.outcome_stats(spark.read.parquet(f"{path}/outcomes")), f"{path}/counters")
+    return spark.read.parquet(f"{path}/features")
+
+
 def feature_scores(features: DataFrame, id_col: str = "dialog_id") -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(id and principal components of each row, loadings, explained shares) of the whole feature table.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dialogmill import tables
 from dialogmill.jobs import analysis, dialog_queries, feature_queries
 from dialogmill.jobs import fixtures as fx
-from dialogmill.operators import features
+from dialogmill.operators import audit, features
 
 
 def elbow(ks, inertia):
@@ -60,6 +60,16 @@ def test_whole_analysis(spark, sf_dir, tmp_path):
     assert len(previews) == np.minimum(sizes, 3).sum() and previews.preview.notna().all()
 
 
+def test_counters_come_from_written_outcomes(spark, sf_dir, tmp_path):
+    calendars = [f(spark, sf_dir) for f in (fx.class_windows, fx.schedule, fx.homework)]
+    dialogs = dialog_queries._broken(fx.dialogs(spark, sf_dir))
+    found = analysis.write_features(dialogs, *calendars, str(tmp_path))
+    counters = spark.read.json(str(tmp_path / "counters")).first()
+    want = audit.outcome_stats(audit.dialog_outcomes(dialogs, calendars[0])).first()
+    assert {c: counters[c] for c in want.asDict()} == want.asDict() and counters.invalid_times > 0
+    assert found.count() == counters.processed
+
+
 def test_tables_in_buckets_are_joined_where_they_lie(spark, sf_dir):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
