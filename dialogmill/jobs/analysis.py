@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialogmill.jobs.export import rows_with_label, write_by, write_stats
 from dialogmill.operators import audit, clean, cluster, profile, sampling, scaling, segment
 from dialogmill.operators.features import BINARY, CONTINUOUS, LOGGED, extract_features
 from dialogmill.sources.logs import read_interactions
-from dialogmill.tables import bucketed, discard, written
+from dialogmill.tables import bucketed, discard, same, written
 
 #: All features in a fixed order, those of the whole table.
 ALL_FEATURES = (*CONTINUOUS, *BINARY)
@@ -113,6 +115,28 @@ def write_analysis(found: Analysis, dialogs: DataFrame, path: str, id_col: str =
     discard(rows)
 
 
+def analyse_groups(features: DataFrame, group: str, path: str, id_col: str = "dialog_id", columns: Sequence[str] = ALL_FEATURES, max_k: int = MAX_K, inits: int = INITS) -> DataFrame:
+    """A model of its own for each group, as many as are still to be done; returns the outcomes of all runs below ``path`` so far.
+
+    Logarithms are taken as for the whole table; each group is scaled, reduced to 80 % of its variance and cut into the K that its own votes choose.
+    Labels and outcomes are appended, so a run that was broken off, or one over more groups, goes on where the last one ended: groups that are done
+    are left out, those skipped (too few rows) or failed are tried again. Groups whose names mark results are left out.
+    """
+    spark = features.sparkSession
+    outcomes = T.StructType([features.schema[group]]).add("outcome", "string").add("reason", "string").add("n_rows", "long").add("n_clusters", "long").add("run", "string")
+    spark.createDataFrame([], outcomes).write.mode("append").parquet(f"{path}/outcomes")
+    before = spark.read.schema(outcomes).parquet(f"{path}/outcomes")
+    pending = written(cluster.pending_groups(features, before.where("outcome = 'ok'"), group), "pending")
+    rows = clean.log1p(same(features, pending, [group], "left_semi"), LOGGED)
+    labels = written(cluster.per_group_clusters(rows, group, id_col, columns, k=None, inits=inits, variance=0.8, max_k=max_k), "labels")
+    run = uuid.uuid4().hex
+    labels.where("status = 'ok'").withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/labels")
+    found = cluster.group_results(labels, group).withColumn("run", F.lit(run))
+    found.select(*outcomes.names).write.mode("append").parquet(f"{path}/outcomes")  # last, so a group is done only when its labels are there
+    discard(pending, labels)
+    return spark.read.schema(outcomes).parquet(f"{path}/outcomes")
+
+
 def split_logs(spark: SparkSession, logs: str | list[str], path: str, mapping: DataFrame | None = None, minutes: float = 15, recursive: bool = True) -> DataFrame:
     """Reads logs, splits them into dialogs, and writes these below ``path`` by source; returns counts for each source.
 

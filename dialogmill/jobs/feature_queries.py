@@ -232,6 +232,15 @@ def inertia_curve(spark, sf_dir):
     return spark.createDataFrame([(k, float(v)) for k, v in cluster.inertia_curve(rows, analysis.sweep(rows), inits=analysis.INITS)], "k int, inertia double")
 
 
+@query("k_choice")
+def k_choice(spark, sf_dir):
+    """What the votes make of the features' own curve: the fall at each K, and which of the three rules and which K they choose."""
+    rows = _reduced(spark, sf_dir)
+    points = cluster.inertia_curve(rows, analysis.sweep(rows), inits=analysis.INITS)
+    curve = spark.createDataFrame([(k, float(v)) for k, v in points], "k int, inertia double")
+    return rounded(cluster.inertia_reduction(curve).join(F.broadcast(cluster.elbow_votes(curve))), 3)
+
+
 @query("silhouette_curve")
 def silhouette_curve(spark, sf_dir):
     rows = _scores(spark, sf_dir)[0].select("pcs")

@@ -310,6 +310,6 @@ def group_results(labelled: DataFrame, group: str) -> DataFrame:
 
 
 def pending_groups(groups: DataFrame, finished: DataFrame, group: str, excluded: str = "feature|cluster|result|statistic|analysis|pca") -> DataFrame:
-    """Groups still to be done: neither finished nor excluded by name."""
-    return groups.select(group).distinct().where(~F.lower(group).rlike(excluded)).join(finished.select(group), group, "left_anti")
-
+    """Groups still to be done: neither finished nor excluded by name; a null group is one like others."""
+    named = F.coalesce(F.lower(group).rlike(excluded), F.lit(False))
+    return same(groups.select(group).distinct().where(~named), finished.select(group), [group], "left_anti")

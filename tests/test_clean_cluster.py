@@ -202,6 +202,20 @@ def test_groups_choose_their_own_k(spark):
     assert found.where("group = 'four'").select("cluster").distinct().count() == cluster.elbow_votes(curve).first()["chosen"]
 
 
+def test_group_runs_go_on_where_they_ended(spark, tmp_path):
+    rows, _ = grouped_rows()
+    df = spark.createDataFrame(rows + [(2000 + k, float(k), 1.0, 7.0, "old_results") for k in range(5)], GROUPED)
+    columns, path = ["x", "y", "z"], str(tmp_path)
+    first = analysis.analyse_groups(df.where("group = 'big' OR group = 'tiny'"), "group", path, "id", columns, max_k=4, inits=2)
+    assert {r.group: r.outcome for r in first.collect()} == {"big": "ok", "tiny": "skipped"}
+    more = spark.createDataFrame([(902, 3.0, 5.0, 7.0, "tiny"), (903, 9.0, 5.0, 7.0, "tiny")], GROUPED)
+    second = analysis.analyse_groups(df.union(more), "group", path, "id", columns, max_k=4, inits=2)
+    told = sorted(((r.group or "", r.outcome, r.n_rows) for r in second.collect()))
+    assert told == [("", "ok", 27), ("big", "ok", 60), ("odd", "failed", 15), ("small", "ok", 9), ("tiny", "ok", 4), ("tiny", "skipped", 2)]
+    labels = spark.read.parquet(f"{path}/labels")
+    assert labels.count() == labels.select("id").distinct().count() == 60 + 27 + 9 + 4
+
+
 def test_starts_come_from_all_rows(spark):
     """A far cluster of 4 in 40,000 rows has a centre of its own; a sample by hash of 10,000 would miss it more often than not."""
     draw = np.random.default_rng(1)
