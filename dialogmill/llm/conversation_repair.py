@@ -181,7 +181,11 @@ def symbol_blocks(placed: DataFrame, block: int = 4096) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.struct(order, value)))
         return rows.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x[value]), "").alias(value))
 
-    return gathered(gathered(symbols, ["conv", "block"], "pos", "symbol"), ["conv"], "block", "symbol").withColumnRenamed("symbol", "symbols")
+    blocks = gathered(symbols, ["conv", "block"], "pos", "symbol")
+    context = placed.sparkSession.sparkContext
+    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+    # as many tasks whatever the bytes: a conversation's symbols are few, but each takes work
+    return gathered(blocks.repartition(parts, "conv"), ["conv"], "block", "symbol").withColumnRenamed("symbol", "symbols")
 
 
 def repair_plans(symbols: DataFrame, block: int = 4096) -> DataFrame:
