@@ -307,18 +307,23 @@ _KEPT_SQL = """CASE left(role, 1) WHEN 's' THEN CASE x.q WHEN 0 THEN 1 END
                   WHEN 'u' THEN CASE WHEN x.q IN (0, 1, 3) THEN 2 END WHEN 'a' THEN CASE x.q WHEN 2 THEN 3 END END"""
 OP13_SQL = f"""
 WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc_table),
-k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
-h AS (SELECT k.*, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda c, b: xor(c >> 8, list_extract(crc_table, CAST(xor(c, b) & 255 AS INT) + 1)), 4294967295::BIGINT), 4294967295) % 20 AS h FROM k, t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR),
+        ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda c, b: xor(c >> 8, list_extract(crc_table,
+        CAST(xor(c, b) & 255 AS INT) + 1)), 4294967295::BIGINT), 4294967295) % 20 AS h FROM k, t),
 d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
       FROM h, range(2) c(copy) WHERE h > 0 AND (copy = 0 OR h = 3)),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
-f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN pos > min(pos) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN pos > min(pos) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!',
+        '?') THEN 'truncated' ELSE '' END AS fault,
         left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair FROM p),
 g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
-x AS (SELECT * FROM (VALUES (0, 0, '', ''), (0, 2, 'I', 'user:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'), (1, 1, '', ''), (1, 2, 'I', 'user:'), (1, 3, 'II', 'user:' || chr(10) || 'assistant:'),
-        (2, 2, '', ''), (2, 3, 'I', 'assistant:'), (2, 2, 'II', 'assistant:' || chr(10) || 'user:'), (3, 3, '', ''), (3, 2, 'I', 'user:'), (3, 3, 'II', 'user:' || chr(10) || 'assistant:')) x(s, q, ins, lines)),
+x AS (SELECT * FROM (VALUES (0, 0, '', ''), (0, 2, 'I', 'user:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'), (1, 1, '', ''), (1, 2, 'I', 'user:'), (1, 3,
+        'II', 'user:' || chr(10) || 'assistant:'),
+        (2, 2, '', ''), (2, 3, 'I', 'assistant:'), (2, 2, 'II', 'assistant:' || chr(10) || 'user:'), (3, 3, '', ''), (3, 2, 'I', 'user:'), (3, 3, 'II',
+        'user:' || chr(10) || 'assistant:')) x(s, q, ins, lines)),
 y AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
   UNION ALL
   SELECT conv_id, pos, state, best.cost, best.audit, best.lines FROM (
@@ -335,7 +340,8 @@ y AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS state, 0::BIGINT AS cost, '' AS aud
     GROUP BY conv_id, pos, state)),
 z AS (SELECT y.conv_id, arg_min({{'cost': y.cost + 5 * length(x.ins), 'audit': y.audit || x.ins, 'lines': CASE WHEN x.lines = '' THEN y.lines ELSE y.lines || [x.lines] END}},
         (y.cost + 5 * length(x.ins), y.audit || x.ins)) AS best
-      FROM y JOIN x ON x.s = y.state JOIN (SELECT conv_id, max(pos) AS pos FROM y GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM y.conv_id AND m.pos = y.pos WHERE x.q IN (0, 3) GROUP BY y.conv_id)
+      FROM y JOIN x ON x.s = y.state JOIN (SELECT conv_id,
+        max(pos) AS pos FROM y GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM y.conv_id AND m.pos = y.pos WHERE x.q IN (0, 3) GROUP BY y.conv_id)
 SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
 FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id
