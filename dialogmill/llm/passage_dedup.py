@@ -216,11 +216,11 @@ def _true_ends(candidates: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _with_kept(units: DataFrame, name: str) -> DataFrame:
-    """Units whose digest repeats, with the least id that holds it."""
+    """Units whose digest repeats, with the least id that holds it. ``units`` are made twice, which takes less than to keep them all on disk meanwhile."""
     seen = units.groupBy("digest", "check").agg(F.min("id").alias("kept_id"), F.max("id").alias("last_id"), F.bool_or("again").alias("twice"))
     seen = settled(seen.where("kept_id < last_id OR twice").select("digest", "check", "kept_id"), "repeats")
     found = settled(units.join(seen, ["digest", "check"]), name)
-    discard(units, seen)
+    discard(seen)
     return found
 
 
@@ -246,7 +246,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pass over the texts that hold the outermost runs: the words around these are compared in the same way.
     """
     docs = docs.where(F.col(id_col).isNotNull())
-    repeated = _with_kept(settled(passages(docs, id_col, text_col, min_words, gap, line_words, text_words), "passages"), "repeated")
+    repeated = _with_kept(passages(docs, id_col, text_col, min_words, gap, line_words, text_words), "repeated")
     redundant = F.expr("id <> kept_id OR again")
     runs = _islands(repeated.where("place >= 0").where(redundant))
     island = Window.partitionBy("id", "row", "__span")
