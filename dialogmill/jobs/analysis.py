@@ -45,8 +45,10 @@ def feature_scores(features: DataFrame, id_col: str = "dialog_id") -> tuple[Data
     logged = clean.log1p(clean.replace_infinite(rows, CONTINUOUS, "max_multiple"), LOGGED)
     filled = written(clean.impute_median(logged, ALL_FEATURES), "filled")
     scaled = written(clean.zero_non_finite(scaling.standardize(filled, CONTINUOUS), ALL_FEATURES), "scaled")
-    scores, loadings, shares = scaling.principal_components(scaled, ALL_FEATURES)
-    return written(scores.select(id_col, "pcs"), "scores"), loadings, shares
+    turned, loadings, shares = scaling.principal_components(scaled, ALL_FEATURES)
+    scores = written(turned.select(id_col, "pcs"), "scores")
+    discard(rows, filled, scaled)
+    return scores, loadings, shares
 
 
 def leading_components(scores: DataFrame, shares: np.ndarray, threshold: float = 0.8, id_col: str = "dialog_id") -> DataFrame:
