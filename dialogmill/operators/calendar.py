@@ -77,12 +77,12 @@ def calendar_lookups(questions: DataFrame, schedule: DataFrame, homework: DataFr
 def _sorted_entries(entries: DataFrame) -> dict:
     """Of each class and lookup: times in order, and the value that holds from (past) or up to (future) each."""
     out: dict = defaultdict(dict)
-    for name in (*PAST, *FUTURE):
-        held = entries.where(F.col(name).isNotNull()).select("class_id", "us", F.col(name).alias("v")).toPandas().sort_values("us", kind="stable")
-        for class_id, own in held.groupby("class_id", dropna=False, sort=False):
-            us, v = own["us"].to_numpy(), own["v"].to_numpy()
+    for class_id, every in entries.toArrow().to_pandas(integer_object_nulls=True).sort_values("us", kind="stable").groupby("class_id", dropna=False, sort=False):
+        for name in (*PAST, *FUTURE):
+            own = every[every[name].notna()]
+            v = own[name].to_numpy().astype(np.int64)
             values = np.maximum.accumulate(v) if name in PAST else np.minimum.accumulate(v[::-1])[::-1]
-            out[None if pd.isna(class_id) else class_id][name] = (us, values)
+            out[None if pd.isna(class_id) else class_id][name] = (own["us"].to_numpy(), values)
     return dict(out)
 
 
