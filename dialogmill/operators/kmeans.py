@@ -1,13 +1,13 @@
 """Many K-Means models side by side: a round is one pass over all rows, for every model of every group.
 
-Rows are (``__g``: number of their group, ``__v``: vector, ``__h``: hash of the row). Each task adds up its rows for the centres of all models of
+Small groups are fitted by ``fit_rows``, each where its rows lie; it takes the same steps, only that a pass is one over the rows at hand. For others rows are (``__g``: number of their group, ``__v``: vector, ``__h``: hash of the row). Each task adds up its rows for the centres of all models of
 its groups, Spark sums these, and the driver moves the centres, which are few: groups are taken in batches of at most
 ``CENTRE_BYTES`` of centres, so neither the number of groups nor their size bounds what can be fitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,9 @@ CENTRE_BYTES = 32 << 20
 BLOCK = 4096
 
 Segments = Iterator[tuple[int, np.ndarray, np.ndarray]]
+#: Of each group the models' centres, and what a pass finds for each: rows nearest to each centre, their sums, the squared distances in all.
+Centres = dict[int, list[np.ndarray]]
+Found = dict[int, list[tuple[np.ndarray, np.ndarray, float]]]
 
 
 @dataclass(frozen=True)
@@ -76,6 +79,17 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(float) + 1) / float(1 << 53)
 
 
+def _least(x: np.ndarray, h: np.ndarray, so_far: np.ndarray, step: int, seed: int) -> list[tuple[float, np.ndarray]]:
+    """For each run the least score of some rows and the row that has it; of equal scores the least row."""
+    runs, out = len(so_far), []
+    far = _squared(x, so_far.reshape(-1, x.shape[1])).reshape(len(x), runs, -1).min(axis=2) if step else np.ones((len(x), runs))
+    for r in range(runs):
+        u = _uniform(h, seed + 1000 * r + step)
+        score = np.where(far[:, r] > 0, -np.log(u) / np.maximum(far[:, r], 1e-300), 1e290 * u)
+        out.append(min(((float(score[at]), x[at]) for at in np.flatnonzero(score == score.min())), key=lambda row: tuple(row[1])))
+    return out
+
+
 def _drawn(vectors: DataFrame, starts: dict[int, np.ndarray], step: int, seed: int) -> dict[int, np.ndarray]:
     """One further start for each run of each group: a row drawn by its squared distance to the nearest of the run's starts so far.
 
@@ -91,13 +105,9 @@ def _drawn(vectors: DataFrame, starts: dict[int, np.ndarray], step: int, seed: i
             so_far = shared.value.get(g)
             if so_far is None:
                 continue
-            far = _squared(x, so_far.reshape(-1, x.shape[1])).reshape(len(x), runs, -1).min(axis=2) if step else np.ones((len(x), runs))
-            for r in range(runs):
-                u = _uniform(h, seed + 1000 * r + step)
-                score = np.where(far[:, r] > 0, -np.log(u) / np.maximum(far[:, r], 1e-300), 1e290 * u)
-                at = int(score.argmin())
-                if (g, r) not in found or score[at] < found[g, r][0]:
-                    found[g, r] = (float(score[at]), x[at])
+            for r, (score, row) in enumerate(_least(x, h, so_far, step, seed)):
+                if (g, r) not in found or (score, tuple(row)) < (found[g, r][0], tuple(found[g, r][1])):
+                    found[g, r] = (score, row)
         keys = list(found)
         yield pa.RecordBatch.from_arrays([
             pa.array([g for g, _ in keys], pa.int32()), pa.array([r for _, r in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.float64()),
@@ -113,7 +123,25 @@ def _drawn(vectors: DataFrame, starts: dict[int, np.ndarray], step: int, seed: i
     return out
 
 
-def nearest_sums(vectors: DataFrame, models: dict[int, list[np.ndarray]]) -> dict[int, list[tuple[np.ndarray, np.ndarray, float]]]:
+def _summed(x: np.ndarray, own: Sequence[np.ndarray]) -> np.ndarray:
+    """Of each centre of some models: rows nearest to it, their squared distances in all, and their sums."""
+    far = _squared(x, np.concatenate(own))
+    mine, costs, start, at = np.zeros(far.shape), np.zeros(far.shape[1]), 0, np.arange(len(x))
+    for centres in own:
+        here = far[:, start : start + len(centres)]
+        near = here.argmin(axis=1)
+        mine[at, start + near] = 1
+        costs[start : start + len(centres)] = np.bincount(near, here[at, near], len(centres))
+        start += len(centres)
+    return np.column_stack([mine.sum(axis=0), costs, mine.T @ x])
+
+
+def _by_model(table: np.ndarray, own: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    parts = np.split(table, np.cumsum([len(centres) for centres in own])[:-1])
+    return [(part[:, 0], part[:, 2:], float(part[:, 1].sum())) for part in parts]
+
+
+def nearest_sums(vectors: DataFrame, models: Centres) -> Found:
     """Of every model of every group: (rows nearest to each centre, their sums, the squared distances in all), from one pass."""
     size = next(iter(models.values()))[0].shape[1]
     shared = vectors.sparkSession.sparkContext.broadcast(models)
@@ -125,15 +153,7 @@ def nearest_sums(vectors: DataFrame, models: dict[int, list[np.ndarray]]) -> dic
             own = shared.value.get(g)
             if own is None:
                 continue
-            far = _squared(x, np.concatenate(own))
-            mine, costs, start = np.zeros(far.shape), np.zeros(far.shape[1]), 0
-            for centres in own:
-                here = far[:, start : start + len(centres)]
-                near = here.argmin(axis=1)
-                mine[np.arange(len(x)), start + near] = 1
-                costs[start : start + len(centres)] = np.bincount(near, here[np.arange(len(x)), near], len(centres))
-                start += len(centres)
-            summed = np.column_stack([mine.sum(axis=0), costs, mine.T @ x])
+            summed = _summed(x, own)
             totals[g] = totals[g] + summed if g in totals else summed
         for g, total in totals.items():
             keys = [pa.array(np.full(len(total), g, np.int32)), pa.array(np.arange(len(total), dtype=np.int32))]
@@ -141,15 +161,7 @@ def nearest_sums(vectors: DataFrame, models: dict[int, list[np.ndarray]]) -> dic
 
     schema = "g int, at int, " + ", ".join(f"{n} double" for n in names[2:])
     rows = vectors.mapInArrow(add_up, schema).groupBy("g", "at").agg(*[F.sum(n).alias(n) for n in names[2:]]).toPandas().sort_values(["g", "at"])
-    out: dict[int, list[tuple[np.ndarray, np.ndarray, float]]] = {}
-    for g, own in rows.groupby("g"):
-        table, start = own[names[2:]].to_numpy(), 0
-        out[int(g)] = []
-        for centres in models[int(g)]:
-            part = table[start : start + len(centres)]
-            out[int(g)].append((part[:, 0], part[:, 2:], float(part[:, 1].sum())))
-            start += len(centres)
-    return out
+    return {int(g): _by_model(own[names[2:]].to_numpy(), models[int(g)]) for g, own in rows.groupby("g")}
 
 
 def fit_models(vectors: DataFrame, sizes: dict[int, int], ks: Sequence[int], inits: int, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> dict[int, dict[int, Fitted]]:
@@ -158,26 +170,48 @@ def fit_models(vectors: DataFrame, sizes: dict[int, int], ks: Sequence[int], ini
     Starts are drawn from all rows, each by its squared distance to those before it; a run of a smaller K has the first
     of its starts. A run ends when its centres move by less than ``tol`` of the mean variance, as squares; a centre without rows stays.
     """
+    if not any(k <= n for n in sizes.values() for k in ks):
+        return {}
+    return _fit(lambda models: nearest_sums(vectors, models), lambda starts, step: _drawn(vectors, starts, step, seed), len(vectors.first()["__v"]), sizes, ks, inits, max_iter, tol)
+
+
+def fit_rows(x: np.ndarray, h: np.ndarray, ks: Sequence[int], inits: int, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> dict[int, Fitted]:
+    """``fit_models`` of one group whose rows are at hand, by the same steps."""
+    blocks = [slice(start, start + BLOCK) for start in range(0, len(x), BLOCK)]
+
+    def draw(starts: dict[int, np.ndarray], step: int) -> dict[int, np.ndarray]:
+        found = zip(*(_least(x[b], h[b], starts[0], step, seed) for b in blocks), strict=True)
+        rows = [min(of_run, key=lambda row: (row[0], tuple(row[1])))[1] for of_run in found]
+        return {0: np.concatenate([starts[0], np.stack(rows)[:, None]], axis=1)}
+
+    def sums(models: Centres) -> Found:
+        return {0: _by_model(sum(_summed(x[b], models[0]) for b in blocks), models[0])}
+
+    return _fit(sums, draw, x.shape[1], {0: len(x)}, ks, inits, max_iter, tol).get(0, {})
+
+
+def _fit(
+    sums: Callable[[Centres], Found], draw: Callable[[dict[int, np.ndarray], int], dict[int, np.ndarray]], width: int, sizes: dict[int, int], ks: Sequence[int], inits: int, max_iter: int, tol: float
+) -> dict[int, dict[int, Fitted]]:
     runs_of = {g: [(k, r) for k in ks if k <= n for r in range(inits)] for g, n in sizes.items()}
     groups = [g for g, runs in runs_of.items() if runs]
     if not groups:
         return {}
-    zero = {g: [np.zeros((1, len(vectors.first()["__v"])))] for g in groups}
-    moments = nearest_sums(vectors, zero)
-    starts = {g: np.zeros((inits, 0, zero[g][0].shape[1])) for g in groups}
+    moments = sums({g: [np.zeros((1, width))] for g in groups})
+    starts = {g: np.zeros((inits, 0, width)) for g in groups}
     for step in range(max(k for g in groups for k, _ in runs_of[g])):
-        starts |= _drawn(vectors, {g: starts[g] for g in groups if any(k > step for k, _ in runs_of[g])}, step, seed)
+        starts |= draw({g: starts[g] for g in groups if any(k > step for k, _ in runs_of[g])}, step)
     centres = {(g, *run): starts[g][run[1], : run[0]] for g in groups for run in runs_of[g]}
     least = {}
-    for g, [(n, sums, squares)] in moments.items():
-        least[g] = tol * max(squares / n[0] - ((sums[0] / n[0]) ** 2).sum(), 0.0) / len(sums[0])
+    for g, [(n, total, squares)] in moments.items():
+        least[g] = tol * max(squares / n[0] - ((total[0] / n[0]) ** 2).sum(), 0.0) / len(total[0])
     going = {g: list(runs_of[g]) for g in groups}
     for _ in range(max_iter):
-        found = nearest_sums(vectors, {g: [centres[(g, *run)] for run in runs] for g, runs in going.items()})
+        found = sums({g: [centres[(g, *run)] for run in runs] for g, runs in going.items()})
         for g, models in found.items():
             still = []
-            for run, (n, sums, _) in zip(going[g], models, strict=True):
-                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[(g, *run)])
+            for run, (n, total, _) in zip(going[g], models, strict=True):
+                new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres[(g, *run)])
                 if ((new - centres[(g, *run)]) ** 2).sum() > least[g]:
                     still.append(run)
                 centres[(g, *run)] = new
@@ -186,7 +220,7 @@ def fit_models(vectors: DataFrame, sizes: dict[int, int], ks: Sequence[int], ini
         if not going:
             break
     best: dict[int, dict[int, Fitted]] = {g: {} for g in groups}
-    for g, models in nearest_sums(vectors, {g: [centres[(g, *run)] for run in runs_of[g]] for g in groups}).items():
+    for g, models in sums({g: [centres[(g, *run)] for run in runs_of[g]] for g in groups}).items():
         for (k, r), (n, _, cost) in zip(runs_of[g], models, strict=True):
             if k not in best[g] or cost < best[g][k].inertia:
                 best[g][k] = Fitted(centres[g, k, r], n.astype(int), cost)

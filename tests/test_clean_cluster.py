@@ -171,6 +171,24 @@ def test_a_group_has_the_same_labels_alone_and_among_others(spark):
     assert {r.id: r.cluster for r in every if r.group == "g0"} == {r.id: r.cluster for r in alone}
 
 
+@pytest.mark.parametrize("k", [3, None])
+def test_small_groups_are_fitted_in_tasks_like_large_ones(spark, monkeypatch, k):
+    """Small groups don't pass the driver; the rounds over all tasks, and both side by side, give the same labels."""
+    draw = np.random.default_rng(12)
+    rows = [(n, *(float(v) for v in draw.normal(size=2)), 7.0, f"g{n % 40}" if n % 9 else None) for n in range(600)]
+    rows += [(1000 + n, float(n % 2), 1.0, 7.0, "equal") for n in range(12 if k else 0)]
+    df, columns = spark.createDataFrame(rows, GROUPED).repartition(5), ["x", "y", "z"]
+
+    def labels(group_rows):
+        found = cluster.per_group_clusters(df, "group", "id", columns, k=k, max_k=5, variance=0.8, group_rows=group_rows).collect()
+        return {r.id: (r.group, r.cluster, r.status) for r in found}
+
+    monkeypatch.setattr(kmeans, "CENTRE_BYTES", 4000)
+    rounds, mixed = labels(0), labels(20)
+    monkeypatch.setattr(kmeans, "fit_models", lambda *_: pytest.fail("rounds of the driver"))
+    assert len(rounds) == len(rows) and labels(None) == rounds == mixed
+
+
 def test_group_models_equal_numpy(spark):
     """At the end each row is nearest to the mean of its own cluster, in the group's scaled columns."""
     draw = np.random.default_rng(6)
