@@ -85,6 +85,34 @@ def test_registered_sweep_is_the_whole_one(spark, sf_dir, monkeypatch):
     assert {len(r.pcs) for r in scores.collect()} == {25} and all(np.isfinite(r.pcs).all() for r in scores.collect())
 
 
+def test_components_of_filled_and_scaled_rows_equal_numpy(spark):
+    """Missing, infinite and constant columns, one far from 0, and one without any value, over several parts."""
+    draw = np.random.default_rng(2)
+    x = np.column_stack([1e6 + draw.normal(size=(80, 1)), draw.normal(size=(80, 2)), draw.integers(0, 2, 80), np.full(80, 0.1), np.full(80, np.nan)])
+    x[3, 1], x[5, 2] = np.nan, np.inf
+    df = spark.createDataFrame([(k, *(None if np.isnan(v) else float(v) for v in r)) for k, r in enumerate(x)], "id int, a double, b double, c double, d double, e double, f double").repartition(3)
+    names, scaled = list("abcdef"), list("abcef")
+    fills = clean.median_fills(df, names, time_columns=["c"])
+    assert fills["f"] == (None, None) and fills["b"][0] == np.nanmedian(x[:, 1]) and fills["c"][1] == 1.5 * x[np.isfinite(x[:, 2]), 2].max()
+    scores, loadings, shares = scaling.principal_components(df, names, keep=["id"], scaled=scaled, fills=fills)
+    x[3, 1], x[5, 2], x[:, 5] = fills["b"][0], fills["c"][1], 0
+    x[:, [0, 1, 2]] = (x[:, [0, 1, 2]] - x[:, [0, 1, 2]].mean(axis=0)) / x[:, [0, 1, 2]].std(axis=0)
+    x[:, 4] = 0
+    own = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(shares, own / own.sum(), atol=1e-9) and scores.columns == ["id", "pcs"]
+    found = np.array([r.pcs for r in scores.orderBy("id").collect()])
+    assert np.allclose(found[:, :4], ((x - x.mean(axis=0)) @ loadings)[:, :4], atol=1e-7) and np.allclose(np.cov(found.T)[:4, :4], np.diag(own[:4]), atol=1e-7)
+
+
+def test_models_of_the_curve_label_the_rows(spark, monkeypatch):
+    """The analysis fits each K once; labels are those of a fit of their own."""
+    df, _ = points(spark)
+    models = cluster.fit_kmeans(df, range(2, 6), inits=2)
+    own = cluster.label_clusters(df, 3, (2, 3, 4), inits=2).orderBy("id").collect()
+    monkeypatch.setattr(cluster, "fit_kmeans", lambda *_: pytest.fail("fitted again"))
+    assert cluster.label_clusters(df, 3, (2, 3, 4), inits=2, models=models).orderBy("id").collect() == own
+
+
 def exact_silhouette(x, labels):
     """Row by row, as defined."""
     out = []
