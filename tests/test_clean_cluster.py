@@ -303,3 +303,17 @@ def test_dimension_columns_are_found(spark):
     raw = spark.createDataFrame([("1", "2025年2月17日", " "), ("2", "2025-03-01", "")], "`平台ID` string, d string, e string")
     platform, dates, kept = enrich.choose_dimension_columns(raw)
     assert (platform, dates, kept.columns) == ("平台ID", ["d"], ["平台ID", "d"])
+
+
+def test_logged_fills_equal_the_steps_one_by_one(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 2.0, None, 0.0), (inf, 5.5, None, 1.0), (3.0, None, None, 1.0), (None, nan, None, None), (-2.0, -inf, None, 0.0), (2.5, 5.5, None, 1.0)]
+    df = spark.createDataFrame(rows, "hours_to_next_class double, b double, c double, d double")
+    stepwise = clean.log1p(clean.replace_infinite(df, ["hours_to_next_class", "b", "c"], "max_multiple"), ["hours_to_next_class", "c"])
+    infinite, fills = clean.logged_fills(df, df.columns, ["hours_to_next_class", "b", "c"], ["hours_to_next_class", "c"])
+    assert infinite == {"hours_to_next_class": 4.5, "b": 8.25, "c": 168.0} and fills == clean.median_fills(stepwise, df.columns)
+    want = scaling.principal_components(stepwise, df.columns, scaled=["b"], fills=fills)
+    got = scaling.principal_components(df, df.columns, scaled=["b"], fills=fills, replaced=infinite, logged=["hours_to_next_class", "c"])
+    assert all(np.allclose(a.pcs, b.pcs) for a, b in zip(want[0].collect(), got[0].collect(), strict=True)) and np.allclose(want[1], got[1])
+    fewer = scaling.principal_components(stepwise, df.columns, fills=fills, reach=0.8)
+    assert {len(r.pcs) for r in fewer[0].collect()} == {int(np.searchsorted(np.cumsum(fewer[2]), 0.8)) + 1}
