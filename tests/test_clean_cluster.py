@@ -312,8 +312,34 @@ def test_logged_fills_equal_the_steps_one_by_one(spark):
     stepwise = clean.log1p(clean.replace_infinite(df, ["hours_to_next_class", "b", "c"], "max_multiple"), ["hours_to_next_class", "c"])
     infinite, fills = clean.logged_fills(df, df.columns, ["hours_to_next_class", "b", "c"], ["hours_to_next_class", "c"])
     assert infinite == {"hours_to_next_class": 4.5, "b": 8.25, "c": 168.0} and fills == clean.median_fills(stepwise, df.columns)
-    want = scaling.principal_components(stepwise, df.columns, scaled=["b"], fills=fills)
-    got = scaling.principal_components(df, df.columns, scaled=["b"], fills=fills, replaced=infinite, logged=["hours_to_next_class", "c"])
-    assert all(np.allclose(a.pcs, b.pcs) for a, b in zip(want[0].collect(), got[0].collect(), strict=True)) and np.allclose(want[1], got[1])
     fewer = scaling.principal_components(stepwise, df.columns, fills=fills, reach=0.8)
     assert {len(r.pcs) for r in fewer[0].collect()} == {int(np.searchsorted(np.cumsum(fewer[2]), 0.8)) + 1}
+
+
+def test_silhouettes_equal_the_evaluators(spark):
+    """Equal to Spark's own, which the passes stand in for, with a cluster of one row, an empty one and several blocks."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=(1300, 3)), [[50.0, 50.0, 50.0]]])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, pcs array<double>").repartition(3)
+    models = {2: x[:2], 3: np.stack([x[5], x[-1], x[9]]), 4: np.stack([x[1], x[7], x[-1], [900.0, 900.0, 900.0]])}
+    got = kmeans.squared_silhouettes(kmeans.packed(df, "pcs"), models)
+    for k, centres in models.items():
+        near = cluster.nearest_centroid(df, centres.tolist(), "pcs").select(array_to_vector("pcs").alias("v"), F.col("cluster").cast("double").alias("c"))
+        assert abs(got[k] - ClusteringEvaluator(featuresCol="v", predictionCol="c").evaluate(near)) < 1e-9
+
+
+def test_passes_are_narrow(spark):
+    """A pass takes blocks of rows and no shuffle, ties go to the first centre, and all of it equals NumPy row by row."""
+    x = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 0.0], [1.0, 3.0]] * 300)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, pcs array<double>")
+    vectors = kmeans.packed(df, "pcs")
+    assert vectors.columns == ["__g", "__n", "__v", "__h"] and vectors.count() < len(x) / 100 and kmeans.n_rows(vectors) == len(x)
+    models = [x[:2], x[[1, 0]], x[[0, 1, 3]]]
+    for centres, (n, sums, cost) in zip(models, kmeans.nearest_sums(vectors, {0: models})[0], strict=True):
+        far = ((x[:, None] - centres) ** 2).sum(axis=2)
+        near = far.argmin(axis=1)
+        assert list(n) == list(np.bincount(near, minlength=len(centres))) and np.isclose(cost, far.min(axis=1).sum())
+        assert np.allclose(sums, np.stack([x[near == c].sum(axis=0) for c in range(len(centres))]))
