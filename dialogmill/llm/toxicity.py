@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +41,8 @@ _TAIL[[ord(c) for c in "0134578@"]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in GAPS if c != " "]] = True
 
-#: A hidden word has at most so many runs of equal characters; what is longer is no word but a number, a link or encoded data.
-LONGEST = 48
+#: Restored words of up to so many bytes are kept for the next time.
+KEPT_BYTES = 1_000
 #: Words set apart are restored window by window: no candidate word of 14 letters lies in none as a whole.
 WINDOW, STRIDE = 28, 14
 
@@ -99,32 +100,88 @@ def _choices(char: bytes, run: int) -> list[tuple[bytes, float]]:
     return [*out, (b"", GAP_COST if sign in GAPS else DROP_COST)]
 
 
+@functools.lru_cache(maxsize=4096)
+def _steps(char: bytes, run: int) -> list[tuple[bytes, float, list[int]]]:
+    return [(said, cost, [int(_SYMBOL[s]) for s in said]) for said, cost in _choices(char, run)]
+
+
+def _plain_until(token: bytes) -> list[int]:
+    """For each place the end of the stretch of letters from there on that say themselves."""
+    raw = np.frombuffer(token, np.uint8)
+    again = np.concatenate([[False], (raw[1:] == raw[:-1]) & (raw[1:] < 128), [False]])
+    stops = np.flatnonzero(np.append(~(_LETTER[raw] & ~again[:-1] & ~again[1:]), True))
+    return stops[np.searchsorted(stops, np.arange(len(raw)))].tolist()
+
+
 def restore(token: bytes, model: CharModel, keep: int = 1) -> list[bytes]:
-    """The likeliest readings of a lower-case token (Viterbi over the last two symbols, ``keep`` paths to each pair), best first.
+    """The likeliest readings of a lower-case token of any length (Viterbi over the last two symbols, ``keep`` paths to each pair), best first.
 
-    A path is a chain of (what its last character says, the path before), so that a step costs the same however long the token.
+    A path is a chain of (what its last characters say, the path before), so that a step costs the same however long the token. Once all paths end
+    in one pair, a stretch of letters that say themselves is one step: it adds the same to each.
     """
-    log, best = model.log, {(0, 0): [(0.0, None)]}
-    at = 0
+    if keep == 1:
+        return [_best_reading(token, model)]
+    n, log, best = N_SYMBOLS, memoryview(model.log.reshape(-1)), {(0, 0): [(0.0, None)]}
+    at, until = 0, _plain_until(token)
     while at < len(token):
+        stretch = until[at]
+        if len(best) == 1 and stretch - at > 1:
+            [paths] = best.values()
+            said = token[at:stretch]
+            best = {(int(_SYMBOL[said[-2]]), int(_SYMBOL[said[-1]])): [(score, (said, path)) for score, path in paths]}
+            at = stretch
+            continue
         run = 1
         while at + run < len(token) and token[at + run] == token[at] and token[at] < 128:
             run += 1
         after: dict[tuple[int, int], list] = {}
-        for said, cost in _choices(token[at : at + 1], run):
-            symbols = [int(_SYMBOL[s]) for s in said]
+        for said, cost, symbols in _steps(token[at : at + 1], min(run, 3)):
             for (a, b), paths in best.items():
                 gain, x, y = cost, a, b
                 for z in symbols:
-                    gain += float(log[x, y, z])
+                    gain += log[(x * n + y) * n + z]
                     x, y = y, z
-                after.setdefault((x, y), []).extend((score + gain, (said, path)) for score, path in paths)
+                if (x, y) in after:
+                    after[x, y] += [(score + gain, (said, path)) for score, path in paths]
+                else:
+                    after[x, y] = [(score + gain, (said, path)) for score, path in paths]
         best = {pair: sorted(paths, key=_score, reverse=True)[:keep] if len(paths) > 1 else paths for pair, paths in after.items()}
         at += run
-    ends = sorted(((score + float(log[a, b, 0]), path) for (a, b), paths in best.items() for score, path in paths), key=_score, reverse=True)
+    ends = sorted(((score + float(model.log[a, b, 0]), path) for (a, b), paths in best.items() for score, path in paths), key=_score, reverse=True)
     return list(dict.fromkeys(_said(path) for _, path in ends))[:keep]
 
 
+def _best_reading(token: bytes, model: CharModel) -> bytes:
+    """``restore`` with one path to each pair, which is a number here."""
+    n, square, log, best = N_SYMBOLS, N_SYMBOLS**2, memoryview(model.log.reshape(-1)), {0: (0.0, None)}
+    at, until, size = 0, _plain_until(token), len(token)
+    while at < size:
+        stretch = until[at]
+        if len(best) == 1 and stretch - at > 1:
+            [(score, path)] = best.values()
+            best = {int(_SYMBOL[token[stretch - 2]]) * n + int(_SYMBOL[token[stretch - 1]]): (score, (token[at:stretch], path))}
+            at = stretch
+            continue
+        run = 1
+        while at + run < size and token[at + run] == token[at] and token[at] < 128:
+            run += 1
+        after: dict[int, tuple] = {}
+        for said, cost, symbols in _steps(token[at : at + 1], min(run, 3)):
+            for pair, (score, path) in best.items():
+                gain = cost
+                for z in symbols:
+                    pair = pair * n + z
+                    gain += log[pair]
+                    pair %= square
+                score += gain
+                known = after.get(pair)
+                if known is None or score > known[0]:
+                    after[pair] = (score, (said, path))
+        best = after
+        at += run
+    return _said(max(((score + log[pair * n], path) for pair, (score, path) in best.items()), key=_score)[1])
+
+
 def _score(path: tuple) -> float:
     return path[0]
 
@@ -140,7 +197,7 @@ def _said(path: tuple | None) -> bytes:
 def disguised(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, bound: np.ndarray) -> list[tuple[int, int]]:
     """Byte spans that may hide a word: signs before or inside letters, letters thrice, letters set apart by gaps or spaces.
 
-    Each holds a letter. Words of more than ``LONGEST`` runs hide none; letters set apart are cut into windows that overlap.
+    Each holds a letter, and words may be of any length; letters set apart are cut into windows that overlap.
     """
     if not len(begin):
         return []
@@ -154,8 +211,7 @@ def disguised(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, bound: np.nda
     hint[:-4] |= letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:]
     seen = np.concatenate([[0], np.cumsum(hint)])
     has_letter = np.concatenate([[0], np.cumsum(letter)])
-    changes = np.concatenate([[0], np.cumsum(np.concatenate([[True], raw[1:] != raw[:-1]]))])
-    marked = (seen[end + 1] > seen[begin]) & (has_letter[end + 1] > has_letter[begin]) & (changes[end + 1] - changes[begin] <= LONGEST)
+    marked = (seen[end + 1] > seen[begin]) & (has_letter[end + 1] > has_letter[begin])
     size = end - begin + 1
     lead = raw[begin]
     single = (size == 1) & (letter[begin] | sign[begin]) | (size == 2) & (lead >= 0xC0) | (size == 3) & (lead >= 0xE0)
@@ -179,10 +235,13 @@ class Reader:
 
     def restored(self, token: bytes) -> list[bytes]:
         """The best reading; of a token with masked letters, five."""
+        keep = 5 if b"*" in token else 1
+        if len(token) > KEPT_BYTES:
+            return restore(token, self.model, keep)
         if token not in self.known:
             if len(self.known) >= self.limit:
                 self.known.clear()
-            self.known[token] = restore(token, self.model, 5 if b"*" in token else 1)
+            self.known[token] = restore(token, self.model, keep)
         return self.known[token]
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

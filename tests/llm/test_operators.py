@@ -458,6 +458,21 @@ def test_restoring_is_the_best_of_all_readings():
         assert math.isclose(max(options), best, rel_tol=1e-4, abs_tol=1e-3), token
 
 
+def test_long_words_hide_words_too():
+    """Words of any number of runs are restored, with the best reading of the whole."""
+    texts = ["the idiot and the moron is a stupid loser of trash worthless disgusting clown scum pathetic"] * 50
+    total = Counter()
+    for t in texts:
+        s = toxicity._SYMBOL[np.frombuffer(f" {t} ".encode(), np.uint8)].astype(int)
+        total.update((s[:-2] * toxicity.N_SYMBOLS + s[1:-1]) * toxicity.N_SYMBOLS + s[2:])
+    model = toxicity.CharModel(np.array(list(total)), np.array(list(total.values())))
+    for more in (0, 1, 5, 400):
+        plain = "worthless" + "moronandtheclown" * more
+        word = toxicity._keys(np.frombuffer(plain.encode(), np.uint8), np.array([0]), np.array([len(plain) - 1]))[0]
+        text = "so w0rthl3ss" + "m0ronandtheclown" * more + " it is"
+        assert any((keys == word).all() for _, _, _, found in toxicity.Reader(model).chunks(pa.array([text])) for keys in found)
+
+
 def area_under_curve(scores, labels):
     """Chance that a row of label 1 scores above one of label 0; a tie counts half."""
     pos, neg = scores[labels == 1], scores[labels == 0]
