@@ -154,6 +154,54 @@ def test_plain_silhouettes_equal_numpy(spark, block):
     assert cluster.plain_silhouettes(df.where("id < 0"), ["a"]) == {}
 
 
+def counted_silhouette(x, counts, labels):
+    """That of distinct rows which each stand for some equal ones."""
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    names = sorted(set(labels))
+    sizes, sums = np.array([counts[labels == c].sum() for c in names]), np.column_stack([far[:, labels == c] @ counts[labels == c] for c in names])
+    mine, at = np.searchsorted(names, labels), np.arange(len(x))
+    inner, means = sums[at, mine] / np.maximum(sizes[mine] - 1, 1), sums / sizes
+    means[at, mine] = INF
+    outer = means.min(axis=1)
+    return float((counts * np.where(sizes[mine] > 1, (outer - inner) / np.maximum(inner, outer), 0)).sum() / counts.sum())
+
+
+def test_silhouette_choice_judges_every_row(spark):
+    """Over 20,000 rows, of few different vectors: the silhouettes are those of all."""
+    draw = np.random.default_rng(8)
+    x = np.round(draw.normal(size=(300, 6)) + np.repeat([[0.0], [1.5], [4.0]], 100, axis=0), 3)
+    counts = draw.integers(1, 160, 300)
+    rows = [[float(v) for v in r] for r, n in zip(x, counts, strict=True) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, pcs array<double>").repartition(3)
+    chosen = cluster.silhouette_choice(df, [2, 3, 4], inits=1)
+    models = cluster.fit_kmeans(df.withColumn("pcs", F.slice("pcs", 1, 5)), [2, 3, 4], inits=1)
+    assert len(rows) > 20_000 and [k for k, *_ in chosen] == [2, 3, 4]
+    for k, found, _ in chosen:
+        labels = ((x[:, None, :5] - models[k].centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert found == pytest.approx(counted_silhouette(x[:, :5], counts, labels), abs=1e-9)
+
+
+def test_plain_silhouettes_by_strips(spark, monkeypatch):
+    """Many strips and tiles give what one gives, whatever the order of the rows; rows that nearly coincide far from the others aren't taken for equal."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=(70, 3)), 1e3 + draw.normal(size=(50, 3)) * 1e-7])
+    counts, kinds = draw.integers(1, 4, 120), {"a": draw.integers(0, 3, 120), "b": np.r_[np.zeros(70, int), np.arange(50) % 2 + 5], "c": np.arange(120) // 40}
+    x[70:] += np.where(kinds["b"][70:, None] == 5, 0, 4e-7)
+    rows = [([float(v) for v in r], *(int(kinds[c][k]) for c in "abc")) for k, r in enumerate(x) for _ in range(counts[k])]
+    df = spark.createDataFrame(rows, "pcs array<double>, a int, b int, c int")
+    whole = cluster.plain_silhouettes(df, list("abc"))
+    monkeypatch.setattr(cluster, "STRIP_ROWS", 17)
+    monkeypatch.setattr(cluster, "TILE", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        cut = cluster.plain_silhouettes(df.repartition(5), list("abc"), block=5)
+        assert cut == cluster.plain_silhouettes(df.coalesce(1), list("abc"), block=5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in "abc":
+        assert whole[c] == pytest.approx(counted_silhouette(x, counts, kinds[c]), abs=1e-8) == cut[c]
+
+
 def test_group_models_and_skips(spark):
     df, _ = points(spark)
     flat = df.select("id", F.col("pcs")[0].alias("x"), F.col("pcs")[1].alias("y"), F.when(F.col("id") == 59, "tiny").otherwise("g").alias("group"))
